@@ -109,3 +109,28 @@ def assign_stratified_folds(df: DataFrame, label: str, order: list[str | Column]
     """``ntile(folds)`` inside each label, rows in ``order``."""
     idx = with_row_index(df, order, "_idx", rows_per_range, partition_by=[label], count_name="_n")
     return idx.withColumn(name, fold_of(F.col("_idx"), F.col("_n"), folds)).drop("_idx", "_n")
+
+
+def running_sums(df: DataFrame, partition_by: list[str], order_key: Column, values: list[str],
+                 suffix: str = "_cum", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Inclusive running sums of ``values`` in ascending ``order_key`` (unique
+    within each group), restarting per ``partition_by`` group.
+
+    Same scheme as ``with_row_index``: the order key is cut into ranges across
+    all groups, per-(group, range) totals (a small table) become broadcast
+    offsets, and only one range of one group is ever sorted in a task.
+    """
+    parts = list(partition_by)
+    keyed = df.withColumn("_k0", order_key)
+    n = keyed.count()
+    ranged = _range_ids(keyed, "_k0", n, rows_per_range)
+    tot = ranged.groupBy(*parts, "_rng").agg(*[F.sum(v).alias("_t_" + v) for v in values])
+    w_base = Window.partitionBy(*parts) if parts else Window
+    w_off = w_base.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tot.select(*parts, "_rng", *[F.coalesce(F.sum("_t_" + v).over(w_off), F.lit(0)).alias("_o_" + v)
+                                          for v in values])
+    w = Window.partitionBy(*parts, "_rng").orderBy("_k0").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), [*parts, "_rng"])
+    for v in values:
+        out = out.withColumn(v + suffix, F.sum(v).over(w) + F.col("_o_" + v))
+    return out.drop("_rng", "_k0", *["_o_" + v for v in values])
