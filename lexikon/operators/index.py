@@ -134,3 +134,34 @@ def running_sums(df: DataFrame, partition_by: list[str], order_key: Column, valu
     for v in values:
         out = out.withColumn(v + suffix, F.sum(v).over(w) + F.col("_o_" + v))
     return out.drop("_rng", "_k0", *["_o_" + v for v in values])
+
+
+def with_sorted_index(df: DataFrame, order: list[Column | str], name: str = "row_idx",
+                      rows_per_range: int = ROWS_PER_RANGE, cut: bool = True) -> DataFrame:
+    """Dense 0-based index in any total order of several columns.
+
+    For keys where one numeric range column would pile ties into one task
+    (e.g. frequency first, then first position).  The input (usually a small
+    derived table such as a vocabulary) is checkpointed first so the range
+    partitioning and the in-partition order are the same in every
+    recomputation; partition offsets (one row per partition) are added from
+    a literal map.
+    """
+    from lexikon.session import cut_lineage
+    base = cut_lineage(df) if cut else df
+    n = base.count()
+    parts = max(1, math.ceil(n / rows_per_range))
+    cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    r = (base.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = dict(r.groupBy("_pid").count().collect())
+    offsets, acc = {}, 0
+    for pid in sorted(counts):
+        offsets[pid] = acc
+        acc += counts[pid]
+    off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
+        else F.create_map().cast("map<int,bigint>")
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return r.withColumn(name, (F.coalesce(off_map[F.col("_pid")], F.lit(0)) + local).cast("long")) \
+        .drop("_pid", "_mid")
