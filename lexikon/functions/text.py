@@ -138,7 +138,7 @@ def parse_run_name(c: Column | str) -> list[Column]:
     last = F.element_at(parts, -1)
     run = F.when(last.contains("checkpoint") | (last == ""), F.element_at(parts, -2)).otherwise(last)
     bits = F.split(run, "_", -1)
-    return [run.alias("run"), F.right(run, F.lit(2)).cast("int").alias("best_epoch"),
+    return [run.alias("run_folder"), F.right(run, F.lit(2)).cast("int").alias("best_epoch"),
             F.element_at(bits, 1).alias("training_type"), F.element_at(bits, 2).alias("tokenizer_type"),
             last.contains("checkpoint").alias("is_checkpoint")]
 
