@@ -8,21 +8,28 @@ can be neighbours.  Training rows are cut into quantile tiles of ``s``; a
 query first looks into its own tile and the two beside it to get ``r``, then
 joins (equi-join on the tile id) exactly the tiles its band covers.  If the
 first look finds fewer than K rows, ``r`` is infinite and the band covers all
-tiles, so the result is always exact.  Top-K per query uses a
-``row_number() <= K`` filter, which Spark runs as a partial group limit
-before the shuffle.
+tiles, so the result is always exact.
+
+Distances are computed per block -- one training tile against one chunk of
+at most ``CHUNK_ROWS`` routed test rows -- with numpy inside
+``cogroup().applyInPandas``, which keeps a local top-K per test row; the
+final top-K per query is a ``row_number() <= K`` filter, which Spark runs
+as a partial group limit before the shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexikon.operators.index import bucketize
 
 ROWS_PER_TILE = 4096
+CHUNK_ROWS = 1024
 _EPS = 1e-9
 
 
@@ -56,51 +63,109 @@ def _tile_splits(train: DataFrame, n: int, rows_per_tile: int) -> list[float]:
 _bucket = bucketize
 
 
+def _block_topk(k: int, with_fold: bool):
+    """Per (tile, test chunk) block: exact distances with numpy, summed over
+    the dimensions in order (the same rounding as a sequential SQL sum), and
+    the local top-k of every test row by (dist, train_id)."""
+    out_cols = ["test_id", "train_id", "train_label", "dist"]
+
+    def fn(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
+        if te.empty or tr.empty:
+            return pd.DataFrame({c: [] for c in out_cols}).astype(
+                {"test_id": "int64", "train_id": "int64", "train_label": "int32", "dist": "float64"})
+        q = np.stack(te["qv"].to_numpy()).astype(np.float64)
+        x = np.stack(tr["xv"].to_numpy()).astype(np.float64)
+        acc = np.zeros((q.shape[0], x.shape[0]))
+        for j in range(q.shape[1]):
+            diff = q[:, j:j + 1] - x[None, :, j]
+            acc += diff * diff
+        d = np.sqrt(acc)
+        if with_fold:
+            d[te["test_fold"].to_numpy()[:, None] == tr["train_fold"].to_numpy()[None, :]] = np.inf
+        tid = tr["train_id"].to_numpy()
+        kk = min(k, x.shape[0])
+        rows_t, rows_x = [], []
+        for i in range(q.shape[0]):
+            di = d[i]
+            cand = np.argpartition(di, kk - 1)[:kk] if kk < x.shape[0] else np.arange(x.shape[0])
+            # ties at the cut: keep every row as close as the k-th, then order
+            cut = di[cand].max()
+            cand = np.nonzero(di <= cut)[0]
+            order = np.lexsort((tid[cand], di[cand]))[:kk]
+            sel = cand[order]
+            sel = sel[np.isfinite(di[sel])]
+            rows_t.append(np.full(sel.shape[0], i))
+            rows_x.append(sel)
+        it = np.concatenate(rows_t) if rows_t else np.array([], dtype=int)
+        ix = np.concatenate(rows_x) if rows_x else np.array([], dtype=int)
+        return pd.DataFrame({"test_id": te["test_id"].to_numpy()[it].astype("int64"),
+                             "train_id": tid[ix].astype("int64"),
+                             "train_label": tr["train_label"].to_numpy()[ix].astype("int32"),
+                             "dist": d[it, ix]})
+
+    return fn
+
+
+def _block_pairs(te_routed: DataFrame, tr: DataFrame, k: int, with_fold: bool) -> DataFrame:
+    """Local top-k candidates of every routed test row against the training
+    tile it is routed to.  Groups are (tile, chunk): at most ``rows_per_tile``
+    training rows and ``CHUNK_ROWS`` test rows.  Training rows are copied only
+    to the (tile, chunk) blocks that some test row needs."""
+    blocks = te_routed.select(F.col("tile").alias("_bt"), F.col("chunk").alias("_bc")).distinct()
+    tr_routed = (tr.join(blocks, tr["tile"] == blocks["_bt"])
+                 .select(*[c for c in tr.columns if c != "tile"], F.col("_bt").alias("tile"),
+                         F.col("_bc").alias("chunk")))
+    te_cols = ["tile", "chunk", "test_id", "qv"] + (["test_fold"] if with_fold else [])
+    tr_cols = ["tile", "chunk", "train_id", "xv", "train_label"] + (["train_fold"] if with_fold else [])
+    schema = "test_id long, train_id long, train_label int, dist double"
+    return (te_routed.select(*te_cols).groupBy("tile", "chunk")
+            .cogroup(tr_routed.select(*tr_cols).groupBy("tile", "chunk"))
+            .applyInPandas(_block_topk(k, with_fold), schema))
+
+
 def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "id",
                   feat: str = "features", label: str = "label", fold: str | None = None,
-                  rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+                  rows_per_tile: int = ROWS_PER_TILE, chunk_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest training rows of every test row.
 
     Returns ``(test_id, train_id, train_label, dist, rank)``; ``rank`` 1..k by
     ``(dist, train_id)``.  With ``fold`` set, a training row is only a
     candidate for test rows of another fold (cross-validation in one job).
     """
-    tr = train.select(F.col(id_col).alias("train_id"), _as_double(feat).alias("xv"),
-                      F.col(label).alias("train_label"),
-                      *( [F.col(fold).alias("train_fold")] if fold else []))
-    te = test.select(F.col(id_col).alias("test_id"), _as_double(feat).alias("qv"),
-                     *( [F.col(fold).alias("test_fold")] if fold else []))
+    chunk_rows = chunk_rows or CHUNK_ROWS
+    tr = train.select(F.col(id_col).cast("long").alias("train_id"), _as_double(feat).alias("xv"),
+                      F.col(label).cast("int").alias("train_label"),
+                      *([F.col(fold).alias("train_fold")] if fold else []))
+    te = test.select(F.col(id_col).cast("long").alias("test_id"), _as_double(feat).alias("qv"),
+                     *([F.col(fold).alias("test_fold")] if fold else []))
     c = F.array(*[F.lit(v) for v in _centroid(tr.withColumnRenamed("xv", "f"), "f")])
     tr = tr.withColumn("s", l2_distance(F.col("xv"), c))
-    te = te.withColumn("sq", l2_distance(F.col("qv"), c))
     n_train = tr.count()
+    n_test = te.count()
     splits = _tile_splits(tr, n_train, rows_per_tile)
     n_tiles = len(splits) - 1
+    n_chunks = max(1, math.ceil(n_test / chunk_rows))
     tr = _bucket(tr, splits, F.col("s"), "tile")
+    te = (te.withColumn("sq", l2_distance(F.col("qv"), c))
+          .withColumn("chunk", F.pmod(F.xxhash64("test_id"), F.lit(n_chunks)).cast("int")))
     te = _bucket(te, splits, F.col("sq"), "qtile")
-
-    fold_ok = (F.col("train_fold") != F.col("test_fold")) if fold else F.lit(True)
+    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
 
     # phase 1: upper bound r from the own tile and its two neighbours
     near = te.withColumn("tile", F.explode(F.sequence(F.greatest(F.col("qtile") - 1, F.lit(0)),
                                                       F.least(F.col("qtile") + 1, F.lit(n_tiles - 1)))))
-    p1 = (near.join(tr, "tile").where(fold_ok)
-          .select("test_id", "train_id", l2_distance(F.col("qv"), F.col("xv")).alias("dist")))
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
+    p1 = _block_pairs(near, tr, k, fold is not None)
     bound = (p1.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
              .groupBy("test_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("m")))
     te2 = (te.join(bound, "test_id", "left")
            .withColumn("r", F.when(F.col("m") >= k, F.col("r") * (1 + _EPS) + _EPS)
                        .otherwise(F.lit(math.inf))))
     lo_hi = _bucket(_bucket(te2, splits, F.col("sq") - F.col("r"), "lo"), splits, F.col("sq") + F.col("r"), "hi")
+    # phase 2: exactly the tiles the band touches (|s(x) - s(q)| <= r can hold only there)
     band = lo_hi.withColumn("tile", F.explode(F.sequence(F.coalesce("lo", F.lit(0)),
                                                          F.coalesce("hi", F.lit(n_tiles - 1)))))
-    # phase 2: exactly the tiles the band touches; cheap 1-D prune before the distance
-    pairs = (band.join(tr, "tile")
-             .where(fold_ok & (F.abs(F.col("s") - F.col("sq")) <= F.col("r")))
-             .select("test_id", "train_id", "train_label",
-                     l2_distance(F.col("qv"), F.col("xv")).alias("dist")))
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    pairs = _block_pairs(band, tr, k, fold is not None)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def majority_vote(neigh: DataFrame, keys: list[str]) -> DataFrame:
