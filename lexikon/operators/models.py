@@ -29,8 +29,9 @@ def tfidf(df: DataFrame, key: str, tokens: str, smooth: bool = True) -> DataFram
           .agg(F.count(F.lit(1)).alias("tf")))
     n = df.select(key).distinct().count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_terms = dfreq.count()
-    side = F.broadcast(dfreq) if n_terms <= BROADCAST_TERMS else dfreq
+    # no broadcast hint: the term table grows with the vocabulary; AQE turns the
+    # join into a broadcast only when the measured size is under its threshold
+    side = dfreq
     idf = (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0) if smooth else (F.log(F.lit(float(n)) / F.col("df")) + 1.0)
     w = tf.join(side, "term").withColumn("w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
@@ -112,17 +113,24 @@ class SvmProba:
 # --- M11/M12: cross-validation ------------------------------------------------------------------
 
 def cross_validate(df: DataFrame, make: callable, folds: int, fold: str = "fold", label: str = "label",
-                   id_col: str = "id", sample: bool = False) -> DataFrame:
+                   id_col: str = "id", sample: bool = False, parallelism: int = 4) -> DataFrame:
     """Fit on ``fold <> i``, predict fold ``i``; one long prediction table
     ``(fold, id, y_true, y_pred)``.  ``sample`` stops after the first fold."""
+    from concurrent.futures import ThreadPoolExecutor
     data = df.persist()
-    out = None
-    for i in range(1 if sample else folds):
+
+    def one(i: int) -> DataFrame:
         model = make().fit(data.where(F.col(fold) != i))
-        pred = model.transform(data.where(F.col(fold) == i)).select(
+        return model.transform(data.where(F.col(fold) == i)).select(
             F.lit(i).alias("fold"), F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"),
             F.col("prediction").cast("int").alias("y_pred"))
-        out = pred if out is None else out.unionByName(pred)
+
+    # folds are independent fits: submit them as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=min(parallelism, folds)) as pool:
+        preds = list(pool.map(one, range(1 if sample else folds)))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -86,9 +86,10 @@ def training_runs(spark, sf_dir):
     (log.groupBy("run", "ep").agg(F.array_sort(F.collect_list(F.struct("entry_no", entry.alias("e"))))
                                   .alias("_l"))
      .select("run", F.transform("_l", lambda x: x["e"]).alias("log_history"))
-     .write.partitionBy("run").json(f"{root}/trainer_state"))
+     .repartition("run").write.partitionBy("run").json(f"{root}/trainer_state"))
     runs = log.groupBy("run").agg(F.first("vocab_size").alias("vocab_size"), F.avg("loss").alias("train_loss"),
                                   F.avg("eval_loss").alias("eval_loss"), F.max("epoch").alias("epoch"))
+    runs = runs.repartition("run").persist()  # one file per run folder
     runs.select("run", F.concat(F.lit("tokenizers/"), "run").alias("_name_or_path"), "vocab_size") \
         .write.partitionBy("run").json(f"{root}/config")
     runs.select("run", "train_loss", "eval_loss", "epoch").write.partitionBy("run").json(f"{root}/all_results")
