@@ -1,0 +1,10 @@
+"""Incremental ingest with Structured Streaming.
+
+The reference works on finite folders; the same row-wise cleaning and the
+exact-text de-duplication also run as a stream over a landing folder, so new
+report files are processed as they arrive.
+"""
+
+from lexikon.streaming.ingest import clean_report_stream, run_available_now
+
+__all__ = ["clean_report_stream", "run_available_now"]

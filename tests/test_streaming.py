@@ -1,0 +1,27 @@
+"""The streaming ingest over a landing folder of Latin-1 report files."""
+
+import os
+import tempfile
+
+from lexikon.streaming import clean_report_stream, run_available_now
+
+REPORT = ("Klinische Angaben: Test (cw) Eingesandt wurde: 1 Stück Histologie: Gewebe "
+          "Beurteilung: kein Befund. Mit freundlichen Grüßen Prof. X")
+
+
+def test_stream_dedups_and_extracts_sections(spark):
+    base = tempfile.mkdtemp(prefix="lexikon-stream-")
+    landing = os.path.join(base, "landing")
+    os.makedirs(landing)
+    texts = {"a.txt": REPORT, "b.txt": REPORT, "c.txt": REPORT.replace("kein", "ein")}
+    for name, t in texts.items():
+        with open(os.path.join(landing, name), "w", encoding="latin-1") as f:
+            f.write(t)
+    out, ckpt = os.path.join(base, "out"), os.path.join(base, "ckpt")
+    run_available_now(clean_report_stream(spark, landing), out, ckpt)
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 2  # a and b hold the same text
+    r = [x for x in rows if "kein" in x.text][0]
+    assert r.clinical_infos == "Klinische Angaben: Test (cw) "
+    assert r.conclusion == "Beurteilung: kein Befund. "
+    assert r.greetings.startswith("Mit freundlichen Grüßen")
