@@ -45,6 +45,12 @@ def wordpiece_vocab(spark, sf_dir):
     return vocab
 
 
+def unigram_vocab(spark, sf_dir):
+    words = W.word_counts(_docs(spark, sf_dir), "text").persist()
+    v = W.train_unigram(words, BPE_SIZE)
+    return v.select("id", "token", r6("score").alias("score"))
+
+
 def vocab_sweep(spark, sf_dir):
     vocab, merges = _bpe(spark, sf_dir)
     n_base = vocab.count() - merges.count()
@@ -97,6 +103,7 @@ QUERIES = {
         FROM c"""),
     "bpe_merges": (bpe_merges, None),
     "wordpiece_vocab": (wordpiece_vocab, None),
+    "unigram_vocab": (unigram_vocab, None),
     "vocab_sweep": (vocab_sweep, None),
     "tokenizer_compare": (tokenizer_compare, None),
     "tokenizer_roundtrip": (tokenizer_roundtrip, None),
