@@ -43,6 +43,20 @@ def rename_map(spark, sf_dir):
     return D.rename_map(D.dedup_paths(corpus(spark, sf_dir)))
 
 
+def text_table(spark, sf_dir):
+    """Every text stored under its new path (rename map) as a Parquet text
+    table in a fresh scratch folder, read back."""
+    from lexikon.sources.files import scratch_dir, write_text_table
+    c = corpus(spark, sf_dir)
+    firsts = D.dedup_paths(c)
+    names = D.rename_map(firsts).join(firsts.withColumnRenamed("path", "original_path"), "original_path")
+    t = names.join(c.select("ord", "text"), "ord").select("new_path", "text")
+    path = scratch_dir(spark, "text_table")
+    write_text_table(t, path)
+    back = spark.read.parquet(path)
+    return back.select("new_path", F.md5("text").alias("text_md5"))
+
+
 def filter_label(spark, sf_dir):
     return table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id", "quality")
 
@@ -73,6 +87,11 @@ QUERIES = {
         SELECT path AS original_path, string_split(path, '/')[-1] AS txt_name, new_name,
             replace(replace(regexp_extract(path, '^(.*/)[^/]*$', 1), 'reports', 'clean'), 'Nr', '#') || new_name
             || '.txt' AS new_path FROM n"""),
+    "text_table": (text_table, C + """, p AS (SELECT path, min(ord) AS ord FROM c GROUP BY path),
+        r AS (SELECT path, ord, row_number() OVER (ORDER BY ord) AS i FROM p)
+        SELECT replace(replace(regexp_extract(r.path, '^(.*/)[^/]*$', 1), 'reports', 'clean'), 'Nr', '#') || 'textNr'
+            || CASE WHEN length(CAST(i AS VARCHAR)) >= 6 THEN CAST(i AS VARCHAR) ELSE lpad(CAST(i AS VARCHAR), 6, '0') END
+            || '.txt' AS new_path, md5(c.text) AS text_md5 FROM r JOIN c ON c.ord = r.ord"""),
     "filter_label": (filter_label, "SELECT doc_id, quality FROM labels WHERE toxic = 1"),
     "value_counts": (value_counts, C + """SELECT source, count(*) AS n,
         row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM c GROUP BY source"""),

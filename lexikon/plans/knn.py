@@ -53,6 +53,18 @@ def knn_predict(spark, sf_dir):
             .select(F.col("test_id").alias("vec_id"), "y_true", F.col("y_pred").cast("int").alias("y_pred")))
 
 
+def knn_neighbors_q(spark, sf_dir):
+    """M1 distances: the 5 nearest training rows of every test row (60/40
+    seeded split) with their Euclidean distance."""
+    from lexikon.operators.neighbors import knn_neighbors
+    emb = _emb(spark, sf_dir)
+    n = emb.count()
+    idx = with_row_index(emb, [arithmetic_order("id", 0), "id"], "i", n=n)
+    cut = n - -(-n * 2 // 5)
+    nb = knn_neighbors(idx.where(F.col("i") >= cut), idx.where(F.col("i") < cut), 5)
+    return nb.select("test_id", "train_id", F.col("rank").cast("int").alias("rank"), r6("dist").alias("dist"))
+
+
 _FOLD_SQL = """
   idx AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v, folds,
                  row_number() OVER (PARTITION BY folds ORDER BY vec_id) - 1 AS i,
@@ -100,7 +112,18 @@ SELECT test_id AS vec_id, y_true, CAST(tl AS INTEGER) AS y_pred FROM pred WHERE
 KNN_BEST_SQL = ("SELECT folds, k, mean_err FROM (" + _grid_sql(GRID_FOLDS, GRID_K)
                 + ") ORDER BY mean_err, folds, k LIMIT 1")
 
+KNN_NEIGHBORS_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v,
+                  row_number() OVER (ORDER BY (vec_id * 2654435761 + 0) % 2147483647, vec_id) - 1 AS i,
+                  count(*) OVER () AS n FROM embeddings),
+pairs AS (SELECT te.vec_id test_id, tr.vec_id train_id, list_distance(te.v, tr.v) d
+          FROM (SELECT * FROM e WHERE i >= n - ceil(n * 2 / 5)) te, (SELECT * FROM e WHERE i < n - ceil(n * 2 / 5)) tr),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY d, train_id) rn FROM pairs)
+SELECT test_id, train_id, CAST(rn AS INTEGER) AS rank, round(d, 6) AS dist FROM ranked WHERE rn <= 5
+"""
+
 QUERIES = {
+    "knn_neighbors": (knn_neighbors_q, KNN_NEIGHBORS_SQL),
     "knn_error": (knn_error, _grid_sql([5], [5])),
     "knn_grid": (knn_grid, _grid_sql(GRID_FOLDS, GRID_K)),
     "knn_best": (knn_best, KNN_BEST_SQL),
