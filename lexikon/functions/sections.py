@@ -39,11 +39,28 @@ def find_codon(t: Column, words: list[str]) -> Column:
     return out
 
 
-def keyword_starts(t: Column, kw: Column) -> Column:
-    """All 1-based starts of the literal ``kw`` (non-overlapping, left to right).
-
-    ``split`` on the quoted keyword gives the pieces between matches; start k
-    is 1 + the lengths of the first k+1 pieces + k keyword lengths."""
+def _literal_starts(t: Column, word: str) -> Column:
+    """All 1-based starts of one literal keyword (non-overlapping, left to
+    right).  ``split`` on the quoted literal (compiled once) gives the pieces
+    between matches; start k is 1 + the lengths of the first k pieces + (k-1)
+    keyword lengths."""
+    import re as _re
+    pieces = F.split(t, _re.escape(word), -1)
+    lens = F.transform(pieces, lambda p: F.length(p))
+    idx = F.sequence(F.lit(1), F.size(pieces) - 1)
+    starts = F.transform(idx, lambda i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
+                         + (i - 1) * len(word) + 1)
+    return F.when(F.size(pieces) < 2, F.array().cast("array<int>")).otherwise(starts)
+
+
+def keyword_starts(t: Column, kw: Column, words: list[str] | None = None) -> Column:
+    """All 1-based starts of the chosen keyword ``kw``.  With the candidate
+    list given, one literal branch per candidate (no per-row pattern)."""
+    if words:
+        out = None
+        for w in words:
+            out = F.when(kw == w, _literal_starts(t, w)) if out is None else out.when(kw == w, _literal_starts(t, w))
+        return F.coalesce(out, F.array().cast("array<int>"))
     pieces = F.split(t, F.concat(F.lit(r"\Q"), kw, F.lit(r"\E")), F.lit(-1))
     klen = F.length(kw)
     idx = F.sequence(F.lit(1), F.size(pieces) - 1)
@@ -77,7 +94,7 @@ def report_sections(text: Column | str, combine_all_conclusions: bool = True) ->
     start list and frame list once in its own projection."""
     t = F.col(text) if isinstance(text, str) else text
     k = {name: find_codon(t, words) for name, words in SECTION_KEYWORDS.items()}
-    starts = {n: keyword_starts(t, k[n]) for n in _FRAMED}
+    starts = {n: keyword_starts(t, k[n], _words(n)) for n in _FRAMED}
     return _assemble(t, k, {n: frames(t, k[n], _stop_list(k), starts[n]) for n in _FRAMED},
                      combine_all_conclusions)
 
@@ -85,6 +102,10 @@ def report_sections(text: Column | str, combine_all_conclusions: bool = True) ->
 _FRAMED = ["clinical_infos", "sample_infos", "description", "follow_up_report", "conclusion"]
 
 
+def _words(section: str) -> list[str]:
+    return SECTION_KEYWORDS[section]
+
+
 def _stop_list(k: dict) -> list[Column]:
     return [k["conclusion"], k["description"], k["comment"], k["regards"], k["follow_up_report"],
             k["clinical_infos"], k["sample_infos"]]
@@ -117,7 +138,7 @@ def with_report_sections(df: DataFrame, text: str, out: str = "sections",
     kcols = {n: "_k_" + n for n in SECTION_KEYWORDS}
     d = df.select(*keep, *[find_codon(t, w).alias(kcols[n]) for n, w in SECTION_KEYWORDS.items()])
     k = {n: F.col(c) for n, c in kcols.items()}
-    d = d.select("*", *[keyword_starts(t, k[n]).alias("_s_" + n) for n in _FRAMED])
+    d = d.select("*", *[keyword_starts(t, k[n], _words(n)).alias("_s_" + n) for n in _FRAMED])
     stops = _stop_list(k)
     d = d.select(*keep, *kcols.values(),
                  *[frames(t, k[n], stops, F.col("_s_" + n)).alias("_f_" + n) for n in _FRAMED])

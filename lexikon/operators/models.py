@@ -171,7 +171,7 @@ def token_rows(df: DataFrame, keys: list[str], tokens: str, labels: str | None =
     return out
 
 
-def token_tagger(tag_index: list[str], max_iter: int = 30, num_features: int = 1 << 18) -> Pipeline:
+def token_tagger(tag_index: list[str], max_iter: int = 30, num_features: int = 1 << 16) -> Pipeline:
     """Hashed token/context features + multinomial logistic regression."""
     hasher = FeatureHasher(inputCols=["token", "prev", "next", "lower", "first", "suffix"],
                            outputCol="features", numFeatures=num_features)

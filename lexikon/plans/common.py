@@ -7,9 +7,16 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexikon.session import spread_partitions
+
+
+# tables whose rows carry long texts or vectors: per-row work dominates
+CPU_HEAVY = {"documents", "pages", "conversations", "benchmark", "embeddings"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_partitions(df) if name in CPU_HEAVY else df
 
 
 def r6(c: Column | str) -> Column:

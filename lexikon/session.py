@@ -65,3 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def spread_partitions(df):
+    """Spread a scan over at least ``defaultParallelism`` tasks when it yields
+    fewer partitions (few row groups) -- useful before CPU-heavy per-row text
+    or vector work.  On a cluster reading many files it is a no-op."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
