@@ -150,29 +150,39 @@ def _sample_average_precision(df: DataFrame, id_col: str, label: str) -> DataFra
             .groupBy(id_col).agg(F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / F.col("n"))).alias("ap")))
 
 
-def macro_roc_curve(df: DataFrame, label: str = "label") -> DataFrame:
+def macro_roc_curve(df: DataFrame, label: str = "label", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """The union of all labels' fpr points, each label's tpr linearly
     interpolated there (largest tpr where a label has several at one fpr), and
-    the mean over labels.  Its area equals the mean of the per-label AUCs."""
+    the mean over labels.  Its area equals the mean of the per-label AUCs.
+
+    No per-label window over the grid: each label's curve becomes segments
+    ``[x0, x1]`` (consecutive points by a range-built index), the grid is cut
+    into quantile buckets, every segment is routed to the buckets it spans and
+    grid points find their segment by an equi-join on the bucket plus the
+    interval test."""
+    from lexikon.operators.index import _range_ids, bucketize, with_row_index
     roc = roc_curve(df, [label])
     pts = roc.groupBy(label, "fpr").agg(F.max("tpr").alias("tpr"))
-    # every curve starts at (0, 0)
     starts = pts.select(label).distinct().select(label, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     pts = pts.unionByName(starts).groupBy(label, "fpr").agg(F.max("tpr").alias("tpr"))
+    idx = with_row_index(pts, ["fpr"], "i", partition_by=[label])
+    nxt = idx.select(label, (F.col("i") - 1).alias("i"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
+    seg = (idx.join(nxt, [label, "i"], "left")
+           .select(label, F.col("fpr").alias("x0"), F.col("tpr").alias("y0"), "x1", "y1"))
     grid = pts.select("fpr").distinct()
-    # the label list is bounded by the number of label columns, not by the rows
-    names = sorted(r[0] for r in pts.select(label).distinct().collect())
-    lg = grid.withColumn(label, F.explode(F.array(*[F.lit(x) for x in names])))
-    full = lg.join(pts, [label, "fpr"], "left")
-    wb = Window.partitionBy(label).orderBy("fpr").rowsBetween(Window.unboundedPreceding, 0)
-    wa = Window.partitionBy(label).orderBy("fpr").rowsBetween(0, Window.unboundedFollowing)
-    full = (full.withColumn("x0", F.last(F.when(F.col("tpr").isNotNull(), F.col("fpr")), True).over(wb))
-            .withColumn("y0", F.last("tpr", True).over(wb))
-            .withColumn("x1", F.first(F.when(F.col("tpr").isNotNull(), F.col("fpr")), True).over(wa))
-            .withColumn("y1", F.first("tpr", True).over(wa)))
-    interp = F.coalesce(F.col("tpr"), F.when(F.col("x1").isNull(), F.col("y0")).otherwise(
-        F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0"))))
-    return full.groupBy("fpr").agg(F.avg(interp).alias("mean_tpr"))
+    n = grid.count()
+    g = _range_ids(grid, "fpr", n, rows_per_bucket)
+    splits_df = g.groupBy("_rng").agg(F.min("fpr").alias("lo")).orderBy("_rng").collect()  # one row per bucket
+    inner = [r["lo"] for r in splits_df[1:]]
+    splits = [float("-inf")] + inner + [float("inf")]
+    g = bucketize(grid, splits, F.col("fpr"), "_b")
+    seg = bucketize(bucketize(seg, splits, F.col("x0"), "_b0"), splits, F.coalesce("x1", "x0"), "_b1")
+    seg = seg.withColumn("_b", F.explode(F.sequence("_b0", "_b1")))
+    hit = g.join(seg, "_b").where((F.col("fpr") >= F.col("x0")) &
+                                  ((F.col("fpr") < F.col("x1")) | F.col("x1").isNull()))
+    interp = F.when(F.col("x1").isNull() | (F.col("fpr") == F.col("x0")), F.col("y0")).otherwise(
+        F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0")))
+    return hit.groupBy("fpr").agg(F.avg(interp).alias("mean_tpr"))
 
 
 def micro_scores(df: DataFrame, t: float, beta: float = 0.5) -> DataFrame:

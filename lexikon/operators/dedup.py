@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexikon.functions.text import base_name, clean_path, padded_id, title_of
-from lexikon.operators.index import with_row_index
+from lexikon.operators.index import with_row_index, with_sorted_index
 
 
 def dedup_paths(df: DataFrame, path: str = "path", order: str = "ord") -> DataFrame:
@@ -60,7 +60,8 @@ def rename_map(df: DataFrame, path: str = "path", order: str = "ord", left: bool
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Frequency list, most common first (ties by value), with a rank."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.col(col))))
+    ranked = with_sorted_index(c, [F.desc("n"), F.col(col)], "rank")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("bigint"))
 
 
 def titles(df: DataFrame, path: str = "path", width: int = 16) -> DataFrame:

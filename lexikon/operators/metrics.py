@@ -83,7 +83,7 @@ def class_score_table(conf: DataFrame, keys: list[str]) -> DataFrame:
     cs = class_stats(conf, keys).where(F.col("support") > 0)
     w = Window.partitionBy(*keys).orderBy(F.desc("f1r"), "cls")
     return (cs.select(*keys, "cls", F.round("f1", 3).alias("f1r"), F.col("support").cast("bigint").alias("support"))
-            .withColumn("rank", F.row_number().over(w)).withColumnRenamed("f1r", "f1_score"))
+            .withColumn("rank", F.row_number().over(w).cast("bigint")).withColumnRenamed("f1r", "f1_score"))
 
 
 def confusion_matrix(conf: DataFrame, keys: list[str], labels: list, normalized: bool = True) -> DataFrame:
@@ -122,7 +122,7 @@ def leaderboard(summary: DataFrame, decimals: int = 3) -> DataFrame:
                          *[F.round(mean(F.col(c)), decimals).alias(c)
                            for c in ["accuracy", "precision", "recall", "f1", "cohen_kappa"]])
     w = Window.orderBy(F.desc("f1"), "name")  # one row per model: small
-    return out.withColumn("rank", F.row_number().over(w))
+    return out.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
 def support_share(conf: DataFrame, keys: list[str]) -> DataFrame:

@@ -113,7 +113,8 @@ def label_index(df: DataFrame, label: str, order: str) -> DataFrame:
     """V9: label -> id in order of first appearance (the label table is small:
     one row per distinct label)."""
     firsts = df.groupBy(label).agg(F.min(order).alias("_first"))
-    return firsts.select(label, (F.row_number().over(Window.orderBy("_first", label)) - 1).alias("label_id"))
+    idx = with_sorted_index(firsts, [F.col("_first"), F.col(label)], "label_id", cut=False)
+    return idx.select(label, F.col("label_id").cast("int").alias("label_id"))
 
 
 def multihot_to_names(v: Column, names: list[str]) -> Column:

@@ -140,16 +140,17 @@ QUERIES = {
         FROM ml"""),
     "threshold_sweep": (threshold_sweep, W + """, t AS (SELECT i, CAST(i AS DOUBLE) / 100.0 AS threshold
             FROM range(20, 51) r(i)),
-        c AS (SELECT i, threshold, count_if(score >= threshold AND y_true = 1) AS tp,
-                     count_if(score >= threshold AND y_true <> 1) AS fp,
-                     count_if(score < threshold AND y_true = 1) AS fn FROM t, ml GROUP BY ALL),
+        c AS (SELECT i, threshold, CAST(count_if(score >= threshold AND y_true = 1) AS BIGINT) AS tp,
+                     CAST(count_if(score >= threshold AND y_true <> 1) AS BIGINT) AS fp,
+                     CAST(count_if(score < threshold AND y_true = 1) AS BIGINT) AS fn FROM t, ml GROUP BY ALL),
         f AS (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM c)
         SELECT threshold, tp, fp, fn, round(f1, 6) AS f1, row_number() OVER (ORDER BY f1 DESC, i) = 1 AS best
         FROM f"""),
     "multilabel_confusion": (multilabel_confusion, W + """SELECT label,
-        count_if(score < 0.41 AND y_true <> 1) AS tn, count_if(score >= 0.41 AND y_true <> 1) AS fp,
-        count_if(score < 0.41 AND y_true = 1) AS fn, count_if(score >= 0.41 AND y_true = 1) AS tp
-        FROM ml GROUP BY label"""),
+        CAST(count_if(score < 0.41 AND y_true <> 1) AS BIGINT) AS tn,
+        CAST(count_if(score >= 0.41 AND y_true <> 1) AS BIGINT) AS fp,
+        CAST(count_if(score < 0.41 AND y_true = 1) AS BIGINT) AS fn,
+        CAST(count_if(score >= 0.41 AND y_true = 1) AS BIGINT) AS tp FROM ml GROUP BY label"""),
     "roc_curve": (roc_curve, "WITH " + CUM + """ SELECT label, score AS threshold,
         round(""" + _DIV.format(a="fp", b="N") + ", 6) AS fpr, round(" + _DIV.format(a="tp", b="P")
         + ", 6) AS tpr FROM cum"),

@@ -142,7 +142,7 @@ QUERIES = {
                round(CASE WHEN sum(n) OVER (PARTITION BY model, y_true) = 0 THEN 0.0
                      ELSE n / sum(n) OVER (PARTITION BY model, y_true) END, 2) AS value FROM m"""),
     "fold_summary": (fold_summary, _MF + """SELECT model AS name, count(*) OVER (PARTITION BY model) AS fold_amount,
-        fold, round(accuracy, 6) AS accuracy, -1.0 AS time FROM s"""),
+        fold, round(accuracy, 6) AS accuracy, CAST(-1.0 AS DOUBLE) AS time FROM s"""),
     "leaderboard": (leaderboard, _MF + """, lb AS (SELECT model AS name, count(*) AS fold_amount,
             round(avg(accuracy), 3) AS accuracy, round(avg(precision), 3) AS precision,
             round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1, round(avg(cohen_kappa), 3) AS cohen_kappa

@@ -109,7 +109,8 @@ QUERIES = {
     "drop_invalid": (drop_invalid, W + "SELECT case_id, label_set, label FROM long WHERE label >= 0"),
     "class_counts": (class_counts, W + """SELECT label_set,
         count(DISTINCT CASE WHEN label <> -1 THEN label END) AS n_classes,
-        count_if(label >= 0) AS n_valid, count_if(label < 0) AS n_skipped FROM long GROUP BY label_set"""),
+        CAST(count_if(label >= 0) AS BIGINT) AS n_valid, CAST(count_if(label < 0) AS BIGINT) AS n_skipped
+        FROM long GROUP BY label_set"""),
     "merge_classes": (merge_classes, W + """SELECT description_text_files, label_source AS label,
         CASE WHEN label_source = 1 THEN 0 WHEN label_source IN (3, 4) THEN 2 ELSE label_source END AS merged
         FROM clean WHERE label_source >= 0"""),

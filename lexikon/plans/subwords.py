@@ -92,7 +92,7 @@ QUERIES = {
     "bpe_pair_counts": (bpe_pair_counts, "WITH " + WORDS + r""",
         c AS (SELECT freq, regexp_extract_all(word, '(?s).') AS s FROM w),
         p AS (SELECT freq, unnest(list_zip(s[1:len(s) - 1], s[2:len(s)])) AS z FROM c WHERE len(s) > 1)
-        SELECT z[1] AS a, z[2] AS b, sum(freq) AS n FROM p GROUP BY ALL"""),
+        SELECT z[1] AS a, z[2] AS b, CAST(sum(freq) AS BIGINT) AS n FROM p GROUP BY ALL"""),
     "word_level_vocab": (word_level_vocab, r"""WITH t AS (SELECT doc_id, regexp_extract_all(text,
             '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s]+') AS tokens FROM documents),
         ex AS (SELECT doc_id, unnest(tokens) AS token, unnest(generate_series(0, len(tokens) - 1)) AS pos FROM t),

@@ -51,7 +51,7 @@ def lowercase(spark, sf_dir):
 
 def token_lengths(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("n_tok", F.size(T.space_tokens("text")))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.max("n_tok").alias("max_tokens"),
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.max("n_tok").cast("bigint").alias("max_tokens"),
                                  F.sum("n_tok").cast("bigint").alias("tokens"))
 
 
@@ -80,12 +80,14 @@ def find_all(spark, sf_dir):
 
 def word_tokenize(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("tok", T.word_tokens("text"))
-    return d.select("doc_id", F.size("tok").alias("n_tokens"), F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
+    return d.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
 
 
 def pre_tokenize(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("tok", T.pre_tokens("text"))
-    return d.select("doc_id", F.size("tok").alias("n_tokens"), F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
+    return d.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
+                    F.md5(F.array_join("tok", " ")).alias("tokens_md5"))
 
 
 QUERIES = {
