@@ -153,7 +153,8 @@ def _sample_average_precision(df: DataFrame, id_col: str, label: str) -> DataFra
 def macro_roc_curve(df: DataFrame, label: str = "label", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """The union of all labels' fpr points, each label's tpr linearly
     interpolated there (largest tpr where a label has several at one fpr), and
-    the mean over labels.  Its area equals the mean of the per-label AUCs.
+    the mean over labels.  (Because a label's curve is taken at its largest tpr
+    at every fpr, the area of this curve can exceed the mean per-label AUC.)
 
     No per-label window over the grid: each label's curve becomes segments
     ``[x0, x1]`` (consecutive points by a range-built index), the grid is cut
