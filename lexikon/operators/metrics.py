@@ -26,11 +26,16 @@ def confusion_counts(df: DataFrame, keys: list[str], y_true: str = "y_true",
 def class_stats(conf: DataFrame, keys: list[str]) -> DataFrame:
     """Per class: tp, support (true count), predicted count, precision, recall, f1.
     Classes that only appear as predictions get support 0."""
-    t = conf.groupBy(*keys, F.col("y_true").alias("cls")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))
-                                           .otherwise(0)).alias("tp"))
-    p = conf.groupBy(*keys, F.col("y_pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    s = t.join(p, [*keys, "cls"], "full_outer").fillna(0, ["support", "tp", "predicted"])
+    # every confusion cell feeds its true-class margin and its predicted-class
+    # margin: one aggregate, no join, one pass over the (small) count table
+    hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    sides = F.explode(F.array(
+        F.struct(F.col("y_true").alias("cls"), F.col("n").alias("s"), hit.alias("t"), zero.alias("p")),
+        F.struct(F.col("y_pred").alias("cls"), zero.alias("s"), zero.alias("t"), F.col("n").alias("p"))))
+    s = (conf.select(*keys, sides.alias("m"))
+         .groupBy(*keys, F.col("m.cls").alias("cls"))
+         .agg(F.sum("m.s").alias("support"), F.sum("m.t").alias("tp"), F.sum("m.p").alias("predicted")))
     prec = _div(F.col("tp"), F.col("predicted"))
     rec = _div(F.col("tp"), F.col("support"))
     return (s.withColumn("precision", prec).withColumn("recall", rec)
