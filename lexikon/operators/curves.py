@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexikon.operators.index import running_sums
+from lexikon.session import cut_lineage
 
 MICRO = "micro"
 
@@ -78,6 +79,9 @@ def curve_points(df: DataFrame, keys: list[str]) -> DataFrame:
     with score >= this score."""
     cells = df.groupBy(*keys, "score").agg(F.count_if(F.col("y_true") == 1).alias("pos"),
                                            F.count_if(F.col("y_true") != 1).alias("neg"))
+    # the cell table (distinct key x score) feeds several jobs (count, quantiles,
+    # offsets, totals): cut it once so the scores are scanned once
+    cells = cut_lineage(cells)
     cum = running_sums(cells, keys, -F.col("score"), ["pos", "neg"])
     tot = cells.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     # one row per key: bounded by the label count

@@ -13,11 +13,13 @@ T_BEST = 0.41
 
 def scores(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
-    q = lab.select(F.col("doc_id").alias("id"), F.lit("quality").alias("label"),
-                   F.col("quality").alias("y_true"), derived_score("doc_id", 37, 11).alias("score"))
-    t = lab.select(F.col("doc_id").alias("id"), F.lit("toxic").alias("label"),
-                   F.col("toxic").alias("y_true"), derived_score("doc_id", 53, 7).alias("score"))
-    return q.unionByName(t)
+    # one scan: every row yields one cell per label column
+    cells = F.explode(F.array(
+        F.struct(F.lit("quality").alias("label"), F.col("quality").alias("y_true"),
+                 derived_score("doc_id", 37, 11).alias("score")),
+        F.struct(F.lit("toxic").alias("label"), F.col("toxic").alias("y_true"),
+                 derived_score("doc_id", 53, 7).alias("score"))))
+    return lab.select(F.col("doc_id").alias("id"), cells.alias("c")).select("id", "c.*")
 
 
 def threshold_predictions(spark, sf_dir):
