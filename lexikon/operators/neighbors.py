@@ -206,6 +206,14 @@ def knn_cross_validation(data: DataFrame, folds_col: str, ks: list[int], *, id_c
                                      F.stddev_pop("error_rate").alias("std_err"))
 
 
+def grid_table(grid: DataFrame, folds: list[int]) -> DataFrame:
+    """M5 presentation: one row per K, a (mean, std) column pair per fold count
+    (a pivot over the small grid table)."""
+    p = grid.groupBy("k").pivot("folds", folds).agg(F.first("mean_err").alias("mean"),
+                                                   F.first("std_err").alias("std"))
+    return p.select("k", *[F.col(f"{L}_{m}").alias(f"F{L}_{m}") for L in folds for m in ("mean", "std")])
+
+
 def best_config(grid: DataFrame) -> DataFrame:
     """M6: the (folds, k) with the lowest mean error; ties to fewer folds, smaller k."""
     return grid.agg(F.min_by(F.struct("folds", "k", "mean_err"),

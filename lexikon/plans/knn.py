@@ -40,6 +40,11 @@ def knn_best(spark, sf_dir):
     return best_config(knn_grid(spark, sf_dir))
 
 
+def knn_grid_table(spark, sf_dir):
+    from lexikon.operators.neighbors import grid_table
+    return grid_table(knn_grid(spark, sf_dir), GRID_FOLDS)
+
+
 def knn_predict(spark, sf_dir):
     """60/40 split in a seeded order, K = 5, one prediction per test row."""
     emb = _emb(spark, sf_dir)
@@ -127,5 +132,8 @@ QUERIES = {
     "knn_error": (knn_error, _grid_sql([5], [5])),
     "knn_grid": (knn_grid, _grid_sql(GRID_FOLDS, GRID_K)),
     "knn_best": (knn_best, KNN_BEST_SQL),
+    "knn_grid_table": (knn_grid_table, "SELECT k, " + ", ".join(
+        f"max(CASE WHEN folds = {L} THEN mean_err END) AS F{L}_mean, max(CASE WHEN folds = {L} THEN std_err END) AS F{L}_std"
+        for L in GRID_FOLDS) + " FROM (" + _grid_sql(GRID_FOLDS, GRID_K) + ") GROUP BY k"),
     "knn_predict": (knn_predict, KNN_PREDICT_SQL),
 }

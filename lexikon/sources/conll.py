@@ -14,21 +14,28 @@ from lexikon.operators.index import with_row_index
 
 
 def read_conll_dir(spark: SparkSession, path: str, glob: str = "*.conll", recursive: bool = False,
-                   keep_bad: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+                   keep_bad: bool = False, crlf: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
     """``(file, sent_no, predictors, labels)`` for every sentence of every
     matching file; ``file`` is the name up to the first dot (or a partition
     column ``file`` when the folder is partitioned so).  A line that is not
     exactly ``token SP label`` makes its sentence go to the bad output
     (returned with ``keep_bad``) instead of failing the job."""
-    reader = spark.read.option("lineSep", "\n\n").option("pathGlobFilter", glob)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.text(path)
-    file_col = F.col("file") if "file" in raw.columns else F.split_part(
-        F.col("_metadata.file_name"), F.lit("."), F.lit(1))
-    recs = raw.select(file_col.alias("file"), F.col("_metadata.file_path").alias("_path"),
-                      F.col("_metadata.file_block_start").alias("_blk"),
-                      F.monotonically_increasing_id().alias("_mid"),
+    if crlf:
+        raw = _read_crlf(spark, path, glob, recursive)
+    else:
+        reader = spark.read.option("lineSep", "\n\n").option("pathGlobFilter", glob)
+        if recursive:
+            reader = reader.option("recursiveFileLookup", "true")
+        raw = reader.text(path)
+    if crlf:
+        recs = raw
+    else:
+        file_col = F.col("file") if "file" in raw.columns else F.split_part(
+            F.col("_metadata.file_name"), F.lit("."), F.lit(1))
+        recs = raw.select(file_col.alias("file"), F.col("_metadata.file_path").alias("_path"),
+                          F.col("_metadata.file_block_start").alias("_blk"),
+                          F.monotonically_increasing_id().alias("_mid"), "value")
+    recs = recs.select("file", "_path", "_blk", "_mid",
                       F.regexp_replace(F.col("value"), r"^[\r\n]+|[\r\n]+$", "").alias("body"))
     recs = recs.where(F.length("body") > 0)
     lines = F.split(F.col("body"), r"\r?\n", -1)
@@ -46,6 +53,21 @@ def read_conll_dir(spark: SparkSession, path: str, glob: str = "*.conll", recurs
     return out
 
 
+def _read_crlf(spark: SparkSession, path: str, glob: str, recursive: bool) -> DataFrame:
+    """Files with CRLF line ends: whole files through ``binaryFile`` (one row
+    per file), line ends normalised, then one row per sentence with its
+    position in the file."""
+    r = spark.read.format("binaryFile").option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    files = r.load(path).select("path", F.replace(F.decode("content", "UTF-8"), F.lit("\r\n"), F.lit("\n"))
+                                .alias("t"))
+    sents = files.select("path", F.posexplode(F.split("t", "\n\n", -1)).alias("_mid", "value"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return sents.select(F.split_part(name, F.lit("."), F.lit(1)).alias("file"), F.col("path").alias("_path"),
+                        F.lit(0).cast("long").alias("_blk"), F.col("_mid").cast("long"), "value")
+
+
 def _index(good: DataFrame) -> DataFrame:
     """Sentence number inside ``file`` in (path, split start, position) order.
 
