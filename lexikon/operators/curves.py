@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexikon.operators.index import running_sums
+from lexikon.operators.index import broadcast_if_small, running_sums
 from lexikon.session import cut_lineage
 
 MICRO = "micro"
@@ -84,8 +84,8 @@ def curve_points(df: DataFrame, keys: list[str]) -> DataFrame:
     cells = cut_lineage(cells)
     cum = running_sums(cells, keys, -F.col("score"), ["pos", "neg"])
     tot = cells.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per key: bounded by the label count
-    return (cum.join(F.broadcast(tot), keys)
+    # one row per key (label): broadcast behind a row-count check
+    return (cum.join(broadcast_if_small(tot.persist()), keys)
             .withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp"))
 
 

@@ -18,6 +18,13 @@ from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 50_000
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind a row-count check; beyond it a plain
+    (shuffle) join, which AQE may still turn into a broadcast at run time."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def seeded_order(id_col: str | Column, seed: int) -> Column:
@@ -80,8 +87,13 @@ def with_row_index(df: DataFrame, order: list[str | Column], name: str = "row_id
                                                                     else Window.partitionBy()))
         keep.append(count_name)
     w = Window.partitionBy(*parts, "_rng").orderBy(*ord_cols)
-    # offsets hold one row per (group, range): bounded by groups * n / rows_per_range
-    return (ranged.join(F.broadcast(offsets.select(*keep)), [*parts, "_rng"])
+    # offsets hold one row per (group, range): small for few groups, checked anyway
+    offsets = offsets.select(*keep)
+    if parts:
+        offsets = broadcast_if_small(offsets.persist())
+    else:
+        offsets = F.broadcast(offsets)  # one row per range: bounded by MAX_RANGES
+    return (ranged.join(offsets, [*parts, "_rng"])
             .withColumn(name, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
             .drop("_rng", "_off", "_k0"))
 
@@ -130,7 +142,8 @@ def running_sums(df: DataFrame, partition_by: list[str], order_key: Column, valu
     offsets = tot.select(*parts, "_rng", *[F.coalesce(F.sum("_t_" + v).over(w_off), F.lit(0)).alias("_o_" + v)
                                           for v in values])
     w = Window.partitionBy(*parts, "_rng").orderBy("_k0").rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(offsets), [*parts, "_rng"])
+    offsets = broadcast_if_small(offsets.persist()) if parts else F.broadcast(offsets)
+    out = ranged.join(offsets, [*parts, "_rng"])
     for v in values:
         out = out.withColumn(v + suffix, F.sum(v).over(w) + F.col("_o_" + v))
     return out.drop("_rng", "_k0", *["_o_" + v for v in values])
