@@ -30,6 +30,7 @@ from lexikon.operators.index import bucketize
 
 ROWS_PER_TILE = 4096
 CHUNK_ROWS = 1024
+MAX_TILES = 20_000  # tile boundaries become literals: keep their number bounded
 _EPS = 1e-9
 
 
@@ -52,7 +53,7 @@ def _centroid(train: DataFrame, feat: str) -> list[float]:
 
 
 def _tile_splits(train: DataFrame, n: int, rows_per_tile: int) -> list[float]:
-    n_tiles = max(1, math.ceil(n / rows_per_tile))
+    n_tiles = min(MAX_TILES, max(1, math.ceil(n / rows_per_tile)))
     if n_tiles == 1:
         return [-math.inf, math.inf]
     probs = [i / n_tiles for i in range(1, n_tiles)]
@@ -106,7 +107,7 @@ def _block_topk(k: int, with_fold: bool):
     return fn
 
 
-def _block_pairs(te_routed: DataFrame, tr: DataFrame, k: int, with_fold: bool) -> DataFrame:
+def _block_pairs(te_routed: DataFrame, tr: DataFrame, k: int, with_fold: bool, subs: int = 1) -> DataFrame:
     """Local top-k candidates of every routed test row against the training
     tile it is routed to.  Groups are (tile, chunk): at most ``rows_per_tile``
     training rows and ``CHUNK_ROWS`` test rows.  Training rows are copied only
@@ -115,11 +116,16 @@ def _block_pairs(te_routed: DataFrame, tr: DataFrame, k: int, with_fold: bool) -
     tr_routed = (tr.join(blocks, tr["tile"] == blocks["_bt"])
                  .select(*[c for c in tr.columns if c != "tile"], F.col("_bt").alias("tile"),
                          F.col("_bc").alias("chunk")))
-    te_cols = ["tile", "chunk", "test_id", "qv"] + (["test_fold"] if with_fold else [])
-    tr_cols = ["tile", "chunk", "train_id", "xv", "train_label"] + (["train_fold"] if with_fold else [])
+    if subs > 1:  # large tiles: hashed sub-blocks of training rows, test rows copied to each
+        te_routed = te_routed.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
+    else:
+        te_routed = te_routed.withColumn("sub", F.lit(0))
+    keys = ["tile", "sub", "chunk"]
+    te_cols = keys + ["test_id", "qv"] + (["test_fold"] if with_fold else [])
+    tr_cols = keys + ["train_id", "xv", "train_label"] + (["train_fold"] if with_fold else [])
     schema = "test_id long, train_id long, train_label int, dist double"
-    return (te_routed.select(*te_cols).groupBy("tile", "chunk")
-            .cogroup(tr_routed.select(*tr_cols).groupBy("tile", "chunk"))
+    return (te_routed.select(*te_cols).groupBy(*keys)
+            .cogroup(tr_routed.select(*tr_cols).groupBy(*keys))
             .applyInPandas(_block_topk(k, with_fold), schema))
 
 
@@ -145,7 +151,9 @@ def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "i
     splits = _tile_splits(tr, n_train, rows_per_tile)
     n_tiles = len(splits) - 1
     n_chunks = max(1, math.ceil(n_test / chunk_rows))
-    tr = _bucket(tr, splits, F.col("s"), "tile")
+    subs = max(1, math.ceil(n_train / n_tiles / rows_per_tile))
+    tr = _bucket(tr, splits, F.col("s"), "tile").withColumn(
+        "sub", F.pmod(F.xxhash64("train_id"), F.lit(subs)).cast("int"))
     te = (te.withColumn("sq", l2_distance(F.col("qv"), c))
           .withColumn("chunk", F.pmod(F.xxhash64("test_id"), F.lit(n_chunks)).cast("int")))
     te = _bucket(te, splits, F.col("sq"), "qtile")
@@ -154,7 +162,7 @@ def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "i
     # phase 1: upper bound r from the own tile and its two neighbours
     near = te.withColumn("tile", F.explode(F.sequence(F.greatest(F.col("qtile") - 1, F.lit(0)),
                                                       F.least(F.col("qtile") + 1, F.lit(n_tiles - 1)))))
-    p1 = _block_pairs(near, tr, k, fold is not None)
+    p1 = _block_pairs(near, tr, k, fold is not None, subs)
     bound = (p1.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
              .groupBy("test_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("m")))
     te2 = (te.join(bound, "test_id", "left")
@@ -164,7 +172,7 @@ def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "i
     # phase 2: exactly the tiles the band touches (|s(x) - s(q)| <= r can hold only there)
     band = lo_hi.withColumn("tile", F.explode(F.sequence(F.coalesce("lo", F.lit(0)),
                                                          F.coalesce("hi", F.lit(n_tiles - 1)))))
-    pairs = _block_pairs(band, tr, k, fold is not None)
+    pairs = _block_pairs(band, tr, k, fold is not None, subs)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -54,3 +54,16 @@ def test_knn_tiles_equal_brute_force(spark):
     b = {key(r): (r.train_id, round(r.dist, 9)) for r in whole}
     assert a == b and len(a) == 500 * 5
     assert all(math.isfinite(v[1]) for v in a.values())
+
+
+def test_knn_capped_tiles_with_sub_blocks(spark, monkeypatch):
+    import lexikon.operators.neighbors as N
+    emb = (spark.read.parquet(f"{SF}/embeddings.parquet")
+           .select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label"))
+    folds = P.kfold(emb, ["id"], 5)
+    whole = {(r.test_id, r.rank): r.train_id for r in N.knn_neighbors(folds, folds, 3, fold="fold",
+                                                                       rows_per_tile=10 ** 9).collect()}
+    monkeypatch.setattr(N, "MAX_TILES", 3)
+    capped = {(r.test_id, r.rank): r.train_id for r in N.knn_neighbors(folds, folds, 3, fold="fold",
+                                                                        rows_per_tile=40).collect()}
+    assert whole == capped
