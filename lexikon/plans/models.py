@@ -84,16 +84,33 @@ def label_set_scores(spark, sf_dir):
     return out
 
 
-def token_tagger(spark, sf_dir):
-    """Per-token tagger trained on folds 1-4 of the conversations,
-    evaluated token-level on fold 0 (classification report rows)."""
+def _tagger_fold0(spark, sf_dir):
     from lexikon.plans.vocab import sequences
     seqs = kfold(sequences(spark, sf_dir), ["conv_id", "turn"], 5)
     rows = M.token_rows(seqs, ["conv_id", "turn", "fold"], "tokens", "tags")
     tag_map = F.create_map(*[x for i, t in enumerate(TAGS) for x in (F.lit(t), F.lit(float(i)))])
     rows = rows.withColumn("tag_id", tag_map[F.col("tag")])
     model = M.token_tagger(TAGS, max_iter=20).fit(rows.where(F.col("fold") != 0))
-    pred = model.transform(rows.where(F.col("fold") == 0)).select(
+    return model.transform(rows.where(F.col("fold") == 0))
+
+
+def tagger_predictions(spark, sf_dir):
+    """E22, NER form: the held-out sentences as words with true and predicted tags."""
+    pred = _tagger_fold0(spark, sf_dir)
+    names = F.array(*[F.lit(t) for t in TAGS])
+    pred = pred.withColumn("pred_tag", F.element_at(names, F.col("prediction").cast("int") + 1))
+    words = M.sequences_from_tokens(pred, ["conv_id", "turn"], "token")
+    true = M.sequences_from_tokens(pred, ["conv_id", "turn"], "tag")
+    guess = M.sequences_from_tokens(pred, ["conv_id", "turn"], "pred_tag")
+    return (words.join(true, ["conv_id", "turn"]).join(guess, ["conv_id", "turn"])
+            .select("conv_id", "turn", F.array_join("token", " ").alias("words"),
+                    F.array_join("tag", " ").alias("tags"), F.array_join("pred_tag", " ").alias("predicted")))
+
+
+def token_tagger(spark, sf_dir):
+    """Per-token tagger trained on folds 1-4 of the conversations,
+    evaluated token-level on fold 0 (classification report rows)."""
+    pred = _tagger_fold0(spark, sf_dir).select(
         F.col("tag_id").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     rep = E.classification_report(E.confusion_counts(pred, []), [])
     return rep.select("row", r6("precision").alias("precision"), r6("recall").alias("recall"),
@@ -154,6 +171,7 @@ QUERIES = {
     "svm_proba": (svm_proba, None),
     "label_set_scores": (label_set_scores, None),
     "token_tagger": (token_tagger, None),
+    "tagger_predictions": (tagger_predictions, None),
     "multilabel_scores": (multilabel_scores, None),
     "best_fold": (best_fold, BEST_SQL),
 }

@@ -107,3 +107,14 @@ def test_threshold_grid():
     g = threshold_grid()
     assert len(g) == 31 and g[21] == 0.41 and g[0] == 0.2 and g[-1] == 0.5
     assert not math.isclose(g[21], 0.4100000000000002, rel_tol=0, abs_tol=0)
+
+
+def test_find_all_matches_python(spark):
+    import re
+    texts = [(1, "the cat and the hat; there they go"), (2, "nothing here"), (3, "thththe")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for kw, regex in [("the", False), ("th[a-z]", True), ("a.d", True)]:
+        got = sorted((r.id, r.start, r.stop) for r in T.find_all(df, "id", "text", kw, regex=regex).collect())
+        pat = kw if regex else re.escape(kw)
+        want = sorted((i, m.start(), m.end()) for i, t in texts for m in re.finditer(pat, t))
+        assert got == want, kw
