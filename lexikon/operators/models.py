@@ -15,6 +15,7 @@ from pyspark.ml.feature import HashingTF, IDF, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from lexikon.session import keep
 
 BROADCAST_TERMS = 2_000_000
 NUM_FEATURES = 1 << 16
@@ -117,7 +118,7 @@ def cross_validate(df: DataFrame, make: callable, folds: int, fold: str = "fold"
     """Fit on ``fold <> i``, predict fold ``i``; one long prediction table
     ``(fold, id, y_true, y_pred)``.  ``sample`` stops after the first fold."""
     from concurrent.futures import ThreadPoolExecutor
-    data = df.persist()
+    data = keep(df)
 
     def one(i: int) -> DataFrame:
         model = make().fit(data.where(F.col(fold) != i))
@@ -194,7 +195,7 @@ def multilabel_scores(df: DataFrame, id_col: str, tokens: str, labels: dict[str,
     """One logistic regression per label on shared hashed TF-IDF
     features; long output ``(id, label, y_true, score)``."""
     feats = Pipeline(stages=text_features(tokens, num_features)).fit(df)
-    base = feats.transform(df.select(id_col, tokens, *[c.alias(n) for n, c in labels.items()])).persist()
+    base = keep(feats.transform(df.select(id_col, tokens, *[c.alias(n) for n, c in labels.items()])))
     out = None
     for name in labels:
         lr = LogisticRegression(featuresCol="features", labelCol=name, maxIter=max_iter, regParam=1e-3,

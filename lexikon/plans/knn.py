@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexikon.operators.index import arithmetic_order, assign_folds, with_row_index
 from lexikon.operators.neighbors import best_config, knn_classify, knn_cross_validation
 from lexikon.plans.common import r6, table
+from lexikon.session import keep
 
 GRID_FOLDS = [2, 5, 10]
 GRID_K = [1, 3, 5, 9, 11]
@@ -18,7 +19,7 @@ def _emb(spark, sf_dir):
 
 
 def _cv(spark, sf_dir, folds, ks):
-    data = assign_folds(_emb(spark, sf_dir), ["id"], folds).persist()
+    data = keep(assign_folds(_emb(spark, sf_dir), ["id"], folds))
     res = knn_cross_validation(data, "fold", ks)
     return res.select(F.lit(folds).alias("folds"), "k", r6("mean_err").alias("mean_err"),
                       r6("std_err").alias("std_err"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexikon.operators import subword as W
 from lexikon.plans.common import r6, table
 from lexikon.sources.files import scratch_dir
+from lexikon.session import keep
 
 BPE_SIZE = 300
 WORDPIECE_EXTRA = 25
@@ -46,7 +47,7 @@ def wordpiece_vocab(spark, sf_dir):
 
 
 def unigram_vocab(spark, sf_dir):
-    words = W.word_counts(_docs(spark, sf_dir), "text").persist()
+    words = keep(W.word_counts(_docs(spark, sf_dir), "text"))
     v = W.train_unigram(words, BPE_SIZE)
     return v.select("id", "token", r6("score").alias("score"))
 
@@ -59,7 +60,7 @@ def vocab_sweep(spark, sf_dir):
 
 def tokenizer_compare(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    words = W.word_counts(docs, "text").persist()
+    words = keep(W.word_counts(docs, "text"))
     bv, bm = W.train_bpe(words, BPE_SIZE)
     n_alpha = len(W.alphabet(W.initial_symbols(words, W.CONT)))
     wv, _ = W.train_wordpiece(words, 1 + n_alpha + WORDPIECE_EXTRA)

@@ -73,3 +73,14 @@ def spread_partitions(df):
     or vector work.  On a cluster reading many files it is a no-op."""
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def keep(df):
+    """Cache an intermediate that several jobs reuse, on the executors' disks.
+
+    Queries hand back lazy DataFrames, so their intermediates cannot be
+    released inside the query; keeping them out of the heap leaves memory to
+    execution (aggregations, model fitting) however many queries a session runs.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.DISK_ONLY)
