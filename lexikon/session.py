@@ -26,6 +26,12 @@ def get_spark(master: str | None = None, app: str = "lexikon",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # the live status store keeps job/stage/SQL-plan records even without a UI;
+        # iterative training runs thousands of small jobs, so bound what it retains
+        "spark.ui.retainedJobs": "200",
+        "spark.ui.retainedStages": "200",
+        "spark.ui.retainedTasks": "10000",
+        "spark.sql.ui.retainedExecutions": "100",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
