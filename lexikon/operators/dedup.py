@@ -39,8 +39,15 @@ def keep_survivors(df: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
     return df.join(survivors.select(key), key, "left_semi")
 
 
-def duplicate_report(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Total rows, distinct texts and distinct paths, exact."""
+def duplicate_report(df: DataFrame, path: str = "path", text: str = "text", approx: bool = False,
+                     rsd: float = 0.01) -> DataFrame:
+    """Total rows, distinct texts and distinct paths -- exact, or with
+    ``approx`` HyperLogLog++ sketches (``rsd`` relative error), which merge
+    map-side and never shuffle the distinct values."""
+    if approx:
+        return df.agg(F.count(F.lit(1)).alias("total"),
+                      F.approx_count_distinct(F.sha2(F.col(text), 256), rsd).alias("distinct_texts"),
+                      F.approx_count_distinct(path, rsd).alias("unique_paths"))
     return df.agg(F.count(F.lit(1)).alias("total"),
                   F.count_distinct(F.sha2(F.col(text), 256), F.length(text)).alias("distinct_texts"),
                   F.count_distinct(path).alias("unique_paths"))
