@@ -83,3 +83,14 @@ def test_partition_invariance(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", old)
         assert base == one, name
+
+
+def test_unigram_vocabulary_properties(spark):
+    docs = spark.read.parquet(f"{SF}/benchmark.parquet")
+    words = W.word_counts(docs, "text")
+    v = W.train_unigram(words, 120).collect()
+    tokens = [r.token for r in v]
+    chars = {c for r in words.collect() for c in r.word}
+    assert len(tokens) == 120 and len(set(tokens)) == 120 and tokens[0] == "<unk>"
+    assert chars <= set(tokens)
+    assert all(r.score <= 0 for r in v[1:])
