@@ -12,6 +12,71 @@ def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.neardup import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+NEARDUP_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LOWER}), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
+       FROM w, unnest(range(1, greatest(2, len(w) - 3))) AS t(i) WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+       GROUP BY ALL),
+ l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 75 * (x.n + y.n - common)),
+ r AS (SELECT doc_id AS f, doc_id AS t FROM documents UNION SELECT r.f, l.b FROM r JOIN l ON r.t = l.a),
+ c AS (SELECT f AS doc_id, min(t) AS component_id FROM r GROUP BY f)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)"""
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.mixing import mix_sources
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The shards of more than one per source come out of the same digits as in Spark.
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17') AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
+              row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+ w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size / ((rank - 1) % 3 + 1) AS ratio FROM s),
+ v AS (SELECT *, CAST(CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(3 * source_size) OVER b, 0) AS DOUBLE)
+              / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+       FROM w WINDOW b AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT *, CASE WHEN level > ratio THEN CAST(3 * source_size AS DOUBLE)
+              ELSE max(CASE WHEN level > ratio THEN NULL ELSE level END) OVER () * weight END AS target FROM v),
+ q AS (SELECT *, CAST(floor(sum(source_size) OVER () / 8) AS BIGINT) AS seats FROM t),
+ k AS (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source, k) AS r, seats
+       FROM q, unnest(range(0, CAST(ceil(target / 8) AS BIGINT) + 2)) AS u(k)),
+ b AS (SELECT source, count(*) AS blocks FROM k WHERE r <= seats GROUP BY source),
+ e AS (SELECT q.*, coalesce(blocks, 0) AS blocks,
+              least(4096, greatest(1, ceil(source_size / 4194304), ceil(n_docs / 100000))) AS n_shards
+       FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source),
+ x AS (SELECT d.*, e.source_size, e.target, e.blocks,
+              CAST('0x' || substr(key, 1, 8) AS BIGINT) % CAST(n_shards AS BIGINT) AS shard
+       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+ h AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(blocks) AS blocks FROM x GROUP BY ALL),
+ i AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * k + 1) DESC, shard, k) AS r,
+              blocks FROM h, unnest(range(0, CAST(blocks AS BIGINT))) AS u(k)),
+ j AS (SELECT source, shard, count(*) AS quota FROM i WHERE r <= blocks GROUP BY ALL),
+ m AS (SELECT h.*, least(coalesce(quota, 0) * 8, 3 * shard_size) AS words FROM h LEFT JOIN j
+       ON h.source IS NOT DISTINCT FROM j.source AND h.shard = j.shard),
+ o AS (SELECT x.*, m.words, m.shard_size, CASE WHEN m.shard_size > 0 THEN m.words // m.shard_size ELSE 0 END AS passes,
+              coalesce(sum(size) OVER (PARTITION BY x.source, x.shard ORDER BY key, doc_id, size
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+       FROM x JOIN m ON x.source IS NOT DISTINCT FROM m.source AND x.shard = m.shard)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(passes * size + greatest(0, least(words - passes * shard_size - pos, size)) AS BIGINT) AS taken FROM o"""
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.secrets import find_secrets
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,6 +119,42 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.hosts import host_rules
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                   "base_failed", "kept")
+
+
+def _hosts_sql() -> str:
+    from lexikon.llm.hosts import BASE, LIMIT, RULES
+    agg = ", ".join(f"sum(CAST({r} AS BIGINT)) AS {k}" for k, r in RULES.items())
+    mean = ", ".join(f"sum({k}) / sum(n) AS m_{k}" for k in RULES)
+    spread = ", ".join(f"sum(n * pow({k} / n - m_{k}, 2)) / sum(n) AS v_{k}" for k in RULES)
+    weight = "least(greatest(coalesce(m_{k} * (1 - m_{k}) / nullif(v_{k}, 0.0) - 1, 1e6), 1.0), 1e6)"
+    bad = ", ".join(f"({k} + m_{k} * {weight.format(k=k)}) / (n + {weight.format(k=k)}) > {LIMIT} AS bad_{k}" for k in RULES)
+    ok = " AND ".join(f"NOT (({r}) AND coalesce(bad_{k}, false))" for k, r in RULES.items())
+    return rf"""
+WITH d AS (SELECT doc_id, lower(coalesce(nullif(regexp_extract(source, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), ''),
+                  source)) AS host, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
+ t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+ r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM t, unnest([0, 1, 2]) AS u(o) WHERE n > 1 GROUP BY doc_id),
+ m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+              CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+ f AS (SELECT host, count(*) AS n, {agg} FROM m WHERE host IS NOT NULL GROUP BY host),
+ a AS (SELECT {mean} FROM f), s AS (SELECT {spread} FROM f, a),
+ b AS (SELECT host, {bad} FROM f, a, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {BASE} AS base_failed,
+       NOT ({BASE}) AND {ok} AS kept
+FROM m LEFT JOIN b USING (host)"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.lines import dedup_lines
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -74,7 +175,10 @@ FROM j GROUP BY doc_id"""
 
 
 QUERIES = {
+    "op1_neardup": (op1_neardup, NEARDUP_SQL),
+    "op2_mixing": (op2_mixing, MIXING_SQL),
     "op7_secrets": (op7_secrets, None),
     "op8_decontam": (op8_decontam, DECONTAM_SQL),
+    "op9_host_rules": (op9_host_rules, _hosts_sql()),
     "op10_line_dedup": (op10_line_dedup, LINES_SQL),
 }
