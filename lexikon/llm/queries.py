@@ -77,6 +77,26 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(passes * size + greatest(0, least(words - passes * shard_size - pos, size)) AS BIGINT) AS taken FROM o"""
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.repeats import remove_repeats
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+ m AS (SELECT g, min(doc_id) AS keeper FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+ r AS (SELECT DISTINCT doc_id, i + o AS i FROM g JOIN m USING (g), unnest(range(0, 50)) AS t(o) WHERE keeper < doc_id),
+ w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+ k AS (SELECT doc_id, count(*) FILTER (WHERE r.i IS NOT NULL) AS n_removed,
+              string_agg(word, ' ' ORDER BY w.i) FILTER (WHERE r.i IS NULL) AS kept
+       FROM w LEFT JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.secrets import find_secrets
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -179,6 +199,7 @@ QUERIES = {
     "op2_mixing": (op2_mixing, MIXING_SQL),
     "op7_secrets": (op7_secrets, None),
     "op8_decontam": (op8_decontam, DECONTAM_SQL),
+    "op4_repeats": (op4_repeats, REPEATS_SQL),
     "op9_host_rules": (op9_host_rules, _hosts_sql()),
     "op10_line_dedup": (op10_line_dedup, LINES_SQL),
 }
