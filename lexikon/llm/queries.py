@@ -77,6 +77,13 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(passes * size + greatest(0, least(words - passes * shard_size - pos, size)) AS BIGINT) AS taken FROM o"""
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.quality import score_quality
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", F.col("quality_score").alias("score"), F.col("quality_kept").alias("kept"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.repeats import remove_repeats
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -97,6 +104,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
        sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.langid import identify
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    training = docs.where(~F.coalesce(held_out, F.lit(False))).select("lang", "text")
+    return identify(docs.select("doc_id", "text"), training).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.secrets import find_secrets
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -199,7 +215,9 @@ QUERIES = {
     "op2_mixing": (op2_mixing, MIXING_SQL),
     "op7_secrets": (op7_secrets, None),
     "op8_decontam": (op8_decontam, DECONTAM_SQL),
+    "op3_quality": (op3_quality, None),
     "op4_repeats": (op4_repeats, REPEATS_SQL),
+    "op6_langid": (op6_langid, None),
     "op9_host_rules": (op9_host_rules, _hosts_sql()),
     "op10_line_dedup": (op10_line_dedup, LINES_SQL),
 }
