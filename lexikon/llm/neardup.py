@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexikon.llm.common import Words, as_bytes, map_rows, mix, windows, written
@@ -28,8 +28,10 @@ WIDTH = 5
 LINK = 75
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
-#: Of 128 one-byte slots, so many agree in all but one of 10 million pairs at a similarity of 0.75 (mean 96, sd 4.9).
-AGREE = 70
+#: Two bits of each slot make the sketch.  At a similarity of 0.75 the number of equal ones has
+#: mean 104 and sd 4.4, so fewer than one pair in ten million falls below this; at 0.25 the mean is 56.
+AGREE = 81
+SKETCH = ["s0", "s1", "s2", "s3"]
 ELEMENTS = 200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +86,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, n, d1, d2, sketch, bands): set size, 128-bit digest of the set, one byte for
+    """(id, n, d1, d2, s0 to s3, bands): set size, 128-bit digest of the set, two bits of
     each slot, and the band hashes (null for an empty set)."""
     def make():
         def part(ids: list, sets: list[np.ndarray]) -> dict:
@@ -96,11 +98,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for i in range(ROWS):
                 bands = mix(bands + sig[:, i::ROWS] + _STEP)
             bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _STEP)
-            sketch = (mix(sig.ravel()) >> np.uint64(56)).astype(np.uint8).tobytes()
+            bits = (mix(sig.ravel()) >> np.uint64(62)).reshape(len(sets), len(SKETCH), -1)
+            sketch = _signed((bits << (2 * np.arange(bits.shape[2], dtype=np.uint64))).sum(axis=2, dtype=np.uint64))
             return {"id": ids, "n": sizes.tolist(),
                     "d1": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
                     "d2": [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                    "sketch": [sketch[i * SLOTS:(i + 1) * SLOTS] for i in range(len(sets))],
+                    **{c: sketch[:, i].tolist() for i, c in enumerate(SKETCH)},
                     "bands": [b if n else None for b, n in zip(_signed(bands), sizes, strict=True)]}
 
         def fn(batch):
@@ -116,21 +119,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return fn
 
     return map_rows(docs.select(F.col(doc_id).cast("long"), text),
-                    "id bigint, n bigint, d1 bigint, d2 bigint, sketch binary, bands array<bigint>", make)
+                    "id bigint, n bigint, d1 bigint, d2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, "
+                    "bands array<bigint>", make)
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, least: int = AGREE) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in at least ``least`` slots."""
-    def make():
-        def fn(batch):
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
-            ok = pa.array((x == y).sum(axis=1) >= least)
-            yield {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
-        return fn
-
-    both = (pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-            .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y"))
-    return map_rows(both, "a bigint, b bigint", make)
+def likely(x: str, y: str) -> Column:
+    """Whether documents ``x`` and ``y`` (suffixes of columns) can be linked, by set sizes and sketches."""
+    low = F.lit(0x5555555555555555)
+    differ = F.lit(0)
+    for s in SKETCH:
+        d = F.col(s + x).bitwiseXOR(F.col(s + y))
+        differ = differ + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(low))
+    n = F.col("n" + x), F.col("n" + y)
+    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & (differ <= SLOTS - AGREE)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK) -> DataFrame:
@@ -193,15 +194,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = reps.select("id", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     shared = written(members.join(buckets.select("key", "first"), "key"), "buckets")
-    sketches = reps.select("id", "sketch")
 
-    def sized(a: str, b: str):
-        return 100 * F.least(a, b) >= LINK * F.greatest(a, b)
+    def side(x: str) -> DataFrame:
+        return reps.select(*[F.col(c).alias(c + x) for c in ("id", "n", *SKETCH)])
 
-    sizes = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    stars = (shared.where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b"), "n").distinct()
-             .join(sizes, "b").where(sized("n", "nb")).select("a", "b"))
-    tested = written(likely(stars, sketches), "pairs")
+    stars = shared.where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    tested = written(stars.join(side("x"), F.col("a") == F.col("idx"))
+                     .join(side("y"), (F.col("b") == F.col("idy")) & likely("x", "y")).select("a", "b"), "pairs")
     involved = tested.select(F.col("a").alias("id")).union(tested.select("b")).distinct()
 
     def texts(ids: DataFrame) -> DataFrame:
@@ -213,13 +212,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # the rest: pairs of one bucket that are in different components so far
     here = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
     split = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_members = written(here.join(split, "key", "left_semi"), "open")
-    x, y = (open_members.select("key", *[F.col(c).alias(c + s) for c in ("id", "n", "label")]) for s in ("x", "y"))
-    rest = (x.join(y, "key").where((F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
-                                   & sized("nx", "ny"))
-            .select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
-    more = written(likely(rest, sketches), "pairs")
+    open_members = written(here.join(split, "key", "left_semi").join(side(""), ["id", "n"]), "open")
+    x, y = (open_members.toDF(*["key" if c == "key" else c + s for c in open_members.columns]) for s in ("x", "y"))
+    rest = (x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
+                   & likely("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+    more = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
         found = written(confirmed(more, texts(ids)), "links")
