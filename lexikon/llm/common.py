@@ -46,6 +46,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def by_size(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(from, to) of neighbouring texts of about ``limit`` bytes together; a longer text is one by itself."""
+    lo = size = 0
+    for hi, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= limit:
+            yield lo, hi + 1
+            lo, size = hi + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: str,
                    make: Callable[[], Callable[..., list]]) -> DataFrame:
     """``df`` with the columns of ``schema``, computed batch by batch in Arrow.

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, append_columns, as_bytes, windows, written
+from lexikon.llm.common import Words, append_columns, as_bytes, by_size, windows, written
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -64,20 +64,24 @@ def _dup_lines(text: bytes | None) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
+def _measures(raw: list[bytes | None]) -> list[list[int]]:
+    words = Words(raw)
+    ends = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in raw], dtype=np.int64)])
+
+    def sums(mask: np.ndarray) -> list[int]:
+        return np.diff(np.concatenate([[0], np.cumsum(mask)])[ends]).tolist()
+
+    space = np.isin(words.data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+    lines = [_dup_lines(t) for t in raw]
+    return [np.diff(words.first).tolist(), sums(~space & ~_CONTINUES[words.data]), sums(_SYMBOL[words.data]),
+            [a for a, _ in lines], [b for _, b in lines], _repeat_words(words).tolist()]
+
+
 def _measure():
     def fn(texts):
         raw = as_bytes(texts)
-        words = Words(raw)
-        ends = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in raw], dtype=np.int64)])
-
-        def sums(mask: np.ndarray) -> np.ndarray:
-            return np.diff(np.concatenate([[0], np.cumsum(mask)])[ends])
-
-        space = np.isin(words.data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
-        lines = [_dup_lines(t) for t in raw]
-        return [np.diff(words.first).tolist(), sums(~space & ~_CONTINUES[words.data]).tolist(),
-                sums(_SYMBOL[words.data]).tolist(), [a for a, _ in lines], [b for _, b in lines],
-                _repeat_words(words).tolist()]
+        parts = [_measures(raw[a:b]) for a, b in by_size(raw)]
+        return [[x for part in parts for x in part[k]] for k in range(6)]
     return fn
 
 

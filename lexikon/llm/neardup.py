@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, as_bytes, map_rows, mix, windows, written
+from lexikon.llm.common import Words, as_bytes, by_size, map_rows, mix, windows, written
 
 WIDTH = 5
 #: Links: 100 * intersection >= LINK * union.
@@ -32,7 +32,7 @@ BANDS = SLOTS // ROWS
 #: mean 104 and sd 4.4, so fewer than one pair in ten million falls below this; at 0.25 the mean is 56.
 AGREE = 81
 SKETCH = ["s0", "s1", "s2", "s3"]
-ELEMENTS = 200_000
+PART_BYTES = 1_200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,14 +108,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         def fn(batch):
             ids, raw = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            lo, size = 0, 0
-            for hi, t in enumerate(raw):  # parts of bounded size; a long text is one by itself
-                size += len(t or b"") // 6
-                if size > ELEMENTS:
-                    yield part(ids[lo:hi + 1], shingle_sets(raw[lo:hi + 1]))
-                    lo, size = hi + 1, 0
-            if lo < len(raw):
-                yield part(ids[lo:], shingle_sets(raw[lo:]))
+            for a, b in by_size(raw, PART_BYTES):
+                yield part(ids[a:b], shingle_sets(raw[a:b]))
         return fn
 
     return map_rows(docs.select(F.col(doc_id).cast("long"), text),

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, append_columns, as_bytes, map_rows, windows, written
+from lexikon.llm.common import Words, append_columns, as_bytes, by_size, map_rows, windows, written
 from lexikon.llm.decontam import NORMAL
 from lexikon.llm.hosts import SYMBOLS
 
@@ -95,8 +95,7 @@ def with_votes(docs: DataFrame, text: str, abusive: set[bytes]) -> DataFrame:
     def make():
         def fn(texts):
             raw = as_bytes(texts)
-            step = 500  # texts at a time
-            parts = [heuristic_votes(raw[i:i + step], sent.value) for i in range(0, len(raw), step)]
+            parts = [heuristic_votes(raw[a:b], sent.value) for a, b in by_size(raw)]
             return [[v.tolist() for p in parts for v in p]]
         return fn
     return append_columns(docs, [text], "_votes array<int>", make)

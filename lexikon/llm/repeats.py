@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, as_bytes, map_rows, windows, written
+from lexikon.llm.common import Words, as_bytes, by_size, map_rows, windows, written
 
 WINDOW, BLOCK = 50, 25
 CHUNK_BYTES = 1 << 22
@@ -51,14 +51,8 @@ def chunks(docs: DataFrame, doc_id: str, text: str, chunk_bytes: int = CHUNK_BYT
 
         def fn(batch):
             ids, raw = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            lo = size = 0
-            for hi, t in enumerate(raw):
-                size += len(t or b"")
-                if size >= chunk_bytes:
-                    yield part(ids[lo:hi + 1], raw[lo:hi + 1])
-                    lo, size = hi + 1, 0
-            if lo < len(raw):
-                yield part(ids[lo:], raw[lo:])
+            for a, b in by_size(raw, chunk_bytes):
+                yield part(ids[a:b], raw[a:b])
         return fn
 
     return written(map_rows(docs.select(F.col(doc_id).cast("long"), text),
