@@ -19,7 +19,7 @@ MAX_REPEAT = 3
 BLOCK = 8
 SEED = 17
 #: Words and documents of one shard; a source has at most MAX_SHARDS of them, so a hot one is dealt over many tasks.
-SHARD_WORDS, SHARD_DOCS, MAX_SHARDS = 1 << 22, 100_000, 4096
+SHARD_WORDS, SHARD_DOCS, MAX_SHARDS = 1 << 18, 10_000, 4096
 
 
 def n_words(text: Column) -> Column:

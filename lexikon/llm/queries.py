@@ -58,7 +58,7 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
        FROM q, unnest(range(0, CAST(ceil(target / 8) AS BIGINT) + 2)) AS u(k)),
  b AS (SELECT source, count(*) AS blocks FROM k WHERE r <= seats GROUP BY source),
  e AS (SELECT q.*, coalesce(blocks, 0) AS blocks,
-              least(4096, greatest(1, ceil(source_size / 4194304), ceil(n_docs / 100000))) AS n_shards
+              least(4096, greatest(1, ceil(source_size / 262144), ceil(n_docs / 10000))) AS n_shards
        FROM q LEFT JOIN b ON q.source IS NOT DISTINCT FROM b.source),
  x AS (SELECT d.*, e.source_size, e.target, e.blocks,
               CAST('0x' || substr(key, 1, 8) AS BIGINT) % CAST(n_shards AS BIGINT) AS shard
