@@ -104,6 +104,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
        sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+CHAT_SCHEMAS = {
+    "ask": {"text": {"type": "string", "required": True, "min": 1, "max": 400}, "turn": {"type": "integer", "min": 0}},
+    "instruct": {"text": {"type": "string", "required": True, "min": 20}, "turn": {"type": "integer", "max": 0}},
+}
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.chat import link_calls, turns_as_calls
+    calls, results = turns_as_calls(table(spark, sf_dir, "conversations"))
+    return link_calls(calls, results, CHAT_SCHEMAS).select(
+        "conv_id", "call_id", "status", "depth", "name", "valid", F.array_join("errors", "; ").alias("errors"), "json")
+
+
+#: The turns of a conversation are unique in the tables, so no call is a duplicate here.
+CHAT_SQL = r"""
+WITH m AS (SELECT DISTINCT conv_id, turn, role, text, coalesce(role IN ('user', 'system'), false) AS is_call FROM conversations),
+ i AS (SELECT *, conv_id || ':' || (CASE WHEN is_call THEN turn ELSE turn - 1 END) AS call_id FROM m),
+ c AS (SELECT a.*, b.call_id AS after FROM i a LEFT JOIN i b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.is_call),
+ d AS (SELECT c.*, (SELECT count(*) FROM c p WHERE p.conv_id = c.conv_id AND p.turn < c.turn) AS depth FROM c),
+ r AS (SELECT call_id, conv_id, text AS content FROM i WHERE NOT is_call),
+ l AS (SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id,
+              CASE WHEN d.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+              depth, CASE role WHEN 'user' THEN 'ask' WHEN 'system' THEN 'instruct' END AS name, text, turn, content
+       FROM d FULL JOIN r ON d.call_id = r.call_id),
+ e AS (SELECT *, CASE WHEN status = 'orphan' THEN [] ELSE list_filter([
+         CASE WHEN text IS NULL THEN 'text: missing' END,
+         CASE WHEN length(text) < (CASE name WHEN 'ask' THEN 1 ELSE 20 END)
+              THEN 'text: below ' || (CASE name WHEN 'ask' THEN 1 ELSE 20 END) END,
+         CASE WHEN name = 'ask' AND length(text) > 400 THEN 'text: above 400' END,
+         CASE WHEN name = 'ask' AND turn < 0 THEN 'turn: below 0' END,
+         CASE WHEN name = 'instruct' AND turn > 0 THEN 'turn: above 0' END], lambda x: x IS NOT NULL) END AS errors FROM l)
+SELECT conv_id, call_id, status, depth, name, len(errors) = 0 AS valid, array_to_string(errors, '; ') AS errors,
+       '{"arguments":' || (CASE WHEN status = 'orphan' THEN 'null' ELSE to_json({'text': text, 'turn': turn}) END)
+       || ',"content":' || coalesce(to_json(content), 'null') || ',"depth":' || coalesce(CAST(depth AS VARCHAR), 'null')
+       || ',"errors":' || to_json(errors) || ',"id":' || to_json(call_id) || ',"name":' || coalesce(to_json(name), 'null')
+       || ',"status":' || to_json(status) || '}' AS json FROM e"""
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.langid import identify
     docs = table(spark, sf_dir, "documents")
@@ -217,6 +255,7 @@ QUERIES = {
     "op8_decontam": (op8_decontam, DECONTAM_SQL),
     "op3_quality": (op3_quality, None),
     "op4_repeats": (op4_repeats, REPEATS_SQL),
+    "op5_chat": (op5_chat, CHAT_SQL),
     "op6_langid": (op6_langid, None),
     "op9_host_rules": (op9_host_rules, _hosts_sql()),
     "op10_line_dedup": (op10_line_dedup, LINES_SQL),
