@@ -159,7 +159,6 @@ class Words:
         """One hash for each word: a polynomial over its bytes, finalised."""
         if not len(self):
             return np.empty(0, np.uint64)
-        longest = int((self.end - self.start).max())
         total = np.zeros(len(self), np.uint64)
         # by blocks of bytes: prefix sums of byte * base^offset, divided by base^start
         step = 1 << 20
@@ -174,13 +173,20 @@ class Words:
             s, e = self.start[i:j] - lo, self.end[i:j] - lo
             total[i:j] = (sums[e] - sums[s]) * down[s]
             i = j
-        assert longest >= 1
         return mix(total)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def text_sums(mask: np.ndarray, texts: list[bytes | None]) -> np.ndarray:
+    """How many bytes of each text are marked in ``mask``, which goes over ``Words.data``."""
+    if not texts:
+        return np.empty(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in texts])[:-1]]).astype(np.int64)
+    return np.add.reduceat(mask.view(np.int8), starts, dtype=np.int64)
+
+
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` neighbouring words (also across texts: the
     caller keeps those that lie within one)."""

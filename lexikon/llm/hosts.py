@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, append_columns, as_bytes, by_size, windows, written
+from lexikon.llm.common import Words, append_columns, as_bytes, by_size, text_sums, windows, written
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
@@ -66,10 +66,9 @@ def _dup_lines(text: bytes | None) -> tuple[int, int]:
 
 def _measures(raw: list[bytes | None]) -> list[list[int]]:
     words = Words(raw)
-    ends = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in raw], dtype=np.int64)])
 
     def sums(mask: np.ndarray) -> list[int]:
-        return np.diff(np.concatenate([[0], np.cumsum(mask)])[ends]).tolist()
+        return text_sums(mask, raw).tolist()
 
     space = np.isin(words.data, np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
     lines = [_dup_lines(t) for t in raw]

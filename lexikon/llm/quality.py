@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, append_columns, as_bytes, by_size, map_rows, windows, written
+from lexikon.llm.common import Words, append_columns, as_bytes, by_size, map_rows, text_sums, windows, written
 from lexikon.llm.decontam import NORMAL
 from lexikon.llm.hosts import SYMBOLS
 
@@ -67,18 +67,13 @@ def heuristic_votes(raw: list[bytes | None], abusive: set[bytes]) -> np.ndarray:
         distinct[i] = len(np.unique(h[a:b]))
         if b - a > 3:
             repeated[i] = (b - a - 2) - len(np.unique(grams[a:b - 2]))
-    ends = np.concatenate([[0], np.cumsum([len(t or b"") + 1 for t in raw], dtype=np.int64)])
-
-    def total(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
-
     again = np.append(False, h[1:] == h[:-1]) if len(h) else np.zeros(0, bool)
     again[words.first[:-1][n > 0]] = False
     some = np.maximum(n, 1)
-    stutter = total(again, words.first) / some
-    symbols = total(_IS_SYMBOL[plain.data], ends) / some
-    letters = total(_LETTER[plain.data], ends)
-    upper = total(_UPPER[plain.data], ends) / np.maximum(letters, 1)
+    stutter = np.diff(np.concatenate([[0], np.cumsum(again)])[words.first]) / some
+    symbols = text_sums(_IS_SYMBOL[plain.data], raw) / some
+    letters = text_sums(_LETTER[plain.data], raw)
+    upper = text_sums(_UPPER[plain.data], raw) / np.maximum(letters, 1)
     abuse = np.array([len(abusive & entries((t or b"").translate(NORMAL).split())) if abusive else 0 for t in raw])
     junk = [(n >= 40) & (repeated > 0.4 * n), (n >= 8) & (stutter > 0.25), (n >= 8) & (symbols > 0.2),
             (letters >= 40) & (upper > 0.4), (n >= 40) & (distinct < 0.4 * n)]
