@@ -124,7 +124,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     named n_lines or n_dropped are replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
-    cuts = sorted(set(docs.approxQuantile(doc_id, [i / batches for i in range(1, batches)], 0.001)))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(doc_id, shares, 1000)).first()[0] or [])) if shares else []
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("doc") >= F.lit(int(c))).cast("int")

@@ -61,7 +61,7 @@ def apportioned(votes: DataFrame, group: list[str], key: list[str], vote: str, s
     share can then change hands, so no more than those are ranked.
     """
     own = Window.partitionBy(*group)
-    share = F.col(vote) * F.col(seats) / F.sum(vote).over(own)
+    share = F.try_divide(F.col(vote).cast("double") * F.col(seats), F.sum(vote).over(own))
     start = (votes.withColumn("_start", F.coalesce(F.round(share), F.lit(0)).cast("long"))
              .withColumn("_miss", F.abs(F.col(seats) - F.sum("_start").over(own)))
              .withColumn("_base", F.greatest(F.col("_start") - F.col("_miss"), F.lit(0)))
@@ -114,7 +114,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
         F.least(F.col("quota") * block, F.col("shard_size") * max_repeat).alias("words"))
     laid = dealt.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     line = Window.partitionBy("source", "shard").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    passes = F.coalesce(F.floor(F.col("words") / F.col("shard_size")), F.lit(0)).cast("long")
+    passes = F.coalesce(F.floor(F.try_divide("words", "shard_size")), F.lit(0)).cast("long")
     at = F.coalesce(F.sum("size").over(line), F.lit(0))
     over = F.col("words") - F.col("passes") * F.col("shard_size")
     return (laid.withColumn("passes", passes).withColumn("at", at)

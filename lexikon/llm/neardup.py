@@ -7,11 +7,15 @@ later rank never beats one of an earlier rank, the shuffles stop as soon as all
 slots of a document are filled: two or three steps for most texts.
 
 Documents with equal sets form a class, of which only the smallest id goes on.
-Bands of the signature deal the classes into buckets.  No bucket is expanded
-into pairs: its members are first compared with its smallest member only, links
-are confirmed on the full sets and joined into components, and then only pairs
-of one bucket that lie in different components, and whose signatures agree well
-enough, are confirmed as well.  So no link between different texts is lost.
+Bands of the signature deal the classes into buckets.  For the members of shared
+buckets it is counted how many shingles of each no other one holds; that bounds
+its similarity to anything, and leaves out most texts that only share a passage.
+No bucket is expanded into pairs: its members are first compared with its hub,
+the member with the fewest shingles of its own (in a group of edited copies, the
+least edited one); links are confirmed on the full sets and joined into
+components; then only pairs of one bucket that lie in different components, and
+that bound and signatures allow, are confirmed as well.  So no link between
+different texts is lost.
 """
 
 from __future__ import annotations
@@ -117,15 +121,31 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     "bands array<bigint>", make)
 
 
-def likely(x: str, y: str) -> Column:
-    """Whether documents ``x`` and ``y`` (suffixes of columns) can be linked, by set sizes and sketches."""
+def possible(x: str, y: str) -> Column:
+    """Whether documents ``x`` and ``y`` (suffixes of columns) can be linked: what they have in
+    common is at most the smaller number of shingles that others hold (``common``), and
+    their sketches have to agree."""
     low = F.lit(0x5555555555555555)
     differ = F.lit(0)
     for s in SKETCH:
         d = F.col(s + x).bitwiseXOR(F.col(s + y))
         differ = differ + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(low))
-    n = F.col("n" + x), F.col("n" + y)
-    return (100 * F.least(*n) >= LINK * F.greatest(*n)) & (differ <= SLOTS - AGREE)
+    bound = (100 + LINK) * F.least("common" + x, "common" + y) >= LINK * (F.col("n" + x) + F.col("n" + y))
+    return bound & (differ <= SLOTS - AGREE)
+
+
+def common_shingles(texts: DataFrame) -> DataFrame:
+    """(id, alone): for (id, text) of different sets, the number of shingles that only this one holds."""
+    def make():
+        def fn(batch):
+            ids, raw = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            for a, b in by_size(raw, PART_BYTES):
+                yield {"id": ids[a:b], "grams": [_signed(x) for x in shingle_sets(raw[a:b])]}
+        return fn
+
+    grams = map_rows(texts, "id bigint, grams array<bigint>", make).select("id", F.explode("grams").alias("gram"))
+    return (grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).where("times = 1")
+            .groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK) -> DataFrame:
@@ -185,35 +205,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     full = sigs.where("n > 0 AND id IS NOT NULL")
     classes = written(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi")
-    members = reps.select("id", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    shared = written(members.join(buckets.select("key", "first"), "key"), "buckets")
+    members = reps.select("id", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = written(members.join(buckets.select("key"), "key", "left_semi"), "shared")
+    near = shared.select("id").distinct()
+    texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+                    .join(near, "id", "left_semi"), "texts")
+    info = written(reps.join(near, "id", "left_semi").join(common_shingles(texts), "id", "left").select(
+        "id", "n", *SKETCH, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+        .where(100 * F.col("common") >= LINK * F.col("n")), "info")
 
     def side(x: str) -> DataFrame:
-        return reps.select(*[F.col(c).alias(c + x) for c in ("id", "n", *SKETCH)])
-
-    stars = shared.where("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    tested = written(stars.join(side("x"), F.col("a") == F.col("idx"))
-                     .join(side("y"), (F.col("b") == F.col("idy")) & likely("x", "y")).select("a", "b"), "pairs")
-    involved = tested.select(F.col("a").alias("id")).union(tested.select("b")).distinct()
-
-    def texts(ids: DataFrame) -> DataFrame:
-        own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        return own.join(ids, "id", "left_semi")
-
-    links = written(confirmed(tested, texts(involved)), "links")
+        return info.toDF(*[c + x for c in info.columns])
+
+    here = written(shared.join(info.select("id", (F.col("n") - F.col("common")).alias("alone")), "id"), "members")
+    hubs = here.groupBy("key").agg(F.min(F.struct("alone", "id"))["id"].alias("hub"))
+    stars = here.join(hubs, "key").where("id <> hub").select("id", "hub").distinct()
+    tested = written(stars.join(side("x"), F.col("id") == F.col("idx"))
+                     .join(side("y"), (F.col("hub") == F.col("idy")) & possible("x", "y"))
+                     .select(F.col("id").alias("a"), F.col("hub").alias("b")), "pairs")
+    links = written(confirmed(tested, texts), "links")
     labels = components(links)
     # the rest: pairs of one bucket that are in different components so far
-    here = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    split = here.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    open_members = written(here.join(split, "key", "left_semi").join(side(""), ["id", "n"]), "open")
+    now = here.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_members = written(now.join(split, "key", "left_semi").join(info, "id"), "open")
     x, y = (open_members.toDF(*["key" if c == "key" else c + s for c in open_members.columns]) for s in ("x", "y"))
     rest = (x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
-                   & likely("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
-    more = written(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+                   & possible("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+    both_ways = tested.union(tested.select("b", "a"))
+    more = written(rest.join(both_ways, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        ids = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
-        found = written(confirmed(more, texts(ids)), "links")
+        found = written(confirmed(more, texts), "links")
         # components of the components: links between their labels
         label_of = labels.select(F.col("id").alias("k"), "label")
         over = (found.join(label_of.select(F.col("k").alias("a"), F.col("label").alias("la")), "a", "left")
