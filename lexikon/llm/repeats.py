@@ -225,11 +225,12 @@ def _remove():
             key = windows(words.hashes(), WINDOW)[start]
             own, smallest = _smallest(key, ids[doc])
             best = smallest[np.searchsorted(own, key)]
-            for x in row["holders"] or []:  # from other chunks; buckets do not share a key
-                k, d = np.frombuffer(x["keys"], np.uint64), np.frombuffer(x["docs"], np.int64)
-                if len(k):
-                    at = np.minimum(np.searchsorted(k, key), len(k) - 1)
-                    best = np.where(k[at] == key, np.minimum(best, d[at]), best)
+            if row["holders"] and len(key):  # from other chunks; buckets do not share a key
+                k = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in row["holders"]])
+                d = np.concatenate([np.frombuffer(x["docs"], np.int64) for x in row["holders"]])
+                k, d = _smallest(k, d)
+                at = np.minimum(np.searchsorted(k, key), len(k) - 1)
+                best = np.where(k[at] == key, np.minimum(best, d[at]), best)
             repeat = best < ids[doc]
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, start[repeat], 1)
