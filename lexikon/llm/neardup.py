@@ -13,9 +13,10 @@ its similarity to anything, and leaves out most texts that only share a passage.
 No bucket is expanded into pairs: its members are first compared with its hub,
 the member with the fewest shingles of its own (in a group of edited copies, the
 least edited one); links are confirmed on the full sets and joined into
-components; then only pairs of one bucket that lie in different components, and
-that bound and signatures allow, are confirmed as well.  So no link between
-different texts is lost.
+components; then only pairs of one bucket that lie in different components are
+looked at, and of those the ones that share a rare shingle (found through it) or
+can be linked by their frequent shingles alone.  What sketches allow of them is
+confirmed as well.  So no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BANDS = SLOTS // ROWS
 #: Two bits of each slot make the sketch.  At a similarity of 0.75 the number of equal ones has
 #: mean 104 and sd 4.4, so fewer than one pair in ten million falls below this; at 0.25 the mean is 56.
 AGREE = 81
+#: A shingle that no more of the documents in question hold is rare.
+RARE = 10
 SKETCH = ["s0", "s1", "s2", "s3"]
 PART_BYTES = 1_200_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -121,21 +124,21 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     "bands array<bigint>", make)
 
 
-def possible(x: str, y: str) -> Column:
+def possible(x: str, y: str, most: str = "common") -> Column:
     """Whether documents ``x`` and ``y`` (suffixes of columns) can be linked: what they have in
-    common is at most the smaller number of shingles that others hold (``common``), and
+    common is at most the smaller number of shingles that others hold (``most``), and
     their sketches have to agree."""
     low = F.lit(0x5555555555555555)
     differ = F.lit(0)
     for s in SKETCH:
         d = F.col(s + x).bitwiseXOR(F.col(s + y))
         differ = differ + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(low))
-    bound = (100 + LINK) * F.least("common" + x, "common" + y) >= LINK * (F.col("n" + x) + F.col("n" + y))
+    bound = (100 + LINK) * F.least(most + x, most + y) >= LINK * (F.col("n" + x) + F.col("n" + y))
     return bound & (differ <= SLOTS - AGREE)
 
 
-def common_shingles(texts: DataFrame) -> DataFrame:
-    """(id, alone): for (id, text) of different sets, the number of shingles that only this one holds."""
+def shingles_of(texts: DataFrame) -> DataFrame:
+    """(id, gram) of (id, text)."""
     def make():
         def fn(batch):
             ids, raw = batch.column(0).to_pylist(), as_bytes(batch.column(1))
@@ -143,9 +146,22 @@ def common_shingles(texts: DataFrame) -> DataFrame:
                 yield {"id": ids[a:b], "grams": [_signed(x) for x in shingle_sets(raw[a:b])]}
         return fn
 
-    grams = map_rows(texts, "id bigint, grams array<bigint>", make).select("id", F.explode("grams").alias("gram"))
-    return (grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id")).where("times = 1")
-            .groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    return map_rows(texts, "id bigint, grams array<bigint>", make).select("id", F.explode("grams").alias("gram"))
+
+
+def rare_pairs(grams: DataFrame, nodes: DataFrame, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``nodes`` with different labels that share a shingle at most ``rare``
+    of them hold, and (id, n_rare): how many of its shingles are that rare.
+
+    A shingle gives less than ``rare ** 2`` pairs, so their number is linear in the shingles.
+    """
+    times = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= rare)
+    scarce = written(grams.join(times, "gram"), "rare")
+    shared = scarce.where("times > 1").select("gram", "id").join(nodes, "id")
+    x, y = (shared.toDF(*["gram" if c == "gram" else c + s for c in shared.columns]) for s in ("x", "y"))
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
+                   & possible("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+    return pairs, scarce.groupBy("id").agg(F.count(F.lit(1)).alias("n_rare"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, link: int = LINK) -> DataFrame:
@@ -211,7 +227,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     near = shared.select("id").distinct()
     texts = written(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
                     .join(near, "id", "left_semi"), "texts")
-    info = written(reps.join(near, "id", "left_semi").join(common_shingles(texts), "id", "left").select(
+    alone = (shingles_of(texts).groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
+             .where("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
+    info = written(reps.join(near, "id", "left_semi").join(alone, "id", "left").select(
         "id", "n", *SKETCH, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
         .where(100 * F.col("common") >= LINK * F.col("n")), "info")
 
@@ -230,9 +248,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     now = here.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_members = written(now.join(split, "key", "left_semi").join(info, "id"), "open")
-    x, y = (open_members.toDF(*["key" if c == "key" else c + s for c in open_members.columns]) for s in ("x", "y"))
+    nodes = open_members.drop("key").distinct()
+    linked_rare, n_rare = rare_pairs(shingles_of(texts.join(nodes.select("id"), "id", "left_semi")), nodes, RARE)
+    frequent = open_members.join(n_rare, "id", "left").withColumn(
+        "frequent", F.col("n") - F.coalesce("n_rare", F.lit(0))).where(100 * F.col("frequent") >= LINK * F.col("n"))
+    x, y = (frequent.toDF(*["key" if c == "key" else c + s for c in frequent.columns]) for s in ("x", "y"))
     rest = (x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
-                   & possible("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct())
+                   & possible("x", "y", "frequent")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+            .union(linked_rare).distinct())
     both_ways = tested.union(tested.select("b", "a"))
     more = written(rest.join(both_ways, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
