@@ -2,7 +2,8 @@
 against ordinary identifiers.
 
 The labelled samples come from the documents themselves: what a pattern matches
-is a random string, every other run of identifier characters an ordinary one.
+is a random string; every other run of identifier characters that is too short
+to be a candidate is an ordinary one (longer ones may be secrets themselves).
 First-order transition counts of both classes are summed over all documents (a
 table of at most 2 * 67 * 67 numbers); a run is a secret if its log-likelihood
 ratio per character is above the threshold.
@@ -29,9 +30,10 @@ ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=
 SIZE = len(ALPHABET) + 1
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(ALPHABET)] = np.arange(1, SIZE)
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{20,}")
-MIN_RUN = 8
+MIN_RUN, MIN_CANDIDATE = 8, 20
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)
 THRESHOLD = 0.5
+BACK_OFF = 10.0
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
@@ -46,12 +48,13 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def _transitions(data: np.ndarray, least: int) -> np.ndarray:
-    """Counts of class pairs within runs of at least ``least`` characters, edges included."""
+def _transitions(data: np.ndarray, least: int, below: float = np.inf) -> np.ndarray:
+    """Counts of class pairs within runs of ``least`` characters or more, but fewer than
+    ``below``, edges included."""
     edge = np.flatnonzero(np.diff(data != 0, prepend=False, append=False))
     start, end = edge[0::2], edge[1::2]
-    long = end - start >= least
-    start, end = start[long], end[long]
+    fits = (end - start >= least) & (end - start < below)
+    start, end = start[fits], end[fits]
     mark = np.zeros(len(data) + 1, np.int8)
     mark[start] = 1
     mark[end] -= 1
@@ -74,7 +77,7 @@ def _count_batch():
             for _, _, end, value in base_spans(raw):
                 total[1] += _transitions(data[value:end], 1)
                 data[value:end] = 0
-            total[0] += _transitions(data, MIN_RUN)
+            total[0] += _transitions(data, MIN_RUN, MIN_CANDIDATE)
         label, pair = np.nonzero(total)
         yield {"random": label.tolist(), "pair": pair.tolist(), "n": total[label, pair].tolist()}
     return fn
@@ -87,13 +90,16 @@ def markov_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def log_ratio(counts: list[tuple[int, int, int]]) -> np.ndarray | None:
-    """log p(next | c, random) - log p(next | c, ordinary), add-one smoothed; None without random samples."""
+    """log p(next | c, random) - log p(next | c, ordinary); None without random samples.
+    A character's followers are smoothed towards how often each one occurs at all."""
     table = np.zeros((2, SIZE, SIZE))
     for label, pair, n in counts:
         table[label, pair // SIZE, pair % SIZE] += n
     if not table[1].any():
         return None
-    p = (table + 1) / (table + 1).sum(axis=2, keepdims=True)
+    single = table.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    p = (table + BACK_OFF * single) / (table.sum(axis=2, keepdims=True) + BACK_OFF)
     return np.log(p[1]) - np.log(p[0])
 
 

@@ -160,7 +160,7 @@ def test_secrets_markov_held_out(docs_of):
     parts = ["get", "user", "name", "from", "data", "table", "count", "total", "value", "index", "cache"]
     name = lambda k: "_".join(rnd.choices(parts, k=k))
     key = lambda k: "".join(rnd.choices(alphabet, k=k))
-    rows = [(i, f"{name(5)} {name(4)} token = {key(40)} {name(6)}") for i in range(300)]
+    rows = [(i, f"{name(2)} {name(3)} token = {key(40)} {name(2)}") for i in range(300)]
     rows += [(1000 + i, f"see {key(32)} here") for i in range(100)] + [(2000 + i, f"see {name(6)} here") for i in range(100)]
     found = {i: s[0] for i, s in rows_by_id(find_secrets(docs_of(rows)), "spans").items()}
     assert sum(bool(found[1000 + i]) for i in range(100)) >= 95
