@@ -28,7 +28,7 @@ LONGEST = 30
 ROUNDS = 2
 SMOOTHING = 0.1
 PART_CHARS = 1_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 MAX_LANGUAGES = 1000
 
 
@@ -51,24 +51,32 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.id = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
-        self.size = self.unknown + 1
-        self.prefixes = {p[:k] for p in pieces for k in range(1, len(p))}
-
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece) with the word start as letter 0."""
+        self.trie: dict = {}  # letter -> (following letters, piece that ends here or -1)
+        for piece, number in self.id.items():
+            node = self.trie
+            for k, c in enumerate(piece):
+                below, own = node.get(c, (None, -1))
+                below = {} if below is None else below
+                node[c] = below, (number if k == len(piece) - 1 else own)
+                node = below
+
+    def edges(self, word: str) -> list[int]:
+        """Edges ((to * 64 + from) << 32) + piece, with the word start as letter 0."""
         out = []
-        s, get, prefixes = START + word, self.id.get, self.prefixes
-        n = len(s)
-        for i in range(n):
-            for e in range(i + 1, n + 1):
-                part = s[i:e]
-                p = get(part)
-                if p is not None:
-                    out.append((i, e, p))
-                elif e == i + 1:
-                    out.append((i, e, self.unknown))
-                if part not in prefixes:
+        s = START + word
+        trie, unknown = self.trie, self.unknown
+        for i in range(len(s)):
+            node, at = trie, i * 65
+            for c in s[i:]:
+                step = node.get(c)
+                if step is None:
                     break
+                node, piece = step
+                at += 64
+                if piece >= 0:
+                    out.append((at << 32) + piece)
+            if s[i] not in trie or trie[s[i]][1] < 0:
+                out.append(((i * 65 + 64) << 32) + unknown)
         return out
 
     def groups(self, words: list[str]) -> Iterator[tuple[list[int], int, list]]:
@@ -77,13 +85,18 @@ class Lattice:
         for k, w in enumerate(words):
             by_length[len(w) + 1].append(k)
         for n, own in by_length.items():
-            at: dict[tuple[int, int], tuple[list, list]] = defaultdict(lambda: ([], []))
-            for row, k in enumerate(own):
-                for i, e, p in self.edges(words[k]):
-                    rows, ids = at[i, e]
-                    rows.append(row)
-                    ids.append(p)
-            steps = [(i, e, np.array(r), np.array(p)) for (i, e), (r, p) in sorted(at.items(), key=lambda x: x[0][::-1])]
+            found, sizes = [], []
+            for k in own:
+                edges = self.edges(words[k])
+                found += edges
+                sizes.append(len(edges))
+            code = np.array(found, np.int64)
+            rows = np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(code >> 32, kind="stable")
+            place, ids, rows = (code >> 32)[order], (code & 0xFFFFFFFF)[order], rows[order]
+            cut = np.flatnonzero(np.diff(place)) + 1
+            steps = [(int(place[a]) % 64, int(place[a]) // 64, rows[a:b], ids[a:b])
+                     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True)]
             yield own, n, steps
 
     def log_probs(self, words: list[str], p: np.ndarray) -> np.ndarray:
@@ -109,14 +122,14 @@ class Lattice:
             probs = [p[ids, lang[rows]] for _, _, rows, ids in steps]
             for (i, e, rows, _), q in zip(steps, probs, strict=True):
                 alpha[e, rows] += alpha[i, rows] * q
-            back = sorted(range(len(steps)), key=lambda s: -steps[s][0])
-            for s in back:
+            for s in sorted(range(len(steps)), key=lambda s: -steps[s][0]):
                 i, e, rows, _ = steps[s]
                 beta[i, rows] += beta[e, rows] * probs[s]
             scale = times / alpha[n]
-            for (i, e, rows, ids), q in zip(steps, probs, strict=True):
-                total += np.bincount(ids * width + lang[rows], alpha[i, rows] * q * beta[e, rows] * scale[rows],
-                                     minlength=p.size)
+            where = np.concatenate([ids * width + lang[rows] for _, _, rows, ids in steps])
+            weight = np.concatenate([alpha[i, rows] * q * beta[e, rows] * scale[rows]
+                                     for (i, e, rows, _), q in zip(steps, probs, strict=True)])
+            total += np.bincount(where, weight, minlength=p.size)
         return total.reshape(p.shape)
 
 
