@@ -13,6 +13,8 @@ greetings run to the end of the text.  Positions are 1-based code points.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ SECTION_KEYWORDS: dict[str, list[str]] = {
 SECTION_NAMES = ["clinical_infos", "sample_infos", "description", "conclusion", "greetings"]
 
 
-def find_codon(t: Column, words: list[str]) -> Column:
+def first_keyword(t: Column, words: list[str]) -> Column:
     """The first keyword, in list order, that occurs in the text (or null)."""
     out = None
     for w in words:
@@ -39,34 +41,36 @@ def find_codon(t: Column, words: list[str]) -> Column:
     return out
 
 
+def _starts(pieces: Column, width: Column) -> Column:
+    """1-based starts of the matches between ``pieces``, each ``width`` long: one
+    pass with a running position."""
+    none = F.array().cast("array<int>")
+
+    def step(acc, p):
+        start = acc["pos"] + F.length(p)
+        return F.struct((start + width).alias("pos"), F.array_append(acc["out"], start).alias("out"))
+
+    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.struct(F.lit(1).alias("pos"), none.alias("out")),
+                         step, lambda acc: acc["out"])
+    return F.when(F.size(pieces) < 2, none).otherwise(starts)
+
+
 def _literal_starts(t: Column, word: str) -> Column:
     """All 1-based starts of one literal keyword (non-overlapping, left to
-    right).  ``split`` on the quoted literal (compiled once) gives the pieces
-    between matches; start k is 1 + the lengths of the first k pieces + (k-1)
-    keyword lengths."""
-    import re as _re
-    pieces = F.split(t, _re.escape(word), -1)
-    lens = F.transform(pieces, lambda p: F.length(p))
-    idx = F.sequence(F.lit(1), F.size(pieces) - 1)
-    starts = F.transform(idx, lambda i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x)
-                         + (i - 1) * len(word) + 1)
-    return F.when(F.size(pieces) < 2, F.array().cast("array<int>")).otherwise(starts)
+    right); ``split`` on the quoted literal (compiled once) gives the pieces."""
+    return _starts(F.split(t, re.escape(word), -1), F.lit(len(word)))
 
 
 def keyword_starts(t: Column, kw: Column, words: list[str] | None = None) -> Column:
     """All 1-based starts of the chosen keyword ``kw``.  With the candidate
     list given, one literal branch per candidate (no per-row pattern)."""
+    none = F.array().cast("array<int>")
     if words:
         out = None
         for w in words:
             out = F.when(kw == w, _literal_starts(t, w)) if out is None else out.when(kw == w, _literal_starts(t, w))
-        return F.coalesce(out, F.array().cast("array<int>"))
-    pieces = F.split(t, F.concat(F.lit(r"\Q"), kw, F.lit(r"\E")), F.lit(-1))
-    klen = F.length(kw)
-    idx = F.sequence(F.lit(1), F.size(pieces) - 1)
-    starts = F.transform(idx, lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0),
-                                                    lambda a, p: a + F.length(p)) + (i - 1) * klen + 1)
-    return F.when(kw.isNull() | (F.size(pieces) < 2), F.array().cast("array<int>")).otherwise(starts)
+        return F.coalesce(out, none)
+    return F.coalesce(_starts(F.split(t, F.concat(F.lit(r"\Q"), kw, F.lit(r"\E")), F.lit(-1)), F.length(kw)), none)
 
 
 def frames(t: Column, kw: Column, stops: list[Column], starts: Column | None = None) -> Column:
@@ -93,7 +97,7 @@ def report_sections(text: Column | str, combine_all_conclusions: bool = True) ->
     For large tables use ``with_report_sections``: it computes every keyword,
     start list and frame list once in its own projection."""
     t = F.col(text) if isinstance(text, str) else text
-    k = {name: find_codon(t, words) for name, words in SECTION_KEYWORDS.items()}
+    k = {name: first_keyword(t, words) for name, words in SECTION_KEYWORDS.items()}
     starts = {n: keyword_starts(t, k[n], _words(n)) for n in _FRAMED}
     return _assemble(t, k, {n: frames(t, k[n], _stop_list(k), starts[n]) for n in _FRAMED},
                      combine_all_conclusions)
@@ -136,7 +140,7 @@ def with_report_sections(df: DataFrame, text: str, out: str = "sections",
     t = F.col(text)
     keep = df.columns
     kcols = {n: "_k_" + n for n in SECTION_KEYWORDS}
-    d = df.select(*keep, *[find_codon(t, w).alias(kcols[n]) for n, w in SECTION_KEYWORDS.items()])
+    d = df.select(*keep, *[first_keyword(t, w).alias(kcols[n]) for n, w in SECTION_KEYWORDS.items()])
     k = {n: F.col(c) for n, c in kcols.items()}
     d = d.select("*", *[keyword_starts(t, k[n], _words(n)).alias("_s_" + n) for n in _FRAMED])
     stops = _stop_list(k)

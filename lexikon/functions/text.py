@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A word character for our tokenisers: any letter, decimal digit or underscore.
@@ -148,28 +148,32 @@ def compose_label(*parts: Column | str) -> Column:
     return F.concat_ws("_", *[_c(p) for p in parts])
 
 
+def match_spans(t: Column, pattern: str, lengths: Column) -> Column:
+    """0-based ``(start, stop)`` of every match, from the pieces between matches and the
+    match ``lengths``: one pass with a running position."""
+    pieces = F.split(t, pattern, -1)
+    steps = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), lengths,
+                       lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.cast("long").alias("own")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(acc, x):
+        start = acc["pos"] + x["gap"]
+        return F.struct((start + x["own"]).alias("pos"), F.array_append(acc["out"], F.struct(
+            start.alias("start"), (start + x["own"]).alias("stop"))).alias("out"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), step,
+                       lambda acc: acc["out"])
+
+
 def find_all(df: DataFrame, key: str, text: str, keyword: str, regex: bool = False) -> DataFrame:
     """Every non-overlapping match of ``keyword`` as ``(key, n, start, stop)``,
-    0-based like Python; literal by default.  Positions come from the piece
-    lengths between matches: one exploded row per match and a running sum
-    inside the text's own group."""
+    0-based like Python; literal by default.  Positions are computed inside the
+    row and exploded once: no shuffle, no window."""
+    t = F.col(text)
     pattern = keyword if regex else re.escape(keyword)
-    pieces = df.select(key, F.posexplode(F.split(F.col(text), pattern, -1)).alias("n", "piece"))
-    if regex:
-        matches = df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0))
-                            .alias("n", "m"))
-        pieces = pieces.join(matches, [key, "n"], "left")
-        mlen = F.coalesce(F.length("m"), F.lit(0))
-    else:
-        mlen = F.lit(len(keyword))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     if regex:
-        prev_m = F.sum(mlen).over(w) - mlen
+        lengths = F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), lambda m: F.length(m))
     else:
-        prev_m = F.col("n") * len(keyword)
-    pos = pieces.withColumn("_len", F.length("piece")).withColumn(
-        "start", (F.sum("_len").over(w) + prev_m).cast("long"))
-    last = F.max("n").over(Window.partitionBy(key))
-    out = pos.withColumn("_last", last).where(F.col("n") < F.col("_last"))
-    return out.select(key, F.col("n").cast("int").alias("n"), "start",
-                      (F.col("start") + mlen).cast("long").alias("stop"))
+        lengths = F.array_repeat(F.lit(len(keyword)), F.size(F.split(t, pattern, -1)) - 1)
+    spans = df.select(key, F.posexplode(match_spans(t, pattern, lengths)).alias("n", "span"))
+    return spans.select(key, F.col("n").cast("int").alias("n"), "span.start", "span.stop")

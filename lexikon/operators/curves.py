@@ -11,10 +11,12 @@ minus the current cell: no ``lag`` window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexikon.operators.index import broadcast_if_small, running_sums
+from lexikon.operators.index import running_sums, with_row_index
 from lexikon.session import cut_lineage
 
 MICRO = "micro"
@@ -84,8 +86,9 @@ def curve_points(df: DataFrame, keys: list[str]) -> DataFrame:
     cells = cut_lineage(cells)
     cum = running_sums(cells, keys, -F.col("score"), ["pos", "neg"])
     tot = cells.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per key (label): broadcast behind a row-count check
-    return (cum.join(broadcast_if_small(tot.persist()), keys)
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], F.lit(True))
+    cum = cum.alias("c").join(tot.alias("t"), same).select("c.*", "t.P", "t.N")
+    return (cum
             .withColumnRenamed("pos_cum", "tp").withColumnRenamed("neg_cum", "fp"))
 
 
@@ -154,40 +157,38 @@ def _sample_average_precision(df: DataFrame, id_col: str, label: str) -> DataFra
             .groupBy(id_col).agg(F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / F.col("n"))).alias("ap")))
 
 
-def macro_roc_curve(df: DataFrame, label: str = "label", rows_per_bucket: int = 1_000_000) -> DataFrame:
+def macro_roc_curve(df: DataFrame, label: str = "label") -> DataFrame:
     """The union of all labels' fpr points, each label's tpr linearly
     interpolated there (largest tpr where a label has several at one fpr), and
     the mean over labels.  (Because a label's curve is taken at its largest tpr
     at every fpr, the area of this curve can exceed the mean per-label AUC.)
 
-    No per-label window over the grid: each label's curve becomes segments
-    ``[x0, x1]`` (consecutive points by a range-built index), the grid is cut
-    into quantile buckets, every segment is routed to the buckets it spans and
-    grid points find their segment by an equi-join on the bucket plus the
-    interval test."""
-    from lexikon.operators.index import _range_ids, bucketize, with_row_index
+    A sum of piecewise linear curves is piecewise linear: every point of a label
+    changes the slope of the sum there.  So the mean at all points is one
+    running sum of slope changes over the grid, linear in the points; no label
+    is evaluated on another one's points."""
     roc = roc_curve(df, [label])
-    pts = roc.groupBy(label, "fpr").agg(F.max("tpr").alias("tpr"))
+    pts = roc.select(label, "fpr", "tpr")
     starts = pts.select(label).distinct().select(label, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    pts = pts.unionByName(starts).groupBy(label, "fpr").agg(F.max("tpr").alias("tpr"))
+    pts = cut_lineage(pts.unionByName(starts).groupBy(label, "fpr").agg(F.max("tpr").alias("tpr")))
     idx = with_row_index(pts, ["fpr"], "i", partition_by=[label])
-    nxt = idx.select(label, (F.col("i") - 1).alias("i"), F.col("fpr").alias("x1"), F.col("tpr").alias("y1"))
-    seg = (idx.join(nxt, [label, "i"], "left")
-           .select(label, F.col("fpr").alias("x0"), F.col("tpr").alias("y0"), "x1", "y1"))
-    grid = pts.select("fpr").distinct()
-    n = grid.count()
-    g = _range_ids(grid, "fpr", n, rows_per_bucket)
-    splits_df = g.groupBy("_rng").agg(F.min("fpr").alias("lo")).orderBy("_rng").collect()  # one row per bucket
-    inner = [r["lo"] for r in splits_df[1:]]
-    splits = [float("-inf")] + inner + [float("inf")]
-    g = bucketize(grid, splits, F.col("fpr"), "_b")
-    seg = bucketize(bucketize(seg, splits, F.col("x0"), "_b0"), splits, F.coalesce("x1", "x0"), "_b1")
-    seg = seg.withColumn("_b", F.explode(F.sequence("_b0", "_b1")))
-    hit = g.join(seg, "_b").where((F.col("fpr") >= F.col("x0")) &
-                                  ((F.col("fpr") < F.col("x1")) | F.col("x1").isNull()))
-    interp = F.when(F.col("x1").isNull() | (F.col("fpr") == F.col("x0")), F.col("y0")).otherwise(
-        F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("fpr") - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    return hit.groupBy("fpr").agg(F.avg(interp).alias("mean_tpr"))
+    here = idx.select(F.col(label).alias("l"), "i", F.col("fpr").alias("x0"), F.col("tpr").alias("y0")).alias("h")
+    after = idx.select(F.col(label).alias("l"), (F.col("i") - 1).alias("i"), F.col("fpr").alias("x1"),
+                       F.col("tpr").alias("y1")).alias("a")
+    seg = (here.join(after, F.col("h.l").eqNullSafe(F.col("a.l")) & (F.col("h.i") == F.col("a.i")), "left")
+           .select("h.i", "x0", "y0", "x1", F.coalesce((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")),
+                                                       F.lit(0.0)).alias("slope")))
+    turns = seg.select(F.explode(F.array(
+        F.struct(F.col("x0").alias("fpr"), F.col("slope").alias("turn"),
+                 F.when(F.col("i") == 0, F.col("y0")).otherwise(0.0).alias("start")),
+        F.struct(F.col("x1").alias("fpr"), (-F.col("slope")).alias("turn"), F.lit(0.0).alias("start")))).alias("t"))
+    grid = (turns.select("t.*").where(F.col("fpr").isNotNull()).groupBy("fpr")
+            .agg(F.sum("turn").alias("turn"), F.sum(F.col("turn") * F.col("fpr")).alias("lift"),
+                 F.sum("start").alias("start")))
+    n_labels = starts.agg(F.count(F.lit(1)).alias("n_labels"))
+    cum = running_sums(grid, [], F.col("fpr"), ["turn", "lift", "start"]).crossJoin(F.broadcast(n_labels))  # one row
+    return cum.select("fpr", ((F.col("start_cum") + F.col("fpr") * F.col("turn_cum") - F.col("lift_cum"))
+                              / F.col("n_labels")).alias("mean_tpr"))
 
 
 def micro_scores(df: DataFrame, t: float, beta: float = 0.5) -> DataFrame:

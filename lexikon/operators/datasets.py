@@ -3,8 +3,6 @@ oversampling, splits and folds (P1-P17)."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -92,18 +90,21 @@ def oversample(df: DataFrame, label: str, id_col: str, seed: int = 0) -> DataFra
     (label, row number)."""
     idx = with_row_index(df, [id_col], "_rn", partition_by=[label], count_name="_nc")
     # one row per class: the window over it is tiny
-    counts = (idx.groupBy(label).agg(F.first("_nc").alias("_nc"))
+    counts = (idx.groupBy(F.col(label).alias("_label")).agg(F.first("_nc").alias("_nc"))
               .withColumn("_max", F.max("_nc").over(Window.partitionBy())))
     need = (counts.where(F.col("_nc") < F.col("_max"))
             # copies are generated in chunks so one small class never makes one huge task
             .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_max") - F.col("_nc") - 1)
                                                                          / COPY_CHUNK).cast("int"))))
-            .repartition("_chunk", label)
+            .repartition("_chunk", "_label")
             .withColumn("copy_no", F.explode(F.sequence(
                 F.col("_chunk") * COPY_CHUNK + 1,
                 F.least((F.col("_chunk") + 1) * COPY_CHUNK, F.col("_max") - F.col("_nc")))))
-            .withColumn("_rn", F.pmod(arithmetic_order(F.col("copy_no"), seed), F.col("_nc"))))
-    copies = need.join(idx.drop("_nc"), [label, "_rn"]).drop("_nc", "_max", "_chunk")
+            .withColumn("_pick", F.pmod(arithmetic_order(F.col("copy_no"), seed), F.col("_nc")))
+            .select("_label", "_pick", "copy_no"))
+    rows = idx.drop("_nc")
+    copies = rows.join(need, rows[label].eqNullSafe(need["_label"]) & (F.col("_rn") == F.col("_pick"))).drop(
+        "_label", "_pick")
     base = idx.drop("_nc").withColumn("copy_no", F.lit(0).cast("int"))
     return base.unionByName(copies.withColumn("copy_no", F.col("copy_no").cast("int"))).drop("_rn")
 
@@ -117,28 +118,25 @@ def train_test_split(df: DataFrame, order: list[Column | str], test_share: float
                      name: str = "split") -> DataFrame:
     """The first ``ceil(n * share)`` rows of a seeded order are the test
     side; exact and repeatable, unlike ``randomSplit``."""
-    n = df.count()
-    n_test = math.ceil(n * test_share)  # same float rounding as the reference split
-    idx = with_row_index(df, order, "_i", n=n)
-    return idx.withColumn(name, F.when(F.col("_i") < n_test, "test").otherwise("train")).drop("_i")
+    idx = with_row_index(df, order, "_i", count_name="_n")
+    n_test = F.ceil(F.col("_n") * F.lit(float(test_share)))
+    return idx.withColumn(name, F.when(F.col("_i") < n_test, "test").otherwise("train")).drop("_i", "_n")
 
 
 def slice_rows(df: DataFrame, order: list[Column | str], start: int, stop: int | None = None) -> DataFrame:
     """Rows ``[start:stop)`` of an order; negative bounds count from the end."""
-    n = df.count()
-    lo = start if start >= 0 else max(0, n + start)
-    hi = n if stop is None else (stop if stop >= 0 else n + stop)
-    idx = with_row_index(df, order, "row_idx", n=n)
-    return idx.where((F.col("row_idx") >= lo) & (F.col("row_idx") < hi))
+    idx = with_row_index(df, order, "row_idx", count_name="_n")
+    lo = F.lit(start) if start >= 0 else F.col("_n") + start
+    hi = F.col("_n") if stop is None else (F.lit(stop) if stop >= 0 else F.col("_n") + stop)
+    return idx.where((F.col("row_idx") >= lo) & (F.col("row_idx") < hi)).drop("_n")
 
 
 def tail_validation(df: DataFrame, order: list[Column | str], share: float = 0.2,
                     name: str = "is_val") -> DataFrame:
     """The last ``share`` of the rows (index >= floor(n * (1 - share)))."""
-    n = df.count()
-    cut = int(n * (1 - share) + 1e-9)
-    idx = with_row_index(df, order, "_i", n=n)
-    return idx.withColumn(name, F.col("_i") >= cut).drop("_i")
+    idx = with_row_index(df, order, "_i", count_name="_n")
+    cut = F.floor(F.col("_n") * F.lit(1.0 - share) + 1e-9)
+    return idx.withColumn(name, F.col("_i") >= cut).drop("_i", "_n")
 
 
 def kfold(df: DataFrame, order: list[Column | str], folds: int, name: str = "fold") -> DataFrame:

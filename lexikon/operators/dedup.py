@@ -1,9 +1,9 @@
 """Path and text de-duplication, renaming and counts.
 
-Every step is a hash aggregate or a join; nothing is compared pairwise.  Long
-texts are grouped by ``sha2`` together with the text itself, so a hash
-collision can never merge two different texts, and no sort ever runs on the
-text column.
+Every step is a hash aggregate or a join; nothing is compared pairwise.  Texts
+are grouped by their ``sha2`` and length with fixed-size aggregates only, and
+the texts themselves are joined back by position, so no sort and no aggregation
+buffer ever holds a text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexikon.functions.text import base_name, clean_path, padded_id, title_of
-from lexikon.operators.index import with_row_index, with_sorted_index
+from lexikon.operators.index import with_row_index
 
 
 def dedup_paths(df: DataFrame, path: str = "path", order: str = "ord") -> DataFrame:
@@ -22,16 +22,20 @@ def dedup_paths(df: DataFrame, path: str = "path", order: str = "ord") -> DataFr
 
 def last_write_wins(df: DataFrame, key: str, text: str = "text", order: str = "ord") -> DataFrame:
     """One row per key (e.g. the 16-character title): the text of the last
-    write, the position of the first."""
-    return df.groupBy(key).agg(F.max_by(text, order).alias(text), F.min(order).alias(order))
+    write, the position of the first.  Positions are unique."""
+    ends = df.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"), F.min(order).alias("_first"))
+    return (df.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col(order) == F.col("_last")))
+            .select(key, text, F.col("_first").alias(order)))
 
 
 def dedup_exact_text(df: DataFrame, text: str = "text", title: str = "title",
                      order: str = "ord") -> DataFrame:
-    """D3: for each distinct text the first title (and position) and the copy count."""
-    return (df.groupBy(F.sha2(F.col(text), 256).alias("text_sha"), F.col(text))
-            .agg(F.min_by(title, order).alias(title), F.min(order).alias(order),
-                 F.count(F.lit(1)).alias("copies")))
+    """D3: for each distinct text the first title (and position) and the copy count.
+    Positions are unique."""
+    groups = (df.groupBy(F.sha2(F.col(text), 256).alias("text_sha"), F.length(text))
+              .agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("copies")))
+    return (df.join(groups.select("text_sha", "_first", "copies"), F.col(order) == F.col("_first"))
+            .select("text_sha", text, title, order, "copies"))
 
 
 def keep_survivors(df: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
@@ -67,7 +71,7 @@ def rename_map(df: DataFrame, path: str = "path", order: str = "ord", left: bool
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Frequency list, most common first (ties by value), with a rank."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    ranked = with_sorted_index(c, [F.desc("n"), F.col(col)], "rank")
+    ranked = with_row_index(c, [F.desc("n"), F.col(col)], "rank")
     return ranked.withColumn("rank", (F.col("rank") + 1).cast("bigint"))
 
 

@@ -1,54 +1,32 @@
-"""Row index, seeded order and fold assignment without a single-task window.
-
-``row_number() OVER (ORDER BY id)`` moves every row to one task.  Here the
-order key is cut into value ranges from approximate quantiles (the boundaries
-are computed once and become literals, so a recomputed task after an executor
-loss sees the same ranges), rows are numbered inside their range, and the
-range offsets -- one row per range, a size bounded by ``n / rows_per_range`` --
-are added through a broadcast join.
+"""Row index, seeded order, fold assignment and running sums without a single-task window.
+
+``row_number() OVER (ORDER BY id)`` moves every row to one task.  Here rows are
+range-partitioned on the whole order (any number of columns of any type, nulls
+included, ties split by the later columns) and written once together with the
+number of their range.  Whatever is computed afterwards reads the written
+ranges, so a range never depends on a second sampling of its boundaries or on a
+recomputed task.  Rows are numbered inside their range, and the offsets of the
+ranges -- one row per range, or per group and range -- are joined on.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 50_000
-BROADCAST_ROWS = 2_000_000
+from lexikon.session import scratch_path
 
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check; beyond it a plain
-    (shuffle) join, which AQE may still turn into a broadcast at run time."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def seeded_order(id_col: str | Column, seed: int) -> Column:
-    """Repeatable pseudo-random order key (replaces a shuffle with a seed)."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.xxhash64(c, F.lit(seed))
+MODULUS = 2147483647
 
 
 def arithmetic_order(id_col: str | Column, seed: int) -> Column:
-    """Order key that a SQL engine without xxhash64 can reproduce."""
+    """Order key that any SQL engine reproduces; ids of any size (ties by id)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.pmod(c.cast("long") * F.lit(2654435761) + F.lit(seed), F.lit(2147483647))
-
-
-def _range_ids(df: DataFrame, key: str, n: int, rows_per_range: int) -> DataFrame:
-    n_ranges = min(MAX_RANGES, max(1, math.ceil(n / rows_per_range)))
-    if n_ranges == 1:
-        return df.withColumn("_rng", F.lit(0))
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    qs = df.select(F.col(key).cast("double").alias("_k")).approxQuantile(
-        "_k", probs, 1.0 / (4 * n_ranges))
-    splits = sorted(set(q for q in qs if q is not None and not math.isnan(q)))
-    splits = [-math.inf] + splits + [math.inf]
-    return bucketize(df, splits, F.col(key).cast("double"), "_rng")
+    return F.pmod(F.pmod(c.cast("long"), F.lit(MODULUS)) * F.lit(2654435761) + F.lit(seed), F.lit(MODULUS))
 
 
 def bucketize(df: DataFrame, splits: list[float], src: Column, out: str) -> DataFrame:
@@ -60,42 +38,49 @@ def bucketize(df: DataFrame, splits: list[float], src: Column, out: str) -> Data
     return b.transform(df.withColumn(tmp, src.cast("double"))).drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
-def with_row_index(df: DataFrame, order: list[str | Column], name: str = "row_idx",
-                   rows_per_range: int = ROWS_PER_RANGE, n: int | None = None,
+def _ranged(df: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
+    """``df`` with ``_rng``, written range by range; ``ranges`` is by default the
+    number of shuffle partitions the session asks for."""
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, f"ranges-{uuid.uuid4().hex}")
+    dealt = df.repartitionByRange(n, *order).withColumn("_rng", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return spark.read.schema(dealt.schema).parquet(path)
+
+
+def _with_offsets(ranged: DataFrame, parts: list[str], sums: dict[str, Column],
+                  totals: dict[str, Column]) -> DataFrame:
+    """``ranged`` with, for each of ``sums``, its sum over the earlier ranges of the
+    group, and each of ``totals`` over the whole group (null groups included)."""
+    per = ranged.groupBy(*parts, "_rng").agg(*[c.alias("_s_" + k) for k, c in {**sums, **totals}.items()])
+    group = Window.partitionBy(*parts)
+    before = group.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(parts)], F.col("_rng").alias("_r"),
+                         *[F.coalesce(F.sum("_s_" + k).over(before), F.lit(0)).alias(k) for k in sums],
+                         *[F.sum("_s_" + k).over(group).alias(k) for k in totals])
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_p{i}")) for i, p in enumerate(parts)],
+                  F.col("_rng") == F.col("_r"))
+    # without groups there is one row per range; with groups AQE decides by size
+    side = offsets if parts else F.broadcast(offsets)
+    return ranged.join(side, same).drop("_r", *[f"_p{i}" for i in range(len(parts))])
+
+
+def with_row_index(df: DataFrame, order: list[str | Column], name: str = "row_idx", ranges: int | None = None,
                    partition_by: list[str] | None = None, count_name: str | None = None) -> DataFrame:
-    """Add a dense 0-based ``name`` following ``order`` (must be a total order),
-    restarting in every ``partition_by`` group.
+    """Add a dense 0-based ``name`` following ``order`` (a total order; nulls first
+    as in ``ORDER BY``), restarting in every ``partition_by`` group.
 
-    Ranges are cut on the first order column across all groups, so a hot group
-    is still spread over many ranges.  The (group, range) count table is small:
-    groups x ranges rows.  ``count_name`` adds the group size.
+    Ranges are cut on group and order together, so a hot group is spread over
+    many ranges.  ``count_name`` adds the group size (all rows without groups).
     """
     parts = list(partition_by or [])
-    cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    keyed = df.withColumn("_k0", cols[0])
-    ord_cols = [F.col("_k0")] + cols[1:]
-    if n is None:
-        n = keyed.count()
-    ranged = _range_ids(keyed, "_k0", n, rows_per_range)
-    counts = ranged.groupBy(*parts, "_rng").agg(F.count(F.lit(1)).alias("_cnt"))
-    w_base = Window.partitionBy(*parts) if parts else Window
-    w_off = w_base.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)))
-    keep = [*parts, "_rng", "_off"]
-    if count_name:
-        offsets = offsets.withColumn(count_name, F.sum("_cnt").over(w_base.partitionBy(*parts) if parts
-                                                                    else Window.partitionBy()))
-        keep.append(count_name)
-    w = Window.partitionBy(*parts, "_rng").orderBy(*ord_cols)
-    # offsets hold one row per (group, range): small for few groups, checked anyway
-    offsets = offsets.select(*keep)
-    if parts:
-        offsets = broadcast_if_small(offsets.persist())
-    else:
-        offsets = F.broadcast(offsets)  # one row per range: bounded by MAX_RANGES
-    return (ranged.join(offsets, [*parts, "_rng"])
-            .withColumn(name, (F.row_number().over(w) - 1 + F.col("_off")).cast("long"))
-            .drop("_rng", "_off", "_k0"))
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = _ranged(df, [*map(F.col, parts), *keys], ranges)
+    one = F.count(F.lit(1))
+    out = _with_offsets(ranged, parts, {"_off": one}, {count_name: one} if count_name else {})
+    w = Window.partitionBy(*parts, "_rng").orderBy(*keys)
+    return out.withColumn(name, (F.row_number().over(w) - 1 + F.col("_off")).cast("long")).drop("_rng", "_off")
 
 
 def fold_of(idx: Column, n: Column | int, folds: int) -> Column:
@@ -105,76 +90,36 @@ def fold_of(idx: Column, n: Column | int, folds: int) -> Column:
     q = F.floor(n / folds)
     r = n - q * folds
     big = r * (q + 1)
-    return F.when(idx < big, F.floor(idx / (q + 1))).otherwise(r + F.floor((idx - big) / q)).cast("int")
+    return F.when(idx < big, F.floor(idx / (q + 1))).otherwise(
+        r + F.floor((idx - big) / F.greatest(q, F.lit(1)))).cast("int")
 
 
 def assign_folds(df: DataFrame, order: list[str | Column], folds: int, name: str = "fold",
-                 rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Contiguous folds over ``order`` as a column, never L copies."""
-    n = df.count()
-    idx = with_row_index(df, order, "_idx", rows_per_range, n=n)
-    return idx.withColumn(name, fold_of(F.col("_idx"), n, folds)).drop("_idx")
+    idx = with_row_index(df, order, "_idx", ranges, count_name="_n")
+    return idx.withColumn(name, fold_of(F.col("_idx"), F.col("_n"), folds)).drop("_idx", "_n")
 
 
 def assign_stratified_folds(df: DataFrame, label: str, order: list[str | Column], folds: int,
-                            name: str = "fold", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``ntile(folds)`` inside each label, rows in ``order``."""
-    idx = with_row_index(df, order, "_idx", rows_per_range, partition_by=[label], count_name="_n")
+                            name: str = "fold", ranges: int | None = None) -> DataFrame:
+    """``ntile(folds)`` inside each label (null is a label too), rows in ``order``."""
+    idx = with_row_index(df, order, "_idx", ranges, partition_by=[label], count_name="_n")
     return idx.withColumn(name, fold_of(F.col("_idx"), F.col("_n"), folds)).drop("_idx", "_n")
 
 
 def running_sums(df: DataFrame, partition_by: list[str], order_key: Column, values: list[str],
-                 suffix: str = "_cum", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                 suffix: str = "_cum", ranges: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ascending ``order_key`` (unique
     within each group), restarting per ``partition_by`` group.
 
-    Same scheme as ``with_row_index``: the order key is cut into ranges across
-    all groups, per-(group, range) totals (a small table) become broadcast
-    offsets, and only one range of one group is ever sorted in a task.
+    Same scheme as ``with_row_index``: only one range of one group is ever
+    sorted in a task.
     """
     parts = list(partition_by)
-    keyed = df.withColumn("_k0", order_key)
-    n = keyed.count()
-    ranged = _range_ids(keyed, "_k0", n, rows_per_range)
-    tot = ranged.groupBy(*parts, "_rng").agg(*[F.sum(v).alias("_t_" + v) for v in values])
-    w_base = Window.partitionBy(*parts) if parts else Window
-    w_off = w_base.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(*parts, "_rng", *[F.coalesce(F.sum("_t_" + v).over(w_off), F.lit(0)).alias("_o_" + v)
-                                          for v in values])
+    ranged = _ranged(df.withColumn("_k0", order_key), [*map(F.col, parts), F.col("_k0")], ranges)
+    out = _with_offsets(ranged, parts, {"_o_" + v: F.sum(v) for v in values}, {})
     w = Window.partitionBy(*parts, "_rng").orderBy("_k0").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = broadcast_if_small(offsets.persist()) if parts else F.broadcast(offsets)
-    out = ranged.join(offsets, [*parts, "_rng"])
     for v in values:
         out = out.withColumn(v + suffix, F.sum(v).over(w) + F.col("_o_" + v))
     return out.drop("_rng", "_k0", *["_o_" + v for v in values])
-
-
-def with_sorted_index(df: DataFrame, order: list[Column | str], name: str = "row_idx",
-                      rows_per_range: int = ROWS_PER_RANGE, cut: bool = True) -> DataFrame:
-    """Dense 0-based index in any total order of several columns.
-
-    For keys where one numeric range column would pile ties into one task
-    (e.g. frequency first, then first position).  The input (usually a small
-    derived table such as a vocabulary) is checkpointed first so the range
-    partitioning and the in-partition order are the same in every
-    recomputation; partition offsets (one row per partition) are added from
-    a literal map.
-    """
-    from lexikon.session import cut_lineage
-    base = cut_lineage(df) if cut else df
-    n = base.count()
-    parts = max(1, math.ceil(n / rows_per_range))
-    cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    r = (base.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = dict(r.groupBy("_pid").count().collect())
-    offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
-        else F.create_map().cast("map<int,bigint>")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return r.withColumn(name, (F.coalesce(off_map[F.col("_pid")], F.lit(0)) + local).cast("long")) \
-        .drop("_pid", "_mid")

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from lexikon.session import keep
 
-BROADCAST_TERMS = 2_000_000
 NUM_FEATURES = 1 << 16
 
 

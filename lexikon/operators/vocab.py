@@ -11,15 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexikon.operators.index import with_sorted_index
+from lexikon.operators.index import with_row_index
 
 DEFAULT_SPECIALS = ("<PAD>", "<UNK>")
-BROADCAST_VOCAB_ROWS = 2_000_000
-
-
-def _maybe_broadcast(vocab: DataFrame, n: int | None = None) -> DataFrame:
-    n = vocab.count() if n is None else n
-    return F.broadcast(vocab) if n <= BROADCAST_VOCAB_ROWS else vocab
 
 
 def fit_vocab(df: DataFrame, tokens: str, order: list[str], vocab_len: int | None = None,
@@ -32,7 +26,7 @@ def fit_vocab(df: DataFrame, tokens: str, order: list[str], vocab_len: int | Non
     if vocab_len is not None:
         # a top-k: Spark keeps a bounded heap per partition (TakeOrderedAndProject)
         counts = counts.orderBy(F.desc("freq"), "first_seen").limit(vocab_len)
-    ranked = with_sorted_index(counts, [F.desc("freq"), F.col("first_seen")], "_r")
+    ranked = with_row_index(counts, [F.desc("freq"), F.col("first_seen")], "_r")
     words = ranked.select((F.col("_r") + len(specials)).cast("int").alias("idx"), "token",
                           F.col("freq").cast("bigint").alias("freq"))
     spark = df.sparkSession
@@ -46,7 +40,7 @@ def encode(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, max_le
     to ``max_len``, padded with ``pad_id``.  Only the first ``max_len``
     positions are exploded and joined."""
     ex = df.select(*keys, F.posexplode(tokens).alias("pos", "token")).where(F.col("pos") < max_len)
-    v = _maybe_broadcast(vocab.select("token", "idx"))
+    v = vocab.select("token", "idx")
     j = ex.join(v, "token", "left").withColumn("idx", F.coalesce("idx", F.lit(unknown_id)))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_p"))
     ids = F.transform("_p", lambda s: s["idx"])
@@ -67,7 +61,7 @@ def decode(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, out: str
     """V3: id -> token, dropping the padding token; an id outside the
     vocabulary becomes ``'0'`` (the reference's lookup default)."""
     ex = df.select(*keys, F.posexplode(ids).alias("pos", "idx"))
-    v = _maybe_broadcast(vocab.select("idx", "token"))
+    v = vocab.select("idx", "token")
     j = (ex.join(v, "idx", "left").withColumn("token", F.coalesce("token", F.lit("0")))
          .where(F.col("token") != drop_token))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
@@ -113,7 +107,7 @@ def label_index(df: DataFrame, label: str, order: str) -> DataFrame:
     """V9: label -> id in order of first appearance (the label table is small:
     one row per distinct label)."""
     firsts = df.groupBy(label).agg(F.min(order).alias("_first"))
-    idx = with_sorted_index(firsts, [F.col("_first"), F.col(label)], "label_id", cut=False)
+    idx = with_row_index(firsts, [F.col("_first"), F.col(label)], "label_id")
     return idx.select(label, F.col("label_id").cast("int").alias("label_id"))
 
 
@@ -145,7 +139,6 @@ def remap_ids(v: Column, id_map: list[int], keep_other: bool = False) -> Column:
 
 def sentence_ids(df: DataFrame, order: list[str], name: str = "sentence") -> DataFrame:
     """V13: "sentence 1", "sentence 2", ... over all rows in ``order``."""
-    from lexikon.operators.index import with_row_index
     idx = with_row_index(df, order, "_i")
     return idx.withColumn(name, F.concat(F.lit("sentence "), (F.col("_i") + 1).cast("string"))).drop("_i")
 

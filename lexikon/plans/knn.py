@@ -49,9 +49,8 @@ def knn_grid_table(spark, sf_dir):
 def knn_predict(spark, sf_dir):
     """60/40 split in a seeded order, K = 5, one prediction per test row."""
     emb = _emb(spark, sf_dir)
-    n = emb.count()
-    idx = with_row_index(emb, [arithmetic_order("id", 0), "id"], "i", n=n)
-    cut = n - -(-n * 2 // 5)  # test share 0.4, rounded up as the reference split does
+    idx = with_row_index(emb, [arithmetic_order("id", 0), "id"], "i", count_name="n")
+    cut = F.col("n") - F.ceil(F.col("n") * 2 / 5)  # test share 0.4, rounded up
     train = idx.where(F.col("i") < cut)
     test = idx.where(F.col("i") >= cut)
     pred = knn_classify(test, train, 5)
@@ -64,9 +63,8 @@ def knn_neighbors_q(spark, sf_dir):
     seeded split) with their Euclidean distance."""
     from lexikon.operators.neighbors import knn_neighbors
     emb = _emb(spark, sf_dir)
-    n = emb.count()
-    idx = with_row_index(emb, [arithmetic_order("id", 0), "id"], "i", n=n)
-    cut = n - -(-n * 2 // 5)
+    idx = with_row_index(emb, [arithmetic_order("id", 0), "id"], "i", count_name="n")
+    cut = F.col("n") - F.ceil(F.col("n") * 2 / 5)
     nb = knn_neighbors(idx.where(F.col("i") >= cut), idx.where(F.col("i") < cut), 5)
     return nb.select("test_id", "train_id", F.col("rank").cast("int").alias("rank"), r6("dist").alias("dist"))
 

@@ -9,7 +9,6 @@ from lexikon.functions.text import word_tokens
 from lexikon.operators import metrics as E
 from lexikon.operators import models as M
 from lexikon.operators.datasets import kfold, unpivot_label_sets
-from lexikon.operators.index import broadcast_if_small
 from lexikon.operators.vocab import label_index
 from lexikon.plans.common import r6, table
 from lexikon.sources.files import scratch_dir
@@ -38,7 +37,7 @@ def svd(spark, sf_dir):
 def _lang_labelled(spark, sf_dir):
     d = _docs(spark, sf_dir)
     idx = label_index(d, "lang", "doc_id")
-    return d.join(broadcast_if_small(idx), "lang").select(F.col("doc_id").alias("id"), "tokens",
+    return d.join(idx, "lang").select(F.col("doc_id").alias("id"), "tokens",
                                                    F.col("label_id").cast("double").alias("label"))
 
 

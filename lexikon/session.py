@@ -47,8 +47,8 @@ def get_spark(master: str | None = None, app: str = "lexikon",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a private scratch folder is created.
+    The cluster names it in ``spark.checkpoint.dir``; only in a local session
+    where that is unset (tests, bench) a private scratch folder is made.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="lexikon-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexikon.operators.index import broadcast_if_small, with_row_index
+from lexikon.operators.index import with_row_index
 
 
 def read_conll_dir(spark: SparkSession, path: str, glob: str = "*.conll", recursive: bool = False,
@@ -79,7 +79,7 @@ def _index(good: DataFrame) -> DataFrame:
     paths = idx.groupBy("file", "_path").agg(F.first("_n").alias("_n"))
     w = Window.partitionBy("file").orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
     offs = paths.select("file", "_path", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (idx.join(broadcast_if_small(offs.persist()), ["file", "_path"])
+    return (idx.join(offs, ["file", "_path"])
             .withColumn("sent_no", F.col("_i") + F.col("_off")).drop("_i", "_n", "_off"))
 
 

@@ -32,18 +32,16 @@ def read_text_dir(spark: SparkSession, path: str, glob: str = "*.txt", encoding:
 def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", encoding: str = "UTF-8",
                     recursive: bool = True) -> DataFrame:
     """S3, line mode (tokenizer corpora): one row per line, splittable files.
-    UTF-8 goes through the text source; other encodings through the CSV
-    source, which decodes while reading (one column, no quoting)."""
-    if encoding.upper().replace("-", "") in ("UTF8",):
-        r = spark.read.option("pathGlobFilter", glob)
-        if recursive:
-            r = r.option("recursiveFileLookup", "true")
-        return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    r = (spark.read.option("encoding", encoding).option("sep", "\u0000").option("quote", "")
-         .option("header", "false").option("pathGlobFilter", glob))
+    The text source keeps a line's bytes as they are; any encoding whose line
+    end is the byte 0x0A (UTF-8, Latin-1 and their kin) is decoded after it.
+    Blank lines stay, whatever the encoding."""
+    r = spark.read.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.schema("line string").csv(path).select(F.col("_metadata.file_path").alias("path"), "line")
+    line = F.col("value")
+    if encoding.upper().replace("-", "") != "UTF8":
+        line = F.decode(line.cast("binary"), encoding)
+    return r.text(path).select(F.col("_metadata.file_path").alias("path"), line.alias("line"))
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

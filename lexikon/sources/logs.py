@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-MAX_LOG_ROWS_BROADCAST = 1_000_000
-
 
 def _read_or_none(spark: SparkSession, path: str, fmt: str = "json", schema: str | None = None):
     try:
@@ -15,22 +13,31 @@ def _read_or_none(spark: SparkSession, path: str, fmt: str = "json", schema: str
         if schema:
             r = r.schema(schema)
         return r.load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def dedupe_names(new: DataFrame, existing: DataFrame | None, name: str = "name") -> DataFrame:
     """S9 naming: a new name contained (as a substring) in n > 0 logged names
-    becomes ``name_<n+1>``.  The logged-name table is one row per earlier
-    run; it is broadcast only under a checked row count."""
+    becomes ``name_<n+1>``.  The substrings of a logged name that have the length
+    of some new name are exploded, so the match is an equi-join."""
     if existing is None:
         return new
     names = existing.select(F.col(name).alias("_old")).where(F.col("_old").isNotNull())
-    n_old = names.count()
-    side = F.broadcast(names) if n_old <= MAX_LOG_ROWS_BROADCAST else names
-    hits = (new.select(F.col(name).alias("_new")).distinct()
-            .join(side, F.col("_old").contains(F.col("_new")), "left")
-            .groupBy("_new").agg(F.count("_old").alias("_same")))
+    wanted = new.select(F.col(name).alias("_new")).where(F.col(name).isNotNull()).distinct()
+    lengths = [r[0] for r in wanted.select(F.length("_new")).distinct().collect()]  # at most the longest name
+    n = F.length("_old")
+
+    def pieces(k: int):
+        at = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+        return F.when(n >= k, F.transform(at, lambda i: F.substring(F.col("_old"), i, F.lit(k))))
+
+    parts = [pieces(k) for k in lengths]
+    inside = F.array_distinct(F.flatten(F.array_compact(F.array(*parts)))) if parts else F.array().cast("array<string>")
+    hits = (names.select(F.explode(inside).alias("_new")).groupBy("_new").agg(F.count(F.lit(1)).alias("_same"))
+            .join(wanted, "_new", "left_semi"))
     out = new.join(hits, new[name] == hits["_new"], "left")
     renamed = F.when(F.col("_same") > 0, F.concat(F.col(name), F.lit("_"), (F.col("_same") + 1).cast("string"))) \
         .otherwise(F.col(name))
