@@ -27,7 +27,7 @@ from lexikon.llm.decontam import NORMAL
 from lexikon.llm.hosts import SYMBOLS
 
 #: Documents whose labels give the abusive words, and documents that train the scorer.
-LABELLED_DOCS = 50_000
+LABELLED_DOCS = 20_000
 TRAIN_DOCS = 20_000
 FEATURES = 1 << 18
 ROUNDS = 50
@@ -52,7 +52,8 @@ _LETTER[97:123] = True
 
 def entries(words: list[bytes]) -> set[bytes]:
     """The words, and the stems of the longer ones with a mark behind."""
-    return {*words, *(w[:STEM] + b"*" for w in words if len(w) > STEM)}
+    own = set(words)
+    return own | {w[:STEM] + b"*" for w in own if len(w) > STEM}
 
 
 def heuristic_votes(raw: list[bytes | None], abusive: set[bytes]) -> np.ndarray:
@@ -122,15 +123,17 @@ def abusive_words(docs: DataFrame, people: DataFrame, doc_id: str, text: str, n_
 
     def make():
         def fn(batch):
-            out = {"word": [], "context": [], "toxic": []}
-            for raw, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                w = [b"", *(raw or b"").translate(NORMAL).split(), b""]
-                last = range(len(w) - 2, 0, -1)
-                first = {w[i]: i for i in last} | {w[i][:STEM] + b"*": i for i in last if len(w[i]) > STEM}
-                out["word"] += first.keys()
-                out["context"] += [w[i - 1] + b" " + w[i + 1] for i in first.values()]
-                out["toxic"] += [toxic] * (len(out["word"]) - len(out["toxic"]))
-            yield out
+            raw, toxic = as_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for a, b in by_size(raw):
+                out = {"word": [], "context": [], "toxic": []}
+                for text, label in zip(raw[a:b], toxic[a:b], strict=True):
+                    w = [b"", *(text or b"").translate(NORMAL).split(), b""]
+                    last = range(len(w) - 2, 0, -1)
+                    first = {w[i]: i for i in last} | {w[i][:STEM] + b"*": i for i in last if len(w[i]) > STEM}
+                    out["word"] += first.keys()
+                    out["context"] += [w[i - 1] + b" " + w[i + 1] for i in first.values()]
+                    out["toxic"] += [label] * len(first)
+                yield out
         return fn
 
     uses = (map_rows(own.select("text", F.expr(f"person[1] = {BAD}")), "word binary, context binary, toxic boolean", make)
