@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     alone = (shingles_of(texts).groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
              .where("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone")))
     info = written(reps.join(near, "id", "left_semi").join(alone, "id", "left").select(
-        "id", "n", *SKETCH, (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+        "id", "n", *SKETCH, "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
         .where(100 * F.col("common") >= LINK * F.col("n")), "info")
 
     def side(x: str) -> DataFrame:
@@ -248,13 +248,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     now = here.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_members = written(now.join(split, "key", "left_semi").join(info, "id"), "open")
-    nodes = open_members.drop("key").distinct()
+    nodes = open_members.drop("key", "bands").distinct()
     linked_rare, n_rare = rare_pairs(shingles_of(texts.join(nodes.select("id"), "id", "left_semi")), nodes, RARE)
     frequent = open_members.join(n_rare, "id", "left").withColumn(
         "frequent", F.col("n") - F.coalesce("n_rare", F.lit(0))).where(100 * F.col("frequent") >= LINK * F.col("n"))
     x, y = (frequent.toDF(*["key" if c == "key" else c + s for c in frequent.columns]) for s in ("x", "y"))
+    first_shared = F.array_min(F.array_intersect("bandsx", "bandsy"))  # each pair comes out of one bucket only
     rest = (x.join(y, (x["key"] == y["key"]) & (F.col("idx") > F.col("idy")) & (F.col("labelx") != F.col("labely"))
-                   & possible("x", "y", "frequent")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+                   & possible("x", "y", "frequent") & (x["key"] == first_shared)).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
             .union(linked_rare).distinct())
     both_ways = tested.union(tested.select("b", "a"))
     more = written(rest.join(both_ways, ["a", "b"], "left_anti"), "pairs")
