@@ -58,6 +58,20 @@ def by_size(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+#: Bytes of one Arrow batch; Spark's default of 64 MB, held several times on both sides
+#: of the pipe and by every task, is more than a small executor has beside its heap.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for the bytes of an Arrow batch to BATCH_BYTES; results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower()
+    size = int(now.rstrip("kmgb")) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: str,
                    make: Callable[[], Callable[..., list]]) -> DataFrame:
     """``df`` with the columns of ``schema``, computed batch by batch in Arrow.
@@ -66,6 +80,7 @@ def append_columns(df: DataFrame, inputs: list[str], schema: str,
     arrays of ``inputs`` to one list (or Arrow array) for each new column.  A
     column of ``df`` whose name a new one has (in either case) is replaced.
     """
+    bounded_batches(df.sparkSession)
     new = T._parse_datatype_string(schema)
     taken = {f.name.lower() for f in new.fields}
     keep = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
@@ -90,6 +105,7 @@ def append_columns(df: DataFrame, inputs: list[str], schema: str,
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """Rows of ``schema`` that ``make()`` yields, as lists by column, from each Arrow batch."""
+    bounded_batches(df.sparkSession)
     fields = T._parse_datatype_string(schema).fields
     types = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
