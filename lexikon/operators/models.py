@@ -15,7 +15,8 @@ from pyspark.ml.feature import HashingTF, IDF, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from lexikon.session import keep
+
+from lexikon.session import cut_lineage, keep
 
 NUM_FEATURES = 1 << 16
 
@@ -25,8 +26,9 @@ NUM_FEATURES = 1 << 16
 def tfidf(df: DataFrame, key: str, tokens: str, smooth: bool = True) -> DataFrame:
     """``(key, term, weight)``: raw term counts times ``ln((1+n)/(1+df)) + 1``
     (smoothed idf, no lowercasing), L2-normalised per document."""
-    tf = (df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term")
-          .agg(F.count(F.lit(1)).alias("tf")))
+    # counted once; document frequencies and weights both read the written table
+    tf = cut_lineage(df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term")
+                     .agg(F.count(F.lit(1)).alias("tf")))
     n = df.select(key).distinct().count()
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # no broadcast hint: the term table grows with the vocabulary; AQE turns the
@@ -64,12 +66,19 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
 
 # --- M9/M10: linear classifiers --------------------------------------------------------------
 
-def linear_text_classifier(tokens: str = "tokens", label: str = "label", max_iter: int = 30,
+def hashed_terms(tokens: str = "tokens", num_features: int = NUM_FEATURES) -> HashingTF:
+    """Term counts, which learn nothing and so are the same in every fold."""
+    return HashingTF(inputCol=tokens, outputCol="tf", numFeatures=num_features)
+
+
+def linear_text_classifier(tokens: str | None = "tokens", label: str = "label", max_iter: int = 30,
                            num_features: int = NUM_FEATURES) -> Pipeline:
-    """M9: hashed TF-IDF + one-vs-rest linear SVM (hinge loss)."""
+    """M9: hashed TF-IDF + one-vs-rest linear SVM (hinge loss); without ``tokens``
+    on term counts ``tf`` that are there already."""
     ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1e-4), labelCol=label,
-                    featuresCol="features", predictionCol="prediction", parallelism=4)
-    return Pipeline(stages=text_features(tokens, num_features) + [ovr])
+                    featuresCol="features", predictionCol="prediction", parallelism=2)
+    features = text_features(tokens, num_features) if tokens else [IDF(inputCol="tf", outputCol="features")]
+    return Pipeline(stages=features + [ovr])
 
 
 class SvmProba:
@@ -113,17 +122,26 @@ class SvmProba:
 # --- M11/M12: cross-validation ------------------------------------------------------------------
 
 def cross_validate(df: DataFrame, make: callable, folds: int, fold: str = "fold", label: str = "label",
-                   id_col: str = "id", sample: bool = False, parallelism: int = 4) -> DataFrame:
+                   id_col: str = "id", sample: bool = False, parallelism: int = 2,
+                   prepare: tuple = ()) -> DataFrame:
     """Fit on ``fold <> i``, predict fold ``i``; one long prediction table
-    ``(fold, id, y_true, y_pred)``.  ``sample`` stops after the first fold."""
+    ``(fold, id, y_true, y_pred)``, written before the cached rows are let go.
+    ``sample`` stops after the first fold.  ``prepare`` (stages that learn
+    nothing, such as hashing) runs once for all folds."""
     from concurrent.futures import ThreadPoolExecutor
-    data = keep(df)
+    data = df
+    for stage in prepare:
+        data = stage.transform(data)
+    if prepare:
+        data = data.select(id_col, fold, label, prepare[-1].getOutputCol())
+    data = keep(data)
 
     def one(i: int) -> DataFrame:
         model = make().fit(data.where(F.col(fold) != i))
-        return model.transform(data.where(F.col(fold) == i)).select(
+        # written fold by fold, so no plan carries the models of all folds
+        return cut_lineage(model.transform(data.where(F.col(fold) == i)).select(
             F.lit(i).alias("fold"), F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"),
-            F.col("prediction").cast("int").alias("y_pred"))
+            F.col("prediction").cast("int").alias("y_pred")))
 
     # folds are independent fits: submit them as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=min(parallelism, folds)) as pool:
@@ -131,26 +149,25 @@ def cross_validate(df: DataFrame, make: callable, folds: int, fold: str = "fold"
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
+    data.unpersist()
     return out
 
 
 # --- M13: best fold ------------------------------------------------------------------------------
 
-def select_best_fold(hist: DataFrame, fold: str = "fold",
+def select_best_fold(hist: DataFrame, fold: str = "fold", keys: tuple[str, ...] = (),
                      lower: tuple[str, ...] = ("loss", "val_loss"),
                      higher: tuple[str, ...] = ("accuracy", "val_accuracy")) -> DataFrame:
     """Each metric votes for its best fold (lowest loss, highest accuracy,
-    ties to the lowest fold); the fold with most votes wins, ties lowest fold."""
-    votes = [hist.agg(F.min_by(fold, F.struct(F.col(m), F.col(fold))).alias("winner")).withColumn("metric", F.lit(m))
-             for m in lower]
-    votes += [hist.agg(F.min_by(fold, F.struct(-F.col(m), F.col(fold))).alias("winner")).withColumn("metric", F.lit(m))
-              for m in higher]
-    allv = votes[0]
-    for v in votes[1:]:
-        allv = allv.unionByName(v)
-    counts = allv.groupBy("winner").agg(F.count(F.lit(1)).alias("votes"))
-    return counts.agg(F.min_by(F.struct("winner", "votes"), F.struct(-F.col("votes"), F.col("winner"))).alias("b")) \
-        .select(F.col("b.winner").alias(fold), F.col("b.votes").alias("votes"))
+    ties to the lowest fold); the fold with most votes wins, ties lowest fold.
+    One row for each of ``keys`` (e.g. each model)."""
+    best = [F.min_by(fold, F.struct(F.col(m), F.col(fold))).alias(m) for m in lower]
+    best += [F.min_by(fold, F.struct(-F.col(m), F.col(fold))).alias(m) for m in higher]
+    won = hist.groupBy(*keys).agg(*best).select(*keys, F.explode(F.array(*lower, *higher)).alias("winner"))
+    counts = won.groupBy(*keys, "winner").agg(F.count(F.lit(1)).alias("votes"))
+    return counts.groupBy(*keys).agg(
+        F.min_by(F.struct("winner", "votes"), F.struct(-F.col("votes"), F.col("winner"))).alias("b")) \
+        .select(*keys, F.col("b.winner").alias(fold), F.col("b.votes").alias("votes"))
 
 
 # --- M14: token tagger ---------------------------------------------------------------------------

@@ -44,7 +44,7 @@ def _lang_labelled(spark, sf_dir):
 def text_cv(spark, sf_dir):
     """10-fold linear SVM (one-vs-rest) on hashed TF-IDF, language labels."""
     data = kfold(_lang_labelled(spark, sf_dir), ["id"], 10)
-    pred = M.cross_validate(data, lambda: M.linear_text_classifier(max_iter=10), 10)
+    pred = M.cross_validate(data, lambda: M.linear_text_classifier(None, max_iter=10), 10, prepare=(M.hashed_terms(),))
     s = E.summary_scores(E.confusion_counts(pred, ["fold"]), ["fold"])
     return s.select("fold", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
 
@@ -62,8 +62,8 @@ def svm_proba(spark, sf_dir):
 
 
 def label_set_scores(spark, sf_dir):
-    """A first-fold run (``sample``) for every label set of the case table,
-    mean accuracy per set, written into per-set metric tables."""
+    """Mean accuracy over all ten folds for every label set of the case
+    table, upserted into a stored metric table for each set (S10) and read back."""
     from lexikon.plans.labels import case_table
     from lexikon.sources.logs import metric_file_name, upsert_metric
     cases = case_table(spark, sf_dir)
@@ -72,30 +72,56 @@ def label_set_scores(spark, sf_dir):
                                                  word_tokens("text").alias("tokens"))
     data = long.join(d, "case_id").withColumn("label", F.col("label").cast("double"))
     sets = [r[0] for r in long.select("label_set").distinct().orderBy("label_set").collect()]  # label-set names
-    out = None
+    root = scratch_dir(spark, "metrics")
     for s in sets:
         part = kfold(data.where(F.col("label_set") == s).withColumnRenamed("case_id", "id"), ["id"], 10)
-        pred = M.cross_validate(part, lambda: M.linear_text_classifier(max_iter=10), 10, sample=True)
+        pred = M.cross_validate(part, lambda: M.linear_text_classifier(None, max_iter=10), 10, prepare=(M.hashed_terms(),))
         acc = pred.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("value")).first()[0]
         base = spark.createDataFrame([("n_docs", float(part.count()))], "metric string, value double")
-        tab = upsert_metric(base, "cls accuracy", acc).withColumn("table", F.lit(metric_file_name(s)))
-        out = tab if out is None else out.unionByName(tab)
-    return out
+        name = metric_file_name(s)
+        base.write.parquet(f"{root}/before/table={name}")
+        stored = spark.read.parquet(f"{root}/before/table={name}")
+        upsert_metric(stored, "cls accuracy", acc).write.parquet(f"{root}/after/table={name}")
+    return spark.read.parquet(f"{root}/after").select("metric", "value", "table")
+
 
+def _tagger_folds(spark, sf_dir):
+    """Held-out predictions of all five folds, one token a row."""
+    from concurrent.futures import ThreadPoolExecutor
 
-def _tagger_fold0(spark, sf_dir):
     from lexikon.plans.vocab import sequences
+    from lexikon.session import cut_lineage, keep
     seqs = kfold(sequences(spark, sf_dir), ["conv_id", "turn"], 5)
     rows = M.token_rows(seqs, ["conv_id", "turn", "fold"], "tokens", "tags")
     tag_map = F.create_map(*[x for i, t in enumerate(TAGS) for x in (F.lit(t), F.lit(float(i)))])
-    rows = rows.withColumn("tag_id", tag_map[F.col("tag")])
-    model = M.token_tagger(TAGS, max_iter=20).fit(rows.where(F.col("fold") != 0))
-    return model.transform(rows.where(F.col("fold") == 0))
+    rows = keep(rows.withColumn("tag_id", tag_map[F.col("tag")]))
+
+    def one(i):
+        model = M.token_tagger(TAGS, max_iter=20).fit(rows.where(F.col("fold") != i))
+        return cut_lineage(model.transform(rows.where(F.col("fold") == i)).select(
+            "fold", "conv_id", "turn", "pos", "token", "tag", "tag_id", "prediction", "probability"))
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        preds = list(pool.map(one, range(5)))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
+    rows.unpersist()
+    return out
 
 
 def tagger_predictions(spark, sf_dir):
-    """E22, NER form: the held-out sentences as words with true and predicted tags."""
-    pred = _tagger_fold0(spark, sf_dir)
+    """E22, NER form: the sentences of the best fold (M13 over the tagger's own
+    losses and scores) as words with true and predicted tags."""
+    from pyspark.ml.functions import vector_to_array
+    pred = _tagger_folds(spark, sf_dir)
+    tags = pred.select("fold", F.col("tag_id").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+    s = E.summary_scores(E.confusion_counts(tags, ["fold"]), ["fold"])
+    p = F.element_at(vector_to_array("probability"), F.col("tag_id").cast("int") + 1)
+    losses = pred.groupBy("fold").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"))
+    hist = s.join(losses, "fold").select("fold", "loss", (1 - F.col("f1")).alias("val_loss"), "accuracy",
+                                         F.col("cohen_kappa").alias("val_accuracy"))
+    pred = pred.join(M.select_best_fold(hist).select("fold"), "fold", "left_semi")
     names = F.array(*[F.lit(t) for t in TAGS])
     pred = pred.withColumn("pred_tag", F.element_at(names, F.col("prediction").cast("int") + 1))
     words = M.sequences_from_tokens(pred, ["conv_id", "turn"], "token")
@@ -107,12 +133,12 @@ def tagger_predictions(spark, sf_dir):
 
 
 def token_tagger(spark, sf_dir):
-    """Per-token tagger trained on folds 1-4 of the conversations,
-    evaluated token-level on fold 0 (classification report rows)."""
-    pred = _tagger_fold0(spark, sf_dir).select(
-        F.col("tag_id").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
-    rep = E.classification_report(E.confusion_counts(pred, []), [])
-    return rep.select("row", r6("precision").alias("precision"), r6("recall").alias("recall"),
+    """Five-fold cross-validated per-token tagger over the conversations,
+    evaluated token-level on every fold's held-out sentences (report rows by fold)."""
+    pred = _tagger_folds(spark, sf_dir).select(
+        "fold", F.col("tag_id").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
+    rep = E.classification_report(E.confusion_counts(pred, ["fold"]), ["fold"])
+    return rep.select("fold", "row", r6("precision").alias("precision"), r6("recall").alias("recall"),
                       r6("f1").alias("f1"), "support")
 
 
@@ -125,38 +151,40 @@ def multilabel_scores(spark, sf_dir):
 
 
 def best_fold(spark, sf_dir):
-    """M13 over the per-fold scores of the derived predictions (model knn)."""
+    """M13 over the per-fold scores of the derived predictions, for every model."""
     from lexikon.plans.evaluation import predictions
-    s = E.summary_scores(E.confusion_counts(predictions(spark, sf_dir).where(F.col("model") == "knn"), ["fold"]),
-                         ["fold"])
-    hist = s.select("fold", (1 - F.col("accuracy")).alias("loss"), (1 - F.col("f1")).alias("val_loss"),
+    s = E.summary_scores(E.confusion_counts(predictions(spark, sf_dir), ["model", "fold"]), ["model", "fold"])
+    hist = s.select("model", "fold", (1 - F.col("precision")).alias("loss"), (1 - F.col("f1")).alias("val_loss"),
                     "accuracy", F.col("cohen_kappa").alias("val_accuracy"))
-    return M.select_best_fold(hist)
+    return M.select_best_fold(hist, keys=("model",))
 
 
 _TOK = r"regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s]')"
 
-BEST_SQL = """WITH p AS (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, l_linenumber - 1 AS y_true,
+BEST_SQL = """WITH p AS (SELECT CASE l_suppkey % 3 WHEN 0 THEN 'knn' WHEN 1 THEN 'sgd' ELSE 'svm' END AS model,
+        CAST(l_orderkey % 5 AS INTEGER) AS fold, l_linenumber - 1 AS y_true,
         CAST(CASE WHEN l_partkey % 4 = 0 THEN l_linenumber % 7 ELSE l_linenumber - 1 END AS INTEGER) AS y_pred
-    FROM lineitem WHERE l_suppkey % 3 = 0),
-conf AS (SELECT fold, y_true, y_pred, count(*) AS n FROM p GROUP BY ALL),
-t AS (SELECT fold, y_true AS cls, sum(n) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp
+    FROM lineitem),
+conf AS (SELECT model, fold, y_true, y_pred, count(*) AS n FROM p GROUP BY ALL),
+t AS (SELECT model, fold, y_true AS cls, sum(n) AS support, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) AS tp
       FROM conf GROUP BY ALL),
-pr AS (SELECT fold, y_pred AS cls, sum(n) AS predicted FROM conf GROUP BY ALL),
-cs0 AS (SELECT coalesce(t.fold, pr.fold) AS fold, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
-        coalesce(predicted, 0) AS predicted FROM t FULL JOIN pr ON t.fold = pr.fold AND t.cls = pr.cls),
+pr AS (SELECT model, fold, y_pred AS cls, sum(n) AS predicted FROM conf GROUP BY ALL),
+cs0 AS (SELECT coalesce(t.model, pr.model) AS model, coalesce(t.fold, pr.fold) AS fold, coalesce(support, 0) AS support,
+        coalesce(tp, 0) AS tp, coalesce(predicted, 0) AS predicted
+        FROM t FULL JOIN pr ON t.model = pr.model AND t.fold = pr.fold AND t.cls = pr.cls),
 cs AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec,
        CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rec FROM cs0),
 cs2 AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM cs),
-s0 AS (SELECT fold, sum(support) AS n, sum(tp) AS tp, sum(f1 * support) AS wf,
-       sum(CAST(support AS DOUBLE) * predicted) AS pe FROM cs2 GROUP BY fold),
-h AS (SELECT fold, 1 - tp / n AS loss, 1 - wf / n AS val_loss, tp / n AS accuracy,
+s0 AS (SELECT model, fold, sum(support) AS n, sum(tp) AS tp, sum(f1 * support) AS wf, sum(prec * support) AS wp,
+       sum(CAST(support AS DOUBLE) * predicted) AS pe FROM cs2 GROUP BY model, fold),
+h AS (SELECT model, fold, round(1 - wp / n, 12) AS loss, round(1 - wf / n, 12) AS val_loss, tp / n AS accuracy,
       ((tp / n) - pe / (CAST(n AS DOUBLE) * n)) / (1 - pe / (CAST(n AS DOUBLE) * n)) AS val_accuracy FROM s0),
-v AS (SELECT (SELECT fold FROM h ORDER BY loss, fold LIMIT 1) AS w
-      UNION ALL SELECT (SELECT fold FROM h ORDER BY val_loss, fold LIMIT 1)
-      UNION ALL SELECT (SELECT fold FROM h ORDER BY accuracy DESC, fold LIMIT 1)
-      UNION ALL SELECT (SELECT fold FROM h ORDER BY val_accuracy DESC, fold LIMIT 1))
-SELECT w AS fold, count(*) AS votes FROM v GROUP BY w ORDER BY votes DESC, w LIMIT 1"""
+v AS (SELECT model, arg_min(fold, (loss, fold)) AS w FROM h GROUP BY model
+      UNION ALL SELECT model, arg_min(fold, (val_loss, fold)) FROM h GROUP BY model
+      UNION ALL SELECT model, arg_min(fold, (-accuracy, fold)) FROM h GROUP BY model
+      UNION ALL SELECT model, arg_min(fold, (-val_accuracy, fold)) FROM h GROUP BY model),
+c AS (SELECT model, w, count(*) AS votes FROM v GROUP BY model, w)
+SELECT model, w AS fold, votes FROM c QUALIFY row_number() OVER (PARTITION BY model ORDER BY votes DESC, w) = 1"""
 
 QUERIES = {
     "tfidf": (tfidf, f"""WITH t AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents),

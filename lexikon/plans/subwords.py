@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from lexikon.operators import subword as W
@@ -32,24 +30,8 @@ def word_level_vocab(spark, sf_dir):
     return W.train_word_level(_docs(spark, sf_dir), "text", ["doc_id"], 1000)
 
 
-_TRAINED: dict = {}
-
-
 def _bpe(spark, sf_dir):
-    """Train once per session and input: the merge list is vocabulary-sized and
-    several queries (sweep, comparison, round trip) cut or reuse the same
-    model.  The key holds the input file's size and modification time."""
-    path = os.path.join(sf_dir, "documents.parquet")
-    st = os.stat(path) if os.path.exists(path) else None
-    key = (spark.sparkContext.applicationId, os.path.abspath(path), st and st.st_size, st and st.st_mtime_ns,
-           BPE_SIZE)
-    if key not in _TRAINED:
-        vocab, merges = W.train_bpe(W.word_counts(_docs(spark, sf_dir), "text"), BPE_SIZE)
-        _TRAINED[key] = ([tuple(r) for r in vocab.orderBy("id").collect()],
-                         [tuple(r) for r in merges.orderBy("rank").collect()])
-    v, m = _TRAINED[key]
-    return (spark.createDataFrame(v, "id int, token string"),
-            spark.createDataFrame(m, "rank int, left string, right string, n bigint"))
+    return W.train_bpe(W.word_counts(_docs(spark, sf_dir), "text"), BPE_SIZE)
 
 
 def bpe_merges(spark, sf_dir):
@@ -71,9 +53,9 @@ def unigram_vocab(spark, sf_dir):
 
 
 def vocab_sweep(spark, sf_dir):
+    """The vocabulary of every size, cut from the largest one's merge order."""
     vocab, merges = _bpe(spark, sf_dir)
-    n_base = vocab.count() - merges.count()
-    return W.cut_by_size(vocab, merges, SWEEP, n_base)
+    return W.cut_by_size(vocab, merges, SWEEP)
 
 
 def tokenizer_compare(spark, sf_dir):

@@ -9,7 +9,7 @@ from lexikon.functions.text import word_tokens
 from lexikon.operators import vocab as V
 from lexikon.plans.common import table
 
-MAX_LEN = 20
+MAX_LEN = 100
 KEYS = ["conv_id", "turn"]
 NAMES = ["quality", "toxic"]
 
@@ -34,7 +34,7 @@ def vocab_top(spark, sf_dir):
 
 def _encoded(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    return s, V.encode(s, KEYS, "tokens", V.fit_vocab(s, "tokens", KEYS, vocab_len=500), MAX_LEN)
+    return s, V.encode(s, KEYS, "tokens", V.fit_vocab(s, "tokens", KEYS), MAX_LEN)
 
 
 def encode(spark, sf_dir):
@@ -44,7 +44,7 @@ def encode(spark, sf_dir):
 
 def decode(spark, sf_dir):
     s = sequences(spark, sf_dir)
-    vv = V.fit_vocab(s, "tokens", KEYS, vocab_len=500)
+    vv = V.fit_vocab(s, "tokens", KEYS)
     e = V.encode(s, KEYS, "tokens", vv, MAX_LEN)
     d = V.decode(e, KEYS, "ids", vv)
     return d.select(*KEYS, F.array_join("tokens", " ").alias("tokens"))
@@ -140,20 +140,19 @@ v_{col} AS ({sp} UNION ALL SELECT CAST(row_number() OVER (ORDER BY freq DESC, fc
 
 
 VOC = "WITH " + TOK + ", " + _vocab_sql("token", ["<PAD>", "<UNK>"])
-VOC500 = "WITH " + TOK + ", " + _vocab_sql("token", ["<PAD>", "<UNK>"], 500)
-ENC = VOC500 + """,
+ENC = VOC + """,
 enc AS (SELECT t.conv_id, t.turn, coalesce(string_agg(CAST(coalesce(v.idx, 0) AS VARCHAR), ',' ORDER BY t.pos)
             FILTER (WHERE t.pos IS NOT NULL), '') AS ids0, count(t.pos) AS n
-        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 20
+        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 100
         LEFT JOIN v_token v ON v.token = t.token GROUP BY ALL),
 encp AS (SELECT k.conv_id, k.turn, array_to_string(list_concat(
             CASE WHEN e.n > 0 THEN string_split(e.ids0, ',') ELSE [] END,
-            list_transform(range(20 - coalesce(e.n, 0)), lambda x: '0')), ',') AS ids
+            list_transform(range(100 - coalesce(e.n, 0)), lambda x: '0')), ',') AS ids
         FROM tok k LEFT JOIN enc e ON e.conv_id = k.conv_id AND e.turn = k.turn)"""
 TAGV = "WITH " + TOK + ", " + _vocab_sql("tag", ["<EMPTY>"]) + """,
 tenc AS (SELECT k.conv_id, k.turn, list_concat(coalesce(list(coalesce(v.idx, 0) ORDER BY t.pos)
-            FILTER (WHERE t.pos IS NOT NULL), []), list_transform(range(20 - count(t.pos)), lambda x: 0)) AS ids
-        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 20
+            FILTER (WHERE t.pos IS NOT NULL), []), list_transform(range(100 - count(t.pos)), lambda x: 0)) AS ids
+        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 100
         LEFT JOIN v_tag v ON v.token = t.tag GROUP BY ALL)"""
 LAB = "WITH m AS (SELECT doc_id, quality, toxic FROM labels)"
 
@@ -162,24 +161,24 @@ QUERIES = {
     "vocab_top": (vocab_top, "WITH " + TOK + ", " + _vocab_sql("token", ["<PAD>", "<UNK>"], 100)
                   + " SELECT idx, token, freq FROM v_token"),
     "encode": (encode, ENC + " SELECT conv_id, turn, ids FROM encp"),
-    "decode": (decode, VOC500 + """ SELECT k.conv_id, k.turn, coalesce(string_agg(v.token, ' ' ORDER BY t.pos)
+    "decode": (decode, VOC + """ SELECT k.conv_id, k.turn, coalesce(string_agg(v.token, ' ' ORDER BY t.pos)
             FILTER (WHERE v.token IS NOT NULL), '') AS tokens
-        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 20
+        FROM tok k LEFT JOIN tags t ON t.conv_id = k.conv_id AND t.turn = k.turn AND t.pos < 100
         LEFT JOIN v_token v ON v.token = t.token GROUP BY ALL"""),
     "one_hot": (one_hot, TAGV + """ SELECT conv_id, turn, array_to_string(list_transform(ids, lambda x:
         array_to_string(list_transform(range(5), lambda i: CASE WHEN i = x THEN '1' ELSE '0' END), '')), ' ')
         AS one_hot FROM tenc"""),
     "argmax": (argmax, TAGV + " SELECT conv_id, turn, array_to_string(ids, ',') AS tag_ids FROM tenc"),
-    "mask": (mask, ENC + """ SELECT p.conv_id, p.turn, p.ids, array_to_string(list_transform(range(1, 21),
-        lambda i: CASE WHEN i <= least(len(k.tokens), 20) THEN '1' ELSE '0' END), '') AS mask
+    "mask": (mask, ENC + """ SELECT p.conv_id, p.turn, p.ids, array_to_string(list_transform(range(1, 101),
+        lambda i: CASE WHEN i <= least(len(k.tokens), 100) THEN '1' ELSE '0' END), '') AS mask
         FROM encp p JOIN tok k USING (conv_id, turn)"""),
     "freq_band": (freq_band, """SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word
         FROM documents) GROUP BY word HAVING count(*) BETWEEN 20 AND 500"""),
     "extent": (extent, "WITH " + TOK + ", " + _vocab_sql("token", ["<PAD>", "<UNK>"]) + ", "
                + _vocab_sql("tag", ["<EMPTY>"]) + """,
         f AS (SELECT t.pos, v.idx AS i, w.idx AS l FROM tags t JOIN v_token v ON v.token = t.token
-              JOIN v_tag w ON w.token = t.tag WHERE t.pos < 20),
-        pad AS (SELECT bool_or(len(tokens) < 20) AS p FROM tok)
+              JOIN v_tag w ON w.token = t.tag WHERE t.pos < 100),
+        pad AS (SELECT bool_or(len(tokens) < 100) AS p FROM tok)
         SELECT CAST(count(DISTINCT i) + CASE WHEN any_value(p) THEN 1 ELSE 0 END AS BIGINT) AS distinct_ids,
             CAST(max(i) AS INTEGER) AS max_id,
             CAST(count(DISTINCT l) + CASE WHEN any_value(p) THEN 1 ELSE 0 END AS BIGINT) AS n_labels
