@@ -16,7 +16,7 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexikon.llm.neardup import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                        F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+                        F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
