@@ -11,6 +11,7 @@ minus the current cell: no ``lag`` window.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,7 +158,7 @@ def _sample_average_precision(df: DataFrame, id_col: str, label: str) -> DataFra
             .groupBy(id_col).agg(F.sum((F.col("pos") / F.col("P")) * (F.col("tp") / F.col("n"))).alias("ap")))
 
 
-def macro_roc_curve(df: DataFrame, label: str = "label") -> DataFrame:
+def macro_roc_curve(df: DataFrame, label: str = "label", rows_per_bucket: int | None = None) -> DataFrame:
     """The union of all labels' fpr points, each label's tpr linearly
     interpolated there (largest tpr where a label has several at one fpr), and
     the mean over labels.  (Because a label's curve is taken at its largest tpr
@@ -166,12 +167,15 @@ def macro_roc_curve(df: DataFrame, label: str = "label") -> DataFrame:
     A sum of piecewise linear curves is piecewise linear: every point of a label
     changes the slope of the sum there.  So the mean at all points is one
     running sum of slope changes over the grid, linear in the points; no label
-    is evaluated on another one's points."""
+    is evaluated on another one's points.  ``rows_per_bucket`` sets how many
+    points a range of that sum holds (by default there is one range for each
+    shuffle partition)."""
     roc = roc_curve(df, [label])
     pts = roc.select(label, "fpr", "tpr")
     starts = pts.select(label).distinct().select(label, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     pts = cut_lineage(pts.unionByName(starts).groupBy(label, "fpr").agg(F.max("tpr").alias("tpr")))
-    idx = with_row_index(pts, ["fpr"], "i", partition_by=[label])
+    ranges = max(1, math.ceil(pts.count() / rows_per_bucket)) if rows_per_bucket else None
+    idx = with_row_index(pts, ["fpr"], "i", ranges, partition_by=[label])
     here = idx.select(F.col(label).alias("l"), "i", F.col("fpr").alias("x0"), F.col("tpr").alias("y0")).alias("h")
     after = idx.select(F.col(label).alias("l"), (F.col("i") - 1).alias("i"), F.col("fpr").alias("x1"),
                        F.col("tpr").alias("y1")).alias("a")
@@ -186,7 +190,7 @@ def macro_roc_curve(df: DataFrame, label: str = "label") -> DataFrame:
             .agg(F.sum("turn").alias("turn"), F.sum(F.col("turn") * F.col("fpr")).alias("lift"),
                  F.sum("start").alias("start")))
     n_labels = starts.agg(F.count(F.lit(1)).alias("n_labels"))
-    cum = running_sums(grid, [], F.col("fpr"), ["turn", "lift", "start"]).crossJoin(F.broadcast(n_labels))  # one row
+    cum = running_sums(grid, [], F.col("fpr"), ["turn", "lift", "start"], ranges=ranges).crossJoin(F.broadcast(n_labels))  # one row
     return cum.select("fpr", ((F.col("start_cum") + F.col("fpr") * F.col("turn_cum") - F.col("lift_cum"))
                               / F.col("n_labels")).alias("mean_tpr"))
 
