@@ -26,8 +26,7 @@ from lexikon.llm.common import Words, append_columns, as_bytes, by_size, map_row
 from lexikon.llm.decontam import NORMAL
 from lexikon.llm.hosts import SYMBOLS
 
-#: Documents whose labels give the abusive words, and documents that train the scorer.
-LABELLED_DOCS = 20_000
+#: Documents that train the scorer.
 TRAIN_DOCS = 20_000
 FEATURES = 1 << 18
 ROUNDS = 50
@@ -111,15 +110,15 @@ def bounded(ids: DataFrame, key: str, n: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
 
 
-def abusive_words(docs: DataFrame, people: DataFrame, doc_id: str, text: str, n_docs: int = LABELLED_DOCS) -> set[bytes]:
-    """Words that go with toxic labels, from at most ``n_docs`` labelled documents.
+def abusive_words(docs: DataFrame, people: DataFrame, doc_id: str, text: str) -> set[bytes]:
+    """Words that go with toxic labels, from all labelled documents.
 
     A word (or stem) counts once in a document, and once for all documents where its first
     neighbours are the same, so copies of one toxic text lend no weight to the
     other words in it; the excess over chance has to hold for all words tried.
     """
-    sample = F.broadcast(bounded(people.where("person[1] >= 0"), "_label_id", n_docs))  # n_docs rows of three numbers at most
-    own = docs.select(F.col(doc_id).alias("_label_id"), F.col(text).alias("text")).join(sample, "_label_id")
+    own = (docs.select(F.col(doc_id).alias("_label_id"), F.col(text).alias("text"))
+           .join(people.where("person[1] >= 0"), "_label_id"))
 
     def make():
         def fn(batch):
@@ -148,7 +147,7 @@ def abusive_words(docs: DataFrame, people: DataFrame, doc_id: str, text: str, n_
         F.col("n") > F.col("k"), (F.col("n") - F.col("k")) * F.log((F.col("n") - F.col("k")) / (F.col("n") * (1 - rate)))
     ).otherwise(0.0)
     clear = words.where((F.col("k") >= LEAST_SHARE * F.col("n")) & (excess > math.log(tried / CHANCE)))
-    return {bytes(r["word"]) for r in clear.select("word").collect()}  # from n_docs documents at most
+    return {bytes(r["word"]) for r in clear.select("word").collect()}  # a word list
 
 
 def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -177,21 +176,21 @@ def tokens(text: str | Column) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                  quality: str = "quality", toxic: str = "toxic", labelled_docs: int = LABELLED_DOCS,
-                  train_docs: int = TRAIN_DOCS, cut: float = CUT) -> DataFrame:
+                  quality: str = "quality", toxic: str = "toxic", train_docs: int = TRAIN_DOCS,
+                  cut: float = CUT) -> DataFrame:
     """``docs`` with quality_score (the chance to be good) and quality_kept (``quality_score >= cut``).
 
-    Only the fits of the word list and of the scorer take bounded samples
-    (``labelled_docs``, ``train_docs``: the documents of smallest id hashes); votes,
-    their patterns and scores cover every document.  A null or empty text scores
+    Only the fit of the scorer takes a bounded sample (``train_docs``: the documents
+    of smallest id hashes); the word list comes from every labelled document, and
+    votes, their patterns and scores cover every document.  A null or empty text scores
     1: there is nothing against it.  Without any label the heuristics vote
     alone; if all training documents are of one class, that is everyone's
     score.  A null id is voted on but never sampled; of rows with equal ids each
     is judged; columns with the names of the new ones are replaced.
     """
     spark = docs.sparkSession
-    people = judged(labels, doc_id, quality, toxic)
-    abusive = abusive_words(docs, people, doc_id, text, labelled_docs)
+    people = written(judged(labels, doc_id, quality, toxic), "people")
+    abusive = abusive_words(docs, people, doc_id, text)
     voted = with_votes(docs, text, abusive)
     votes = written(voted.select(F.col(doc_id).alias("_vote_id"), "_votes")
                     .join(people, F.col("_vote_id") == F.col("_label_id"), "left")

@@ -323,6 +323,17 @@ def test_quality_edges(spark, docs_of):
     assert {r.quality_kept for r in score_quality(docs_of(rows[1:5]), none).collect()} == {True}
 
 
+def test_abusive_words_from_all_labelled(spark):
+    """A word that only labelled documents with the largest id hashes hold is learned."""
+    from lexikon.llm.quality import abusive_words, judged
+    ids = spark.range(60_000).select(F.col("id").alias("doc_id"))
+    last = [r[0] for r in ids.orderBy(F.xxhash64("doc_id").desc(), F.desc("doc_id")).limit(40).collect()]
+    docs = ids.withColumn("text", F.when(F.col("doc_id").isin(last), F.format_string("a%d zorgle b%d", "doc_id", "doc_id"))
+                          .otherwise(F.format_string("plain c%d text", "doc_id")))
+    labels = ids.select("doc_id", F.lit(1).alias("quality"), F.col("doc_id").isin(last).cast("int").alias("toxic"))
+    assert b"zorgle" in abusive_words(docs, judged(labels, "doc_id", "quality", "toxic"), "doc_id", "text")
+
+
 # ---- pipeline -------------------------------------------------------------------
 
 def test_pipeline_stages_against_plain(spark):
