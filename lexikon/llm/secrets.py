@@ -5,13 +5,14 @@ The labelled samples come from the documents themselves: what a pattern matches
 is a random string; every other run of identifier characters that is too short
 to be a candidate is an ordinary one (longer ones may be secrets themselves).
 First-order transition counts of both classes are summed over all documents (a
-table of at most 2 * 67 * 67 numbers); a run is a secret if its log-likelihood
+table of at most 2 * 68 * 68 numbers); a run is a secret if its log-likelihood
 ratio per character is above the threshold.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -48,6 +49,29 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def pieces(raw: bytes, base: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is left of the candidate runs outside the ``base`` spans, where long enough."""
+    for m in CANDIDATE.finditer(raw):
+        at = m.start()
+        for s, _, e, _ in base:
+            if at < e and s < m.end():
+                if s - at >= MIN_CANDIDATE:
+                    yield at, s
+                at = e
+        if m.end() - at >= MIN_CANDIDATE:
+            yield at, m.end()
+
+
+def _classes(run: bytes) -> np.ndarray:
+    """The classes of a run's characters between its two edges."""
+    return np.concatenate([[0], _CLASS[np.frombuffer(run, np.uint8)], [0]])
+
+
+def _score(classes: np.ndarray, ratio: np.ndarray) -> float:
+    """The mean log-likelihood ratio of a run's transitions."""
+    return ratio[classes[:-1], classes[1:]].sum() / (len(classes) - 1)
+
+
 def _transitions(data: np.ndarray, least: int, below: float = np.inf) -> np.ndarray:
     """Counts of class pairs within runs of ``least`` characters or more, but fewer than
     ``below``, edges included."""
@@ -108,8 +132,8 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     and then by kind), n_assign, n_access and n_hex.
 
     The patterns assign, access and hex match leftmost and non-overlapping, each
-    kind by itself; ``random`` spans are runs of 20 or more identifier characters
-    outside those whose mean log-likelihood ratio exceeds ``threshold``.  With no
+    kind by itself; ``random`` spans are runs of 20 or more identifier characters,
+    those spans cut out of them, whose mean log-likelihood ratio exceeds ``threshold``.  With no
     random sample in the documents there are no such spans.  A null text counts
     as empty; repeated rows are scanned one by one; columns with the names of
     the new ones are replaced.
@@ -124,12 +148,7 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHO
             base = base_spans(raw)
             found = [(s, k, e) for s, k, e, _ in base]
             if ratio is not None:
-                for m in CANDIDATE.finditer(raw):
-                    if any(s < m.end() and m.start() < e for s, _, e, _ in base):
-                        continue
-                    c = np.concatenate([[0], _CLASS[np.frombuffer(m.group(), np.uint8)], [0]])
-                    if ratio[c[:-1], c[1:]].sum() / (len(c) - 1) > threshold:
-                        found.append((m.start(), 3, m.end()))
+                found += [(a, 3, b) for a, b in pieces(raw, base) if _score(_classes(raw[a:b]), ratio) > threshold]
             if not found:
                 return [], 0, 0, 0
             found.sort()

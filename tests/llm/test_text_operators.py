@@ -167,6 +167,21 @@ def test_secrets_markov_held_out(docs_of):
     assert sum(bool(found[2000 + i]) for i in range(100)) <= 2
 
 
+def test_secrets_beside_a_base_match(docs_of):
+    """What is left of a run beside a fixed pattern is scored."""
+    from lexikon.llm.secrets import find_secrets
+    rnd = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda k: "".join(rnd.choices(alphabet, k=k))
+    rows = [(i, f"some_name other_value token = {key(40)} user_count") for i in range(300)]
+    access, digits, secret = "AKIA" + "B7" * 8, "0123456789abcdef" * 2, key(40)
+    rows += [(1000, f"{access}/{secret}"), (1001, f"{secret}/{digits}/{secret} x"), (1002, f"{access}/{secret[:12]}")]
+    found = {i: [tuple(x) for x in s[0]] for i, s in rows_by_id(find_secrets(docs_of(rows)), "spans").items()}
+    assert found[1000] == [("access", 0, 20), ("random", 20, 61)]
+    assert found[1001] == [("random", 0, 41), ("hex", 41, 73), ("random", 73, 114)]
+    assert found[1002] == [("access", 0, 20)]
+
+
 def test_secrets_without_samples(docs_of):
     from lexikon.llm.secrets import find_secrets
     assert find_secrets(docs_of([])).count() == 0
