@@ -3,7 +3,8 @@ against ordinary identifiers.
 
 The labelled samples come from the documents themselves: what a pattern matches
 is a random string; every other run of identifier characters that is too short
-to be a candidate is an ordinary one (longer ones may be secrets themselves).
+to be a candidate is an ordinary one.  Longer ones may be secrets themselves, so
+a second pass adds those that the model of the first does not take for random.
 First-order transition counts of both classes are summed over all documents (a
 table of at most 2 * 68 * 68 numbers); a run is a secret if its log-likelihood
 ratio per character is above the threshold.
@@ -107,6 +108,29 @@ def _count_batch():
     return fn
 
 
+def _count_long(ratio: np.ndarray, threshold: float):
+    def make():
+        def fn(batch):
+            total = np.zeros(SIZE * SIZE, np.int64)
+            for raw in as_bytes(batch.column(0)):
+                if not raw:
+                    continue
+                for a, b in pieces(raw, base_spans(raw)):
+                    c = _classes(raw[a:b])
+                    if _score(c, ratio) <= threshold:
+                        total += np.bincount(c[:-1].astype(np.int32) * SIZE + c[1:], minlength=SIZE * SIZE)
+            pair = np.flatnonzero(total)
+            yield {"pair": pair.tolist(), "n": total[pair].tolist()}
+        return fn
+    return make
+
+
+def long_counts(docs: DataFrame, text: str, ratio: np.ndarray, threshold: float) -> DataFrame:
+    """(random = 0, pair, n): transition counts of the candidates that ``ratio`` does not take for random."""
+    return (map_rows(docs.select(text), "pair int, n bigint", _count_long(ratio, threshold))
+            .groupBy(F.lit(0).alias("random"), "pair").agg(F.sum("n").alias("n")))
+
+
 def markov_counts(docs: DataFrame, text: str) -> DataFrame:
     """(random, pair, n): transition counts of both classes over all documents."""
     return (map_rows(docs.select(text), "random int, pair int, n bigint", _count_batch)
@@ -140,6 +164,9 @@ def find_secrets(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     """
     counts = [(r[0], r[1], r[2]) for r in markov_counts(docs, text).collect()]  # at most 2 * SIZE * SIZE rows
     ratio = log_ratio(counts)
+    if ratio is not None:
+        counts += [(r[0], r[1], r[2]) for r in long_counts(docs, text, ratio, threshold).collect()]  # SIZE * SIZE rows
+        ratio = log_ratio(counts)
 
     def make():
         def one(raw: bytes | None) -> tuple:

@@ -167,6 +167,32 @@ def test_secrets_markov_held_out(docs_of):
     assert sum(bool(found[2000 + i]) for i in range(100)) <= 2
 
 
+def test_secrets_long_identifiers(docs_of):
+    """Ordinary identifiers of 20 characters and more, of letters that short ones lack, are learned as ordinary."""
+    from lexikon.llm.secrets import find_secrets
+    rnd = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = ["get", "user", "name", "from", "data", "table", "count", "total", "value", "index", "cache"]
+    name = lambda k: "_".join(rnd.choices(parts, k=k))
+    key = lambda k: "".join(rnd.choices(alphabet, k=k))
+    rows = [(i, f"{name(5)} {name(4)} token = {key(40)} {name(6)}") for i in range(300)]
+    rows += [(1000 + i, f"see {key(32)} here") for i in range(100)] + [(2000 + i, f"see {name(6)} here") for i in range(100)]
+    found = {i: s[0] for i, s in rows_by_id(find_secrets(docs_of(rows)), "spans").items()}
+    assert sum(bool(found[1000 + i]) for i in range(100)) >= 95
+    assert sum(bool(found[2000 + i]) for i in range(100)) <= 2
+
+
+def test_secrets_long_runs_are_counted():
+    """The second pass counts a long run as ordinary unless the first model takes it for random."""
+    import numpy as np
+    import pyarrow as pa
+    from lexikon.llm.secrets import SIZE, _count_long
+    batch = pa.RecordBatch.from_pydict({"text": ["src/main/python/module/file.py short " + "f" * 30, None]})
+    for score, n in ((0.0, 31), (1.0, 0)):
+        rows = list(_count_long(np.full((SIZE, SIZE), score), 0.5)()(batch))
+        assert sum(sum(r["n"]) for r in rows) == n
+
+
 def test_secrets_beside_a_base_match(docs_of):
     """What is left of a run beside a fixed pattern is scored."""
     from lexikon.llm.secrets import find_secrets
