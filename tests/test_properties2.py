@@ -94,3 +94,17 @@ def test_unigram_vocabulary_properties(spark):
     assert len(tokens) == 120 and len(set(tokens)) == 120 and tokens[0] == "<unk>"
     assert chars <= set(tokens)
     assert all(r.score <= 0 for r in v[1:])
+
+
+def test_unigram_seeds_are_all_repeated_substrings(spark):
+    """A piece outside the most frequent short substrings gets in, and the Spark table gives what the driver does."""
+    from lexikon.operators import subword as W
+    rare = "qzjxkvwpqyzj"
+    rows = [("".join(c), 50) for c in __import__("itertools").product("abcd", repeat=4)]
+    words = spark.createDataFrame([*rows, (rare, 40)], "word string, freq long")
+    driver = {(r.token, round(r.score, 9)) for r in W.train_unigram(words, 280).collect()}
+    assert rare in {t for t, _ in driver}
+    table = {(r.token, round(r.score, 9)) for r in W.train_unigram(words, 280, driver_pieces=0).collect()}
+    assert table == driver
+    pruned = [{r.token for r in W.train_unigram(words, 100, driver_pieces=n).collect()} for n in (0, 10_000)]
+    assert pruned[0] == pruned[1] and len(pruned[0]) <= 100
