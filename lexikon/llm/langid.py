@@ -23,7 +23,7 @@ from lexikon.llm.common import append_columns, map_rows, written
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A longer run of letters is scored in parts of so many, which keeps products above the smallest double.
+#: Longer runs of letters are summed over in logarithms, as products would fall below the smallest double.
 LONGEST = 30
 ROUNDS = 2
 SMOOTHING = 0.1
@@ -80,10 +80,11 @@ class Lattice:
         return out
 
     def groups(self, words: list[str]) -> Iterator[tuple[list[int], int, list]]:
-        """Words of one length together: (their numbers, length, for each (from, to) the words' rows and pieces)."""
+        """Words of one length, up to LONGEST, together: (their numbers, length, for each (from, to) the words' rows and pieces)."""
         by_length = defaultdict(list)
         for k, w in enumerate(words):
-            by_length[len(w) + 1].append(k)
+            if len(w) <= LONGEST:
+                by_length[len(w) + 1].append(k)
         for n, own in by_length.items():
             found, sizes = [], []
             for k in own:
@@ -99,6 +100,21 @@ class Lattice:
                      for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(place)], strict=True)]
             yield own, n, steps
 
+    def steps(self, word: str) -> Iterator[tuple[int, int, int]]:
+        """(from, to, piece) for a word of any length, by place, with the word start as letter 0."""
+        s = START + word
+        for i in range(len(s)):
+            node = self.trie
+            for e in range(i, len(s)):
+                step = node.get(s[e])
+                if step is None:
+                    break
+                node, piece = step
+                if piece >= 0:
+                    yield i, e + 1, piece
+            if s[i] not in self.trie or self.trie[s[i]][1] < 0:
+                yield i, i + 1, self.unknown
+
     def log_probs(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log P(word | language), all segmentations together: words x languages."""
         out = np.zeros((len(words), p.shape[1]))
@@ -108,6 +124,14 @@ class Lattice:
             for i, e, rows, ids in steps:
                 alpha[e, rows] += alpha[i, rows] * p[ids]
             out[own] = np.log(alpha[n])
+        long = [k for k, w in enumerate(words) if len(w) > LONGEST]
+        logs = np.log(p) if long else p
+        for k in long:
+            alpha = np.full((len(words[k]) + 2, p.shape[1]), -np.inf)
+            alpha[0] = 0
+            for i, e, piece in self.steps(words[k]):
+                alpha[e] = np.logaddexp(alpha[e], alpha[i] + logs[piece])
+            out[k] = alpha[-1]
         return out
 
     def expected(self, words: list[str], langs: np.ndarray, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -130,15 +154,24 @@ class Lattice:
             weight = np.concatenate([alpha[i, rows] * q * beta[e, rows] * scale[rows]
                                      for (i, e, rows, _), q in zip(steps, probs, strict=True)])
             total += np.bincount(where, weight, minlength=p.size)
+        long = [k for k, w in enumerate(words) if len(w) > LONGEST]
+        logs = np.log(p) if long else p
+        for k in long:
+            steps = list(self.steps(words[k]))
+            own = logs[:, langs[k]]
+            alpha = np.full(len(words[k]) + 2, -np.inf)
+            beta = alpha.copy()
+            alpha[0] = beta[-1] = 0
+            for i, e, piece in steps:
+                alpha[e] = np.logaddexp(alpha[e], alpha[i] + own[piece])
+            for i, e, piece in reversed(steps):
+                beta[i] = np.logaddexp(beta[i], own[piece] + beta[e])
+            i, e, ids = np.array(steps).T
+            weight = counts[k] * np.exp(alpha[i] + own[ids] + beta[e] - alpha[-1])
+            np.add.at(total, ids * width + langs[k], weight)
         return total.reshape(p.shape)
 
 
-def _parts(words: list[str]) -> list[str]:
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
-    return [w[i:i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-
-
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for hi, t in enumerate(texts):
@@ -158,7 +191,7 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
             texts, of = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for lo, hi in _blocks(texts):
                 for i in range(lo, hi):
-                    found[of[i]].update(_parts(words_of(texts[i] or "")))
+                    found[of[i]].update(words_of(texts[i] or ""))
                 if sum(map(len, found.values())) > CACHED_WORDS:
                     yield from out(found)
             yield from out(found)
@@ -232,7 +265,7 @@ def identify(docs: DataFrame, training: DataFrame, lang: str = "lang", text: str
 
         def score(texts: list[str | None]) -> tuple[list, list]:
             nonlocal rows
-            found = [_parts(words_of(t or "")) for t in texts]
+            found = [words_of(t or "") for t in texts]
             new = list({w for ws in found for w in ws} - cache.keys())
             if len(cache) + len(new) > CACHED_WORDS:
                 cache.clear()

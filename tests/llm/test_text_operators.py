@@ -281,6 +281,35 @@ def test_forward_sums_all_segmentations():
     assert np.isclose((e[:, 0] * sizes).sum(), sum(len(w) + 1 for w in words))
 
 
+def test_long_words_are_summed_whole(docs_of):
+    """A run of any length is one word, and all its segmentations count."""
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+    from lexikon.llm.langid import START, Lattice, word_counts
+    pieces = [START, START + "a", "a", "ab", "b", "ba", START + "ab", "bab"]
+    lattice = Lattice(pieces)
+    p = np.random.default_rng(1).random((len(pieces) + 1, 2)) * 1e-3
+    words = ["ab" * 100 + "x" + "bba" * 40, "a" * 31, "ba"]
+
+    def plain(s, lang):
+        total = [Fraction(0)] * len(s) + [Fraction(1)]
+        for i in reversed(range(len(s))):
+            for k in range(1, 4):
+                j = lattice.id.get(s[i:i + k], lattice.unknown if k == 1 else None)
+                if j is not None and i + k <= len(s):
+                    total[i] += Fraction(p[j, lang]) * total[i + k]
+        return math.log(total[0].numerator) - math.log(total[0].denominator)
+
+    assert np.allclose(lattice.log_probs(words, p), [[plain(START + w, k) for k in range(2)] for w in words])
+    sizes = np.array([len(x) for x in pieces] + [1])
+    e = lattice.expected(words, np.array([0, 1, 0]), np.array([2.0, 1.0, 1.0]), p)
+    assert np.allclose((e * sizes[:, None]).sum(axis=0), [2 * (len(words[0]) + 1) + 3, 32])
+    got = word_counts(docs_of([(1, words[0] + " ba", "xx")]), "lang", "text").collect()
+    assert {(r.word, r.n) for r in got} == {(words[0], 1), ("ba", 1)}
+
+
 def test_language_held_out_and_edges(spark, docs_of):
     from lexikon.llm.langid import identify
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
