@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: thin, digest columns only."""
+"""The registered queries of the operators: thin, digest columns only."""
 
 from __future__ import annotations
 
@@ -248,6 +248,95 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM j GROUP BY doc_id"""
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.trie import conversations, prefix_trie, with_openings
+    conv = F.col("conv")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie(with_openings(conversations(table(spark, sf_dir, "conversations")), conv - conv % 100, shared, 5))
+
+
+#: A node is the MD5 chain of its turns; h is the CRC-32 of the decimal id, bit by bit.
+TRIE_SQL = r"""
+WITH t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS size,
+                  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+           FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list(key ORDER BY turn NULLS FIRST, key) AS keys, list(size ORDER BY turn NULLS FIRST, key) AS sizes,
+              xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                lambda a, b: list_reduce(CAST(range(8) AS BIGINT[]),
+                  lambda x, _: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)), xor(a, b)), CAST(4294967295 AS BIGINT)),
+                CAST(4294967295 AS BIGINT)) % 6 AS h
+       FROM t GROUP BY conv_id),
+ r AS (SELECT o.conv_id, coalesce(b.keys, [])[1:o.h] || o.keys[o.h + 1:] AS keys,
+              coalesce(b.sizes, [])[1:o.h] || o.sizes[o.h + 1:] AS sizes
+       FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 100),
+ m AS (SELECT conv_id, unnest(range(0, len(keys) + 1)) AS depth, keys, sizes FROM r),
+ k AS (SELECT conv_id, depth, md5(array_to_string(keys[1:depth], ',')) AS node, depth = len(keys) AS ends,
+              md5(array_to_string(keys[1:depth - 1], ',')) AS above, coalesce(sizes[depth], 0) AS size FROM m),
+ n AS (SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+       FROM k GROUP BY depth, node),
+ c AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+ v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, node)),
+ s AS (SELECT k.depth, k.node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * v.size) AS saved
+       FROM v JOIN k ON k.conv_id = v.conv_id AND k.depth <= v.depth GROUP BY k.depth, k.node)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (depth, node) LEFT JOIN n p ON p.depth = v.depth - 1 AND p.node = v.above"""
+
+
+def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.fingerprint import DIGITS, fingerprints
+
+    def digits(sketch: str) -> Column:
+        return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
+
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_chars", sha256(F.col("edited")).alias("edited_sha256"), digits("sketch").alias("fingerprint"),
+        digits("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+FINGERPRINT_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS first,
+                  lead(doc_id) OVER w AS after_id FROM documents WINDOW w AS (ORDER BY doc_id)),
+ e AS (SELECT doc_id, n, t, CASE WHEN after_id IS NULL THEN first ELSE after END AS x FROM d),
+ f AS (SELECT *, substr(t, 1, n - n // 2) || substr(x, 1, n // 2) AS edited FROM e),
+ v AS (SELECT doc_id, unnest([t, edited, x]) AS v, unnest([1, 2, 3]) AS kind FROM f),
+ w AS (SELECT doc_id, kind, regexp_extract_all(translate(v, {LOWER}), '[^\x20\x09-\x0D]+') AS w FROM v),
+ s AS (SELECT doc_id, kind, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1,
+         greatest(2, len(w) - 3)), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 15))))[1:128] END AS s FROM w),
+ p AS (SELECT a.doc_id, a.s AS a, b.s AS b, c.s AS c, list_sort(list_distinct(a.s || b.s))[1:128] AS ab,
+              list_sort(list_distinct(a.s || c.s))[1:128] AS ac
+       FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.kind = 1 AND b.kind = 2 JOIN s c ON a.doc_id = c.doc_id AND c.kind = 3)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint,
+       array_to_string(b, '') AS edited_fingerprint,
+       CASE WHEN len(ab) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect(ab, a), b)) / len(ab) END AS near_edited,
+       CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect(ac, a), c)) / len(ac) END AS near_next
+FROM f JOIN p USING (doc_id)"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexikon.llm.negatives import mine_negatives
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.select("vec_id", "embedding", moved.alias("label")), "id % 50 = 0")
+
+
+NEGATIVES_SQL = r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+       FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+
 QUERIES = {
     "op1_neardup": (op1_neardup, NEARDUP_SQL),
     "op2_mixing": (op2_mixing, MIXING_SQL),
@@ -259,4 +348,7 @@ QUERIES = {
     "op6_langid": (op6_langid, None),
     "op9_host_rules": (op9_host_rules, _hosts_sql()),
     "op10_line_dedup": (op10_line_dedup, LINES_SQL),
+    "op11_prefix_trie": (op11_prefix_trie, TRIE_SQL),
+    "op12_fingerprint": (op12_fingerprint, FINGERPRINT_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, NEGATIVES_SQL),
 }
