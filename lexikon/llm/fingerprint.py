@@ -30,13 +30,18 @@ def shingle_words(text: Column) -> Column:
 
 
 def word_sketch(words: Column, k: int = K, width: int = WIDTH) -> Column:
-    """The sketch of a column of words (a column, not an expression: it is read once for each shingle)."""
-    def shingle(i: Column) -> Column:
-        digest = F.md5(F.array_join(F.slice(words, i, width), " "))
-        return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), shingle)
-    hashes = F.when(F.size(words) > 0, some).otherwise(F.array().cast("array<bigint>"))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
+    """The sketch of a column of words (a column, not an expression: it is read once for each shingle).
+
+    Digests are put in order as they are, and only the ``k`` smallest become numbers.
+    """
+    def shingle(word: Column, i: Column) -> Column:
+        parts = [word] + [x for j in range(1, width) for x in (F.lit(" "), F.get(words, i + j))]
+        return F.md5(F.concat(*parts))
+    digests = (F.when(F.size(words) >= width, F.slice(F.transform(words, shingle), F.lit(1), F.size(words) - (width - 1)))
+               .when(F.size(words) > 0, F.array(F.md5(F.array_join(words, " "))))
+               .otherwise(F.array().cast("array<string>")))
+    least = F.slice(F.array_distinct(F.sort_array(digests)), 1, k)
+    return F.array_distinct(F.transform(least, lambda d: F.conv(F.substring(d, 1, DIGITS), 16, 10).cast("long")))
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -105,8 +110,8 @@ def followed(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     before = order.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("at").alias("p_at"),
                           F.expr("n div 2").alias("asked"))
     steps = order.select("h1", "h2", F.expr("(at + total - 1) % total").alias("p_at")).join(before, "p_at").drop("p_at")
-    texts = docs.select("h1", "h2", "id", "text")
-    asked = (texts.join(steps, ["h1", "h2"])
+    # with next_id in use, this join and the last one take the same columns, and Spark deals the texts out only once
+    asked = (docs.join(steps, ["h1", "h2"])
              .select("p1", "p2", F.col("id").alias("next_id"), F.expr("coalesce(substring(text, 1, asked), '')").alias("head"),
                      shingle_words(F.col("text")).alias("words"))
              .select("p1", "p2", "next_id", "head", word_sketch(F.col("words"), k, width).alias("next_sketch")))

@@ -292,14 +292,15 @@ def op12_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_chars", sha256(F.col("edited")).alias("edited_sha256"), digits("sketch").alias("fingerprint"),
-        digits("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+        digits("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next", F.col("next_id").alias("next_doc_id"))
 
 
 FINGERPRINT_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
                   lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS first,
-                  lead(doc_id) OVER w AS after_id FROM documents WINDOW w AS (ORDER BY doc_id)),
- e AS (SELECT doc_id, n, t, CASE WHEN after_id IS NULL THEN first ELSE after END AS x FROM d),
+                  lead(doc_id) OVER w AS after_id, first_value(doc_id) OVER w AS first_id FROM documents WINDOW w AS (ORDER BY doc_id)),
+ e AS (SELECT doc_id, n, t, CASE WHEN after_id IS NULL THEN first ELSE after END AS x, coalesce(after_id, first_id) AS next_doc_id
+       FROM d),
  f AS (SELECT *, substr(t, 1, n - n // 2) || substr(x, 1, n // 2) AS edited FROM e),
  v AS (SELECT doc_id, unnest([t, edited, x]) AS v, unnest([1, 2, 3]) AS kind FROM f),
  w AS (SELECT doc_id, kind, regexp_extract_all(translate(v, {LOWER}), '[^\x20\x09-\x0D]+') AS w FROM v),
@@ -311,7 +312,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint,
        array_to_string(b, '') AS edited_fingerprint,
        CASE WHEN len(ab) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect(ab, a), b)) / len(ab) END AS near_edited,
-       CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect(ac, a), c)) / len(ac) END AS near_next
+       CASE WHEN len(ac) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect(ac, a), c)) / len(ac) END AS near_next,
+       next_doc_id
 FROM f JOIN p USING (doc_id)"""
 
 
