@@ -41,6 +41,19 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, used: dict[str, str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operator`` over the columns ``used`` (column -> the name the operator knows) and ``rest``, a struct of all
+    others, so that no name can clash.  It keeps these columns (``rest`` always) and adds its own, which
+    replace columns of ``docs`` of the same name; a used column that it drops is dropped."""
+    rest = [c for c in docs.columns if c not in used]
+    out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in used.items()],
+                               F.struct(F.lit(None).alias("none"), *[F.col(f"`{c}`") for c in rest]).alias("rest")))
+    new = [c for c in out.columns if c != "rest" and c not in used.values()]
+    taken = {c.lower() for c in new}
+    kept = [c for c in docs.columns if c.lower() not in taken and (c not in used or used[c] in out.columns)]
+    return out.select(*[F.col(used[c]).alias(c) if c in used else F.col("rest").getField(c).alias(c) for c in kept], *new)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

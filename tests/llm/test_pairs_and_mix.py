@@ -306,6 +306,41 @@ def test_quality_on_the_tables(spark):
     assert clean.where("NOT quality_kept").count() <= 0.03 * clean.count()
 
 
+def test_quality_catches_toxic_documents(spark):
+    """Labelled and held-out ones; clean documents stay."""
+    from lexikon.llm.quality import score_quality
+    for sf in ("sf0.01", "sf0.1"):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        for seen, held in (("true", "true"), ("doc_id % 4 <> 0", "doc_id % 4 = 0")):
+            got = score_quality(docs.select("doc_id", "text"), labels.where(seen)).join(labels, "doc_id").where(held)
+            n = {(r[0], r[1]): r[2] for r in got.groupBy(F.expr(
+                "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'junk' ELSE 'clean' END"), "quality_kept").count().collect()}
+            share = {k: n.get((k, True), 0) / (n.get((k, True), 0) + n.get((k, False), 0)) for k in ("toxic", "junk", "clean")}
+            assert share["toxic"] <= (0.1 if held == "true" else 0.15) and share["junk"] <= 0.05 and share["clean"] >= 0.99, (sf, share)
+
+
+def test_quality_keeps_columns_of_its_own_names(spark, docs_of):
+    from lexikon.llm.quality import score_quality
+    names = ("_votes", "_features", "_raw", "_probability", "_prediction", "_tokens", "_label_id", "_vote_id", "p", "rest", "text2")
+    docs = docs_of([(1, "some words of a text"), (2, None)])
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for r in score_quality(docs, labels).collect():
+        assert all(r[c] == "mine" for c in names) and r["quality_kept"]
+
+
+def test_word_filter_and_entries():
+    from lexikon.llm.quality import Entries, _passes
+    found = Entries([b"Alpha beta, ALPHABET alpha", None, b"", b"beta"])
+    first = found.first()
+    got = sorted((int(found.doc[i]), found.bytes_of(i), int(found.at[i])) for i in first)
+    assert got == [(0, b"alpha", 0), (0, b"alphab*", 2), (0, b"alphabet", 2), (0, b"beta", 1), (3, b"beta", 4)]
+    context = found.contexts()
+    assert context[4] != context[1] and len(set(context.tolist())) == 5
+    assert not _passes(np.zeros(16, np.uint64), found.hash).any()
+
+
 def test_quality_edges(spark, docs_of):
     from lexikon.llm.quality import score_quality
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, None, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
