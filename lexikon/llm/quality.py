@@ -235,36 +235,55 @@ def _uses(labelled: DataFrame, among: np.ndarray | None) -> DataFrame:
     return map_rows(labelled, "word bigint, context bigint, toxic boolean, n bigint", make)
 
 
+def _word_counts(uses: DataFrame) -> DataFrame:
+    """(word, n, k): distinct contexts of each word, and those of toxic documents only; of the
+    rows without a word the numbers of entries."""
+    own = F.when(F.col("word").isNull(), F.col("n")).otherwise(F.lit(1))
+    return (uses.groupBy("word", "context").agg(F.min("toxic").alias("toxic"), F.sum("n").alias("n"))
+            .groupBy("word").agg(F.sum(own).alias("n"), F.sum(F.when(F.col("toxic"), own).otherwise(0)).alias("k")))
+
+
 def abusive_hashes(docs: DataFrame, people: DataFrame, doc_id: str, text: str) -> np.ndarray:
     """Sorted hashes of the words (and stems) that go with toxic labels, from all labelled documents.
 
     A word counts once in a document, and once for all documents where its first
     neighbours are the same, so copies of one toxic text lend no weight to the
-    other words in it.  Only words of some toxic document can be meant, so others are
-    not counted (but for their number).  A word is taken if its share of toxic uses
-    is LEAST_SHARE at least and its excess over chance is clear among all words: of
-    those taken a share of CHANCE at most is expected to be there by chance
-    (Benjamini and Hochberg, over the words with enough uses to be clear at all).
+    other words in it.  A word is taken if its share of toxic uses is LEAST_SHARE at
+    least and its excess over chance is clear among all words: of those taken a share
+    of CHANCE at most is expected to be there by chance (Benjamini and Hochberg,
+    over the words with enough uses to be clear at all).
+
+    Words that cannot be taken are left out of the large count: those of no toxic
+    document, and those with too many clean uses among a part of the clean documents
+    already to reach LEAST_SHARE with all uses in toxic ones.
     """
+    none = np.zeros(0, np.uint64)
     people = people.where("person[1] >= 0")
     toxic = people.where(f"person[1] = {BAD}")
-    seen = written(_uses(_labelled(docs, toxic, doc_id, text), None).where("word IS NOT NULL").select("word").distinct(),
-                   "toxic_words")
-    uses = (_uses(_labelled(docs, people, doc_id, text), bit_filter(seen, seen.count()))
-            .groupBy("word", "context").agg(F.min("toxic").alias("toxic"), F.sum("n").alias("n")))
-    # a word's uses are its distinct contexts; the two rows without a word hold the numbers of entries
-    own = F.when(F.col("word").isNull(), F.col("n")).otherwise(F.lit(1))
-    words = written(uses.groupBy("word").agg(F.sum(own).alias("n"), F.sum(F.when(F.col("toxic"), own).otherwise(0)).alias("k")),
-                    "word_uses")
+    n_toxic, n_people = toxic.count(), people.count()
+    if not n_toxic or n_toxic == n_people:
+        return none
+    seen = written(_word_counts(_uses(_labelled(docs, toxic, doc_id, text), None).where("word IS NOT NULL"))
+                   .select("word", F.col("k").alias("most")), "toxic_words")
+    spare = 1 / LEAST_SHARE - 1
+    part = min(1.0, 2 * spare * n_toxic / (n_people - n_toxic))  # twice what an ordinary word needs
+    some = people.where(f"person[1] <> {BAD}").where(
+        F.pmod(F.xxhash64(F.lit(1), "_label_id"), F.lit(1 << 16)) < int(part * (1 << 16)) + 1)
+    others = (_uses(_labelled(docs, some, doc_id, text), bit_filter(seen.select("word"), seen.count()))
+              .where("word IS NOT NULL").groupBy("word", "context").count().groupBy("word").agg(F.count(F.lit(1)).alias("others")))
+    left = written(seen.join(others, "word", "left").where(F.coalesce("others", F.lit(0)) <= spare * F.col("most"))
+                   .select("word"), "open_words")
+    n_left = left.count()
+    words = written(_word_counts(_uses(_labelled(docs, people, doc_id, text), bit_filter(left, n_left))), "word_uses")
     total = words.where("word IS NULL").first()
     if total is None or not total["k"] or total["k"] == total["n"]:
-        return np.zeros(0, np.uint64)
+        return none
     rate = total["k"] / total["n"]
     k, n = F.col("k"), F.col("n")
     excess = k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0)
     # a word of n uses shows up in a toxic document by a chance of 1 - (1 - rate) ** n: those that do stand for all
     testable = words.where((k > 0) & F.col("word").isNotNull() & (n * -math.log(rate) >= -math.log(CHANCE)))
-    tried = testable.agg(F.sum(1 / (1 - F.pow(F.lit(1 - rate), n)))).first()[0] or 0.0
+    tried = (testable.agg(F.sum(1 / (1 - F.pow(F.lit(1 - rate), n)))).first()[0] or 0.0) + seen.count() - n_left
     clear = testable.where(k >= LEAST_SHARE * n).withColumn("excess", excess)
     steps = clear.groupBy(F.least(F.floor(F.col("excess") * 8), F.lit(8 * 800)).alias("step")).agg(
         F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()  # 6,401 rows at most
@@ -276,7 +295,7 @@ def abusive_hashes(docs: DataFrame, people: DataFrame, doc_id: str, text: str) -
         if math.exp(-r["step"] / 8) * tried <= CHANCE * found:
             limit = r["step"] / 8
     if limit is None:
-        return np.zeros(0, np.uint64)
+        return none
     taken = clear.where(F.floor(F.col("excess") * 8) >= limit * 8).select("word").collect()  # MOST_WORDS at most
     return np.sort(np.array([r["word"] for r in taken], np.int64).view(np.uint64))
 
