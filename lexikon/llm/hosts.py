@@ -14,13 +14,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import Words, append_columns, as_bytes, by_size, text_sums, windows, written
+from lexikon.llm.common import Words, append_columns, as_bytes, aside, by_size, text_sums, windows, written
 
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 LIMIT = 0.5
+#: Parts of each host's documents in the join with its verdict.
+SALTS = 32
 #: Bounds of the prior's weight in documents: rates that do not spread shrink fully.
 WEAKEST, STRONGEST = 1.0, 1e6
 
@@ -118,14 +120,20 @@ def host_rules(docs: DataFrame, source: str = "source", text: str = "text", limi
 
     A document without a source has no host and is judged by the base rule
     alone; empty and null texts have no words and fail it; repeated rows are
-    judged row by row; columns with the names of the new ones are replaced.
+    judged row by row; columns with the names of the new ones are replaced, all
+    others kept.  Only hosts that are bad under some rule are joined back, each to
+    SALTS parts of its documents, so a host with most documents is many small keys.
     """
-    new = {"base_failed", "failed_host_rules", "kept", "host", "_host"}
-    plain = docs.drop(*[c for c in docs.columns if c.lower() in new and c not in (source, text)])
-    measured = written(measure(plain.withColumn("_host", host_of(F.col(source))), text).drop(text), "measures")
-    verdicts = host_verdicts(measured, "_host", limit)
-    judged = measured.join(verdicts, F.col("_host") == F.col("host"), "left")
-    failed = F.array_compact(F.array(*[F.when(F.expr(f"({r}) AND bad_{k}"), F.lit(k)) for k, r in RULES.items()]))
-    return (judged.withColumn("base_failed", F.expr(BASE)).withColumn("failed_host_rules", failed)
-            .withColumn("kept", ~F.col("base_failed") & (F.size("failed_host_rules") == 0))
-            .drop("_host", *(set(verdicts.columns) - set(docs.columns))))
+    def judged(own: DataFrame) -> DataFrame:
+        measured = written(measure(own.withColumn("own_host", host_of(F.col("source"))), "text").drop("text"), "measures")
+        bad = ["bad_" + k for k in RULES]
+        verdicts = (host_verdicts(measured, "own_host", limit).where(" OR ".join(bad))
+                    .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+        # of written rows: a task that runs again draws the same numbers
+        salted = measured.withColumn("own_salt", (F.rand(0) * SALTS).cast("int"))
+        joined = salted.join(verdicts, (F.col("own_host") == F.col("host")) & (F.col("own_salt") == F.col("salt")), "left")
+        failed = F.array_compact(F.array(*[F.when(F.expr(f"({r}) AND bad_{k}"), F.lit(k)) for k, r in RULES.items()]))
+        return (joined.withColumn("base_failed", F.expr(BASE)).withColumn("failed_host_rules", failed)
+                .withColumn("kept", ~F.col("base_failed") & (F.size("failed_host_rules") == 0))
+                .drop("own_host", "own_salt", "host", "salt", *bad))
+    return aside(docs, {source: "source", text: "text"}, judged)

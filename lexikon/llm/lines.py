@@ -5,8 +5,8 @@ line.  A batch of documents (a range of ids, in ascending order) takes from its
 lines the hashes that no run holds yet -- a merge anti join with each run, which
 is read in place, neither shuffled nor sorted again -- and writes them, with the
 smallest document that holds each, as a new run of level 0.  When a level holds
-``fanout`` runs they are merged into one run of the next level, so n batches
-leave O(fanout * log n) runs.
+``fanout`` runs they are merged into one run of the next level, two at a time and
+bucket by bucket, so n batches leave O(fanout * log n) runs.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import append_columns, as_bytes, map_rows, scratch_table
+from lexikon.llm.common import append_columns, as_bytes, aside, map_rows, scratch_table
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
 LAST_ID = (1 << 63) - 1
+#: Whether a scan of sorted buckets of one file each counts as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: bytes) -> bytes:
@@ -47,10 +49,13 @@ class LineIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
+        # a bucket is one sorted file, so that joins need not sort it again
+        self.before = spark.conf.get(ORDERED, None)
+        spark.conf.set(ORDERED, "true")
+
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (rows.repartition(self.buckets, "hi", "lo").write.bucketBy(self.buckets, "hi", "lo")
-         .sortBy("hi", "lo").format("parquet").saveAsTable(name))
+        rows.write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").format("parquet").saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
@@ -64,22 +69,31 @@ class LineIndex:
 
     def add(self, fresh: DataFrame) -> DataFrame:
         """Writes ``fresh`` as a run of level 0; returns it as read back."""
-        run = self._write(fresh)
+        run = self._write(fresh.repartition(self.buckets, "hi", "lo"))
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(run)
         return self.spark.table(run)
 
+    def _merged(self, a: str, b: str) -> DataFrame:
+        """Two runs merged: a full outer merge join of their sorted buckets, which share no hash."""
+        left, right = (self.spark.table(t).toDF(*[f"{c}_{side}" for c in ("hi", "lo", "doc")])
+                       for t, side in ((a, "a"), (b, "b")))
+        both = left.join(right.hint("merge"), (F.col("hi_a") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")), "full")
+        return both.select(*[F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("hi", "lo", "doc")])
+
     def compact(self) -> None:
         """Merges every full level into one run of the next."""
         k = 0
         while k < len(self.levels):
             level = self.levels[k]
             if len(level) >= self.fanout:
-                merged = self.spark.table(level[0])
-                for run in level[1:]:
-                    merged = merged.unionByName(self.spark.table(run))
-                name = self._write(merged)
+                name = level[0]
+                for n, run in enumerate(level[1:]):
+                    merged = self._write(self._merged(name, run))
+                    if n:
+                        self.spark.sql(f"DROP TABLE {name}")
+                    name = merged
                 for run in level:
                     self.spark.sql(f"DROP TABLE {run}")
                 self.levels[k] = []
@@ -92,6 +106,10 @@ class LineIndex:
         for run in self.runs():
             self.spark.sql(f"DROP TABLE {run}")
         self.levels = []
+        if self.before is None:
+            self.spark.conf.unset(ORDERED)
+        else:
+            self.spark.conf.set(ORDERED, self.before)
 
 
 def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -123,7 +141,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     every other; rows of equal ids count as one document; columns of ``docs``
     named n_lines or n_dropped are replaced; an empty table stays empty.
     """
-    spark = docs.sparkSession
+    return aside(docs, {doc_id: "id", text: "text"}, lambda own: _deduped(own, min_chars, batches, fanout))
+
+
+def _deduped(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
+    spark, doc_id, text = docs.sparkSession, "id", "text"
     shares = [i / batches for i in range(1, batches)]
     cuts = sorted(set(docs.agg(F.percentile_approx(doc_id, shares, 1000)).first()[0] or [])) if shares else []
     batch = F.lit(0)
@@ -133,19 +155,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     line_hashes(docs, doc_id, text, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("doc bigint, hi bigint, lo bigint, batch int").parquet(path)
     index, dropped_path = LineIndex(spark, fanout), scratch_table(spark, "line_drops")
-    for b in range(len(cuts) + 1):
-        rows = lines.where(F.col("batch") == b).drop("batch")
-        own = rows.groupBy("hi", "lo").agg(F.min("doc").alias("doc"))
-        kept = index.add(index.unseen(own))
-        rows.join(kept.hint("merge"), ["hi", "lo", "doc"], "left_anti").write.mode("append").parquet(dropped_path)
-        index.compact()
-    index.drop()
+    try:
+        for b in range(len(cuts) + 1):
+            rows = lines.where(F.col("batch") == b).drop("batch")
+            own = rows.groupBy("hi", "lo").agg(F.min("doc").alias("doc"))
+            kept = index.add(index.unseen(own))
+            rows.join(kept.hint("merge"), ["hi", "lo", "doc"], "left_anti").write.mode("append").parquet(dropped_path)
+            index.compact()
+    finally:
+        index.drop()
     drops = (spark.read.schema("hi bigint, lo bigint, doc bigint").parquet(dropped_path)
-             .groupBy(F.col("doc").alias("_line_doc")).agg(F.collect_list(F.struct("hi", "lo")).alias("_line_drops")))
-    joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)) == F.col("_line_doc"), "left")
-    return append_columns(joined, [text, "_line_drops"], f"_line_text string, n_lines bigint, n_dropped bigint",
-                          _without_lines).drop("_line_doc", "_line_drops").withColumn(
-        text, F.col("_line_text")).drop("_line_text")
+             .groupBy(F.col("doc").alias("line_doc")).agg(F.collect_list(F.struct("hi", "lo")).alias("drops")))
+    joined = docs.join(drops, F.coalesce(docs[doc_id].cast("long"), F.lit(LAST_ID)) == F.col("line_doc"), "left")
+    return append_columns(joined, [text, "drops"], "kept_text string, n_lines bigint, n_dropped bigint",
+                          _without_lines).drop("line_doc", "drops").withColumn(text, F.col("kept_text")).drop("kept_text")
 
 
 def _without_lines():

@@ -51,6 +51,8 @@ MOST_WORDS = 100_000
 #: Bits of the largest broadcast filter (16 MB): with more ids or words than it tells
 #: apart more rows pass it, and the joins behind it settle the rest.
 FILTER_BITS = 1 << 27
+#: Bytes of text whose words are held at once.
+PART_BYTES = 1 << 20
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
@@ -149,7 +151,7 @@ def with_votes(docs: DataFrame, text: str, abusive: np.ndarray) -> DataFrame:
     def make():
         def fn(texts):
             raw = as_bytes(texts)
-            parts = [heuristic_votes(raw[a:b], sent.value) for a, b in by_size(raw)]
+            parts = [heuristic_votes(raw[a:b], sent.value) for a, b in by_size(raw, PART_BYTES)]
             return [[v.tolist() for p in parts for v in p]]
         return fn
     return append_columns(docs, [text], "_votes array<int>", make)
@@ -219,7 +221,7 @@ def _uses(labelled: DataFrame, among: np.ndarray | None) -> DataFrame:
         def fn(batch):
             raw = as_bytes(batch.column(0))
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in by_size(raw):
+            for a, b in by_size(raw, PART_BYTES):
                 found = Entries(raw[a:b])
                 first = found.first()
                 label = toxic[a:b][found.doc[first]]

@@ -329,3 +329,65 @@ def test_language_held_out_and_edges(spark, docs_of):
 
 def test_sha_columns():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_columns_of_internal_names_come_back(spark, docs_of):
+    import corpus_pipeline
+    from lexikon.llm.hosts import host_rules
+    from lexikon.llm.lines import dedup_lines
+    names = ("_line_doc", "_line_drops", "_line_text", "line_doc", "drops", "kept_text", "bad_short", "_host", "own_host", "salt",
+             "_gone", "gone", "rest", "_rest", "Host")
+    docs = docs_of([(1, "a line of text\nanother"), (2, "a line of text"), (None, None)], clash=False)
+    for c in names:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for df in (dedup_lines(docs), host_rules(docs.withColumn("source", F.lit("http://A.b/c"))),
+               corpus_pipeline.near_dedup(spark, docs, "")):
+        rows = df.collect()
+        assert len(rows) == 3 and all(r[c] == "mine" for r in rows for c in names)
+
+
+def test_line_runs_are_read_and_merged_in_place(spark):
+    """Neither a lookup nor a compaction shuffles or sorts a run."""
+    import re as regex
+
+    from lexikon.llm.lines import ORDERED, LineIndex
+    before = spark.conf.get(ORDERED, None)
+    index = LineIndex(spark, fanout=2, buckets=4)
+    keys = spark.range(1000).select((F.col("id") * 7).alias("hi"), F.col("id").alias("lo"), F.col("id").alias("doc"))
+    try:
+        index.add(keys.where("doc % 3 = 0"))
+        index.add(keys.where("doc % 3 = 1"))
+        merged = index._merged(*index.levels[0])
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not regex.search(r"Exchange|Sort \[", plan)
+        index.compact()
+        assert [len(x) for x in index.levels] == [0, 1]
+        plan = index.unseen(keys)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hash") <= 1 and plan.count("Sort [") == 1  # of the new keys only
+        assert sorted(r.doc for r in index.unseen(keys).collect()) == list(range(2, 1000, 3))
+    finally:
+        index.drop()
+    assert spark.conf.get(ORDERED, None) == before
+
+
+def test_line_runs_go_when_a_batch_fails(spark, docs_of, monkeypatch):
+    import pytest
+
+    from lexikon.llm.lines import LineIndex, dedup_lines
+
+    def fail(self):
+        raise RuntimeError("stopped")
+    monkeypatch.setattr(LineIndex, "compact", fail)
+    with pytest.raises(RuntimeError):
+        dedup_lines(docs_of([(1, "a line of some length"), (2, "a line of some length")]))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_hot_host_is_many_keys(spark, docs_of):
+    """One host with nearly all documents: same verdicts as host by host, and no key of the join holds them all."""
+    from lexikon.llm.hosts import SALTS, host_rules
+    rows = [(i, "word " * 60, None, "hot") for i in range(300)] + [(1000 + i, " ".join(f"w{j}" for j in range(120)), None, "cold")
+                                                                  for i in range(20)]
+    got = host_rules(docs_of(rows)).select("doc_id", "kept", "failed_host_rules").collect()
+    assert len(got) == 320 and all(r.kept == (r.doc_id >= 1000) for r in got)
+    assert {tuple(r.failed_host_rules) for r in got if r.doc_id < 1000} == {("short", "repeats")} and SALTS > 1
