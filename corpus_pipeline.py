@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexikon.llm.common import table, written
+from lexikon.llm.common import aside, table, written
 from lexikon.llm.decontam import decontaminate
 from lexikon.llm.lines import dedup_lines
 from lexikon.llm.mixing import mix_sources
@@ -42,8 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest id stays; a null id always does."""
     found = near_duplicates(docs.select(*USED))
-    gone = found.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where("id <> component").select(F.col("id").alias("gone")).distinct()
+    return aside(docs, dict(zip(USED, USED, strict=True)), lambda d: d.join(gone, d["doc_id"] == gone["gone"], "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
