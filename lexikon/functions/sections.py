@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexikon.functions.text import let, sums_before
+
 # The ordered section keywords of the reference's YAML file.
 SECTION_KEYWORDS: dict[str, list[str]] = {
     "clinical_infos": ["Klinische Angaben:"],
@@ -42,16 +44,11 @@ def first_keyword(t: Column, words: list[str]) -> Column:
 
 
 def _starts(pieces: Column, width: Column) -> Column:
-    """1-based starts of the matches between ``pieces``, each ``width`` long: one
-    pass with a running position."""
+    """1-based starts of the matches between ``pieces``, each ``width`` long, by running sums."""
     none = F.array().cast("array<int>")
-
-    def step(acc, p):
-        start = acc["pos"] + F.length(p)
-        return F.struct((start + width).alias("pos"), F.array_append(acc["out"], start).alias("out"))
-
-    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.struct(F.lit(1).alias("pos"), none.alias("out")),
-                         step, lambda acc: acc["out"])
+    gaps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p).cast("long"))
+    starts = let(gaps, lambda g: F.zip_with(g, sums_before(F.transform(g, lambda x: x + width)),
+                                            lambda x, before: (before + x + 1).cast("int")))
     return F.when(F.size(pieces) < 2, none).otherwise(starts)
 
 

@@ -148,21 +148,47 @@ def compose_label(*parts: Column | str) -> Column:
     return F.concat_ws("_", *[_c(p) for p in parts])
 
 
+#: Neighbouring values that one block of running sums holds, and levels of blocks (16^6 values and more).
+BLOCK, LEVELS = 16, 5
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body reads it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def sums_before(values: Column, levels: int = LEVELS) -> Column:
+    """For each value of an ``array<bigint>`` the sum of those before it.
+
+    The sums of blocks of values are summed first (by the same rule), then the values
+    inside a block: a bounded number of additions for each value, and no list that
+    grows value by value.
+    """
+    def total(v: Column, lo: Column, hi: Column) -> Column:
+        some = F.aggregate(F.sequence(lo, hi - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.get(v, i))
+        return F.when(hi > lo, some).otherwise(F.lit(0).cast("long"))
+
+    def direct(v: Column) -> Column:
+        return F.transform(v, lambda _, i: total(v, F.lit(0), i))
+
+    def blocked(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")),
+                             lambda k: total(v, k * BLOCK, F.least((k + 1) * BLOCK, F.size(v))))
+        return let(sums_before(blocks, levels - 1), lambda offsets: F.transform(
+            v, lambda _, i: F.get(offsets, F.floor(i / BLOCK).cast("int")) + total(v, i - i % BLOCK, i)))
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, direct(v)).otherwise(blocked(v)) if levels else direct(v))
+
+
 def match_spans(t: Column, pattern: str, lengths: Column) -> Column:
     """0-based ``(start, stop)`` of every match, from the pieces between matches and the
-    match ``lengths``: one pass with a running position."""
+    match ``lengths``, by running sums."""
     pieces = F.split(t, pattern, -1)
     steps = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), lengths,
                        lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), m.cast("long").alias("own")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        return F.struct((start + x["own"]).alias("pos"), F.array_append(acc["out"], F.struct(
-            start.alias("start"), (start + x["own"]).alias("stop"))).alias("out"))
-
-    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("pos"), none.alias("out")), step,
-                       lambda acc: acc["out"])
+    return let(steps, lambda x: F.zip_with(
+        x, sums_before(F.transform(x, lambda s: s["gap"] + s["own"])),
+        lambda s, before: F.struct((before + s["gap"]).alias("start"), (before + s["gap"] + s["own"]).alias("stop"))))
 
 
 def find_all(df: DataFrame, key: str, text: str, keyword: str, regex: bool = False) -> DataFrame:

@@ -95,9 +95,9 @@ def fold_of(idx: Column, n: Column | int, folds: int) -> Column:
 
 
 def assign_folds(df: DataFrame, order: list[str | Column], folds: int, name: str = "fold",
-                 ranges: int | None = None) -> DataFrame:
-    """Contiguous folds over ``order`` as a column, never L copies."""
-    idx = with_row_index(df, order, "_idx", ranges, count_name="_n")
+                 ranges: int | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """Contiguous folds over ``order`` (in each group of ``partition_by``) as a column, never L copies."""
+    idx = with_row_index(df, order, "_idx", ranges, partition_by, "_n")
     return idx.withColumn(name, fold_of(F.col("_idx"), F.col("_n"), folds)).drop("_idx", "_n")
 
 

@@ -3,14 +3,13 @@
 TF-IDF is written with DataFrame operations on the long ``(doc, term, tf)``
 form so it can be checked against SQL; the classifiers use Spark ML
 estimators (distributed fitting) on hashed features, so no vocabulary has to
-be gathered anywhere.  Cross-validation uses a ``fold`` column: every fit
-filters ``fold <> i`` from the same persisted features, never L copies.
+be gathered anywhere.  Cross-validation over label sets (M9, M11, M12) is in ``linear``.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -64,22 +63,7 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
     return spark.createDataFrame(us, f"{key} long, components array<double>")
 
 
-# --- M9/M10: linear classifiers --------------------------------------------------------------
-
-def hashed_terms(tokens: str = "tokens", num_features: int = NUM_FEATURES) -> HashingTF:
-    """Term counts, which learn nothing and so are the same in every fold."""
-    return HashingTF(inputCol=tokens, outputCol="tf", numFeatures=num_features)
-
-
-def linear_text_classifier(tokens: str | None = "tokens", label: str = "label", max_iter: int = 30,
-                           num_features: int = NUM_FEATURES) -> Pipeline:
-    """M9: hashed TF-IDF + one-vs-rest linear SVM (hinge loss); without ``tokens``
-    on term counts ``tf`` that are there already."""
-    ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1e-4), labelCol=label,
-                    featuresCol="features", predictionCol="prediction", parallelism=2)
-    features = text_features(tokens, num_features) if tokens else [IDF(inputCol="tf", outputCol="features")]
-    return Pipeline(stages=features + [ovr])
-
+# --- M10: linear classifier with probabilities --------------------------------------------------------------
 
 class SvmProba:
     """M10 (binary labels): a linear SVM and its Platt scaling -- a
@@ -119,40 +103,6 @@ class SvmProba:
         return cls(PipelineModel.load(f"{path}/svm"), PipelineModel.load(f"{path}/platt"))
 
 
-# --- M11/M12: cross-validation ------------------------------------------------------------------
-
-def cross_validate(df: DataFrame, make: callable, folds: int, fold: str = "fold", label: str = "label",
-                   id_col: str = "id", sample: bool = False, parallelism: int = 2,
-                   prepare: tuple = ()) -> DataFrame:
-    """Fit on ``fold <> i``, predict fold ``i``; one long prediction table
-    ``(fold, id, y_true, y_pred)``, written before the cached rows are let go.
-    ``sample`` stops after the first fold.  ``prepare`` (stages that learn
-    nothing, such as hashing) runs once for all folds."""
-    from concurrent.futures import ThreadPoolExecutor
-    data = df
-    for stage in prepare:
-        data = stage.transform(data)
-    if prepare:
-        data = data.select(id_col, fold, label, prepare[-1].getOutputCol())
-    data = keep(data)
-
-    def one(i: int) -> DataFrame:
-        model = make().fit(data.where(F.col(fold) != i))
-        # written fold by fold, so no plan carries the models of all folds
-        return cut_lineage(model.transform(data.where(F.col(fold) == i)).select(
-            F.lit(i).alias("fold"), F.col(id_col).alias("id"), F.col(label).cast("int").alias("y_true"),
-            F.col("prediction").cast("int").alias("y_pred")))
-
-    # folds are independent fits: submit them as concurrent Spark jobs
-    with ThreadPoolExecutor(max_workers=min(parallelism, folds)) as pool:
-        preds = list(pool.map(one, range(1 if sample else folds)))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    data.unpersist()
-    return out
-
-
 # --- M13: best fold ------------------------------------------------------------------------------
 
 def select_best_fold(hist: DataFrame, fold: str = "fold", keys: tuple[str, ...] = (),

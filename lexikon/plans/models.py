@@ -9,6 +9,7 @@ from lexikon.functions.text import word_tokens
 from lexikon.operators import metrics as E
 from lexikon.operators import models as M
 from lexikon.operators.datasets import kfold, unpivot_label_sets
+from lexikon.operators.index import assign_folds
 from lexikon.operators.vocab import label_index
 from lexikon.plans.common import r6, table
 from lexikon.sources.files import scratch_dir
@@ -41,11 +42,23 @@ def _lang_labelled(spark, sf_dir):
                                                    F.col("label_id").cast("double").alias("label"))
 
 
+def _cross_validated(data, sets, epochs=5):
+    """Ten folds of every label set of ``data`` (id, label_set, label, tokens), all fits in common scans."""
+    from lexikon.operators.linear import joint_cross_validation
+    folded = assign_folds(data.select("id", "label_set", "label"), ["id"], 10, partition_by=["label_set"])
+    found = folded.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "label_set", F.struct("label", "fold")))).alias("own"))  # one entry a label set
+    classes = {r[0]: sorted(r[1]) for r in data.groupBy("label_set").agg(F.collect_set("label")).collect()}
+    rows = data.select("id", "tokens").dropDuplicates(["id"]).join(found, "id").select(
+        "id", "tokens", *[F.array(*[F.col("own")[s][c] for s in sets]).alias(c + "s") for c in ("label", "fold")])
+    return joint_cross_validation(rows, [classes[s] for s in sets], 10, epochs=epochs)
+
+
 def text_cv(spark, sf_dir):
-    """10-fold linear SVM (one-vs-rest) on hashed TF-IDF, language labels."""
-    data = kfold(_lang_labelled(spark, sf_dir), ["id"], 10)
-    pred = M.cross_validate(data, lambda: M.linear_text_classifier(None, max_iter=10), 10, prepare=(M.hashed_terms(),))
-    s = E.summary_scores(E.confusion_counts(pred, ["fold"]), ["fold"])
+    """Ten-fold one-vs-rest hinge classifier on TF-IDF, language labels."""
+    data = _lang_labelled(spark, sf_dir).select("id", F.lit("lang").alias("label_set"), F.col("label").cast("int").alias("label"),
+                                                "tokens")
+    s = E.summary_scores(E.confusion_counts(_cross_validated(data, ["lang"]), ["fold"]), ["fold"])
     return s.select("fold", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
 
 
@@ -63,26 +76,23 @@ def svm_proba(spark, sf_dir):
 
 def label_set_scores(spark, sf_dir):
     """Mean accuracy over all ten folds for every label set of the case
-    table, upserted into a stored metric table for each set (S10) and read back."""
+    table, upserted into the stored metric table of each set (S10) and read back."""
     from lexikon.plans.labels import case_table
-    from lexikon.sources.logs import metric_file_name, upsert_metric
-    cases = case_table(spark, sf_dir)
-    long = unpivot_label_sets(cases, ["case_id"]).where(F.col("label") >= 0)
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"),
-                                                 word_tokens("text").alias("tokens"))
-    data = long.join(d, "case_id").withColumn("label", F.col("label").cast("double"))
-    sets = [r[0] for r in long.select("label_set").distinct().orderBy("label_set").collect()]  # label-set names
-    root = scratch_dir(spark, "metrics")
-    for s in sets:
-        part = kfold(data.where(F.col("label_set") == s).withColumnRenamed("case_id", "id"), ["id"], 10)
-        pred = M.cross_validate(part, lambda: M.linear_text_classifier(None, max_iter=10), 10, prepare=(M.hashed_terms(),))
-        acc = pred.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("value")).first()[0]
-        base = spark.createDataFrame([("n_docs", float(part.count()))], "metric string, value double")
-        name = metric_file_name(s)
-        base.write.parquet(f"{root}/before/table={name}")
-        stored = spark.read.parquet(f"{root}/before/table={name}")
-        upsert_metric(stored, "cls accuracy", acc).write.parquet(f"{root}/after/table={name}")
-    return spark.read.parquet(f"{root}/after").select("metric", "value", "table")
+    from lexikon.sources.logs import MetricTables
+    long = unpivot_label_sets(case_table(spark, sf_dir), ["case_id"]).where(F.col("label") >= 0)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), word_tokens("text").alias("tokens"))
+    data = long.join(d, "case_id").withColumnRenamed("case_id", "id")
+    counts = {r[0]: r[1] for r in long.groupBy("label_set").count().orderBy("label_set").collect()}  # label-set names
+    sets = sorted(counts)
+    pred = _cross_validated(data, sets)
+    scores = pred.groupBy("label_set").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("value"))
+    metrics = MetricTables(spark, scratch_dir(spark, "metrics"))
+    for r in scores.collect():  # one row a label set
+        name = sets[r["label_set"]]
+        metrics.create(name, [("n_docs", float(counts[name]))])
+        metrics.upsert(name, "cls accuracy", -1.0)
+        metrics.upsert(name, "cls accuracy", r["value"])
+    return metrics.read_all()
 
 
 def _tagger_folds(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -69,6 +71,55 @@ def upsert_metric(table: DataFrame | None, metric: str, value, key: str = "metri
     return table.where(F.col(key) != metric).unionByName(new)
 
 
+class MetricTables:
+    """S10, stored: one (metric, value) table for each label set, below ``root``.
+
+    A change writes the whole table as a new version and then points to it with one
+    small file, which Spark writes under a name of its own; the newest pointer holds, so
+    a change that fails halfway leaves the table as it was and the next one goes on
+    from what is stored.
+    """
+
+    SCHEMA = "metric string, value double"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        spark.createDataFrame([], "table string, version long, path string").write.mode("append").parquet(f"{root}/current")
+
+    def _current(self) -> DataFrame:
+        now = self.spark.read.schema("table string, version long, path string").parquet(f"{self.root}/current")
+        return now.groupBy("table").agg(F.max(F.struct("version", "path")).alias("at")).select("table", "at.version", "at.path")
+
+    def _put(self, name: str, version: int, rows: DataFrame) -> None:
+        path = f"{self.root}/versions/{name}-{version}-{uuid.uuid4().hex}"
+        rows.coalesce(1).write.parquet(path)
+        self.spark.createDataFrame([(name, version, path)], "table string, version long, path string") \
+            .coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+
+    def create(self, label_set: str, rows: list[tuple[str, float]]) -> None:
+        self._put(metric_file_name(label_set), 0, self.spark.createDataFrame(rows, self.SCHEMA))
+
+    def read(self, label_set: str) -> DataFrame | None:
+        """The table as it stands, or None if there is none."""
+        at = self._current().where(F.col("table") == metric_file_name(label_set)).first()
+        return at and self.spark.read.schema(self.SCHEMA).parquet(at["path"])
+
+    def upsert(self, label_set: str, metric: str, value: float) -> None:
+        """Replaces or adds a row; without a table nothing happens."""
+        name = metric_file_name(label_set)
+        at = self._current().where(F.col("table") == name).first()
+        if at:
+            stored = self.spark.read.schema(self.SCHEMA).parquet(at["path"])
+            self._put(name, at["version"] + 1, upsert_metric(stored, metric, value))
+
+    def read_all(self) -> DataFrame:
+        """(metric, value, table) of all tables as they stand."""
+        out = self.spark.createDataFrame([], self.SCHEMA + ", table string")
+        for at in self._current().orderBy("table").collect():  # one row a label set
+            out = out.unionByName(self.spark.read.schema(self.SCHEMA).parquet(at["path"]).withColumn("table", F.lit(at["table"])))
+        return out
+
+
 def read_training_runs(spark: SparkSession, root: str, layout: str = "folders") -> DataFrame:
     """``trainer_state.json``, ``config.json`` and ``all_results.json`` per
     run folder, joined on the run folder; runs missing a file are skipped.
