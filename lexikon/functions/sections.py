@@ -52,22 +52,17 @@ def _starts(pieces: Column, width: Column) -> Column:
     return F.when(F.size(pieces) < 2, none).otherwise(starts)
 
 
-def _literal_starts(t: Column, word: str) -> Column:
-    """All 1-based starts of one literal keyword (non-overlapping, left to
-    right); ``split`` on the quoted literal (compiled once) gives the pieces."""
-    return _starts(F.split(t, re.escape(word), -1), F.lit(len(word)))
-
-
 def keyword_starts(t: Column, kw: Column, words: list[str] | None = None) -> Column:
-    """All 1-based starts of the chosen keyword ``kw``.  With the candidate
-    list given, one literal branch per candidate (no per-row pattern)."""
-    none = F.array().cast("array<int>")
+    """All 1-based starts of the chosen keyword ``kw`` (non-overlapping, left to right).
+    ``split`` on the quoted keyword gives the pieces between; with the candidate list
+    given, by one literal branch per candidate (compiled once, no per-row pattern)."""
     if words:
-        out = None
-        for w in words:
-            out = F.when(kw == w, _literal_starts(t, w)) if out is None else out.when(kw == w, _literal_starts(t, w))
-        return F.coalesce(out, none)
-    return F.coalesce(_starts(F.split(t, F.concat(F.lit(r"\Q"), kw, F.lit(r"\E")), F.lit(-1)), F.length(kw)), none)
+        pieces = F.when(kw == words[0], F.split(t, re.escape(words[0]), -1))
+        for w in words[1:]:
+            pieces = pieces.when(kw == w, F.split(t, re.escape(w), -1))
+    else:
+        pieces = F.split(t, F.concat(F.lit(r"\Q"), kw, F.lit(r"\E")), F.lit(-1))
+    return F.coalesce(let(pieces, lambda p: _starts(p, F.length(kw))), F.array().cast("array<int>"))
 
 
 def frames(t: Column, kw: Column, stops: list[Column], starts: Column | None = None) -> Column:

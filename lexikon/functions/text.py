@@ -148,8 +148,8 @@ def compose_label(*parts: Column | str) -> Column:
     return F.concat_ws("_", *[_c(p) for p in parts])
 
 
-#: Neighbouring values that one block of running sums holds, and levels of blocks (16^6 values and more).
-BLOCK, LEVELS = 16, 5
+#: Neighbouring values that one block of running sums holds, and levels of blocks.
+BLOCK, LEVELS = 64, 2
 
 
 def let(value: Column, body) -> Column:
