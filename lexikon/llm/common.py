@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +86,15 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Gives memory that Arrow and the C library hold for later use back to the system: the same
+    worker serves tasks of other stages, and what it keeps is missing beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: str,
                    make: Callable[[], Callable[..., list]]) -> DataFrame:
     """``df`` with the columns of ``schema``, computed batch by batch in Arrow.
@@ -110,6 +120,7 @@ def append_columns(df: DataFrame, inputs: list[str], schema: str,
             out = fn(*[b.column(i) for i in range(n_keep, n_all)])
             cols = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_keep)] + cols, names=names)
+        release_memory()
 
     out = T.StructType([plain.schema[i] for i in keep]
                        + [T.StructField(f"n{n}", f.dataType) for n, f in enumerate(new.fields)])
@@ -129,6 +140,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
                 cols = [part[n] if isinstance(part[n], pa.Array) else pa.array(part[n], t) for n, t in types]
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in types])
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
