@@ -1,37 +1,51 @@
 """Exact k-nearest-neighbour search, voting and cross-validation (M1-M6).
 
-No cross join.  Every vector gets a one-dimensional key ``s = |x - c|`` (c =
-centroid of the training side).  By the triangle inequality
-``|s(q) - s(x)| <= d(q, x)``, so once a query knows an upper bound ``r`` on
-its K-th neighbour distance, only training rows with ``|s(x) - s(q)| <= r``
-can be neighbours.  Training rows are cut into quantile tiles of ``s``; a
-query first looks into its own tile and the two beside it to get ``r``, then
-joins (equi-join on the tile id) exactly the tiles its band covers.  If the
-first look finds fewer than K rows, ``r`` is infinite and the band covers all
-tiles, so the result is always exact.
-
-Distances are computed per block -- one training tile against one chunk of
-at most ``CHUNK_ROWS`` routed test rows -- with numpy inside
-``cogroup().applyInPandas``, which keeps a local top-K per test row; the
-final top-K per query is a ``row_number() <= K`` filter, which Spark runs
-as a partial group limit before the shuffle.
+No cross join.  Centres are learned on a bounded sample of the training
+vectors; every training row belongs to the *cell* of its nearest centre, and a
+cell is cut into *tiles*: rings by the distance to its centre.  A tile knows
+its number of rows and the least and greatest distance of its rows to its own
+centre and to the first ``REFERENCES`` centres.  By the triangle inequality each
+of these ranges gives a lower bound of a query's distance to all rows of the
+tile; the largest of them counts.
+
+A query visits tiles best first, in rounds with a shrinking radius: the tiles
+around it, until they hold a few times K rows; then, among the next
+``NEXT_TILES``, those whose bound is within the K-th distance found; then all the
+rest within the new K-th distance.  No tile is visited twice, and a query that
+found fewer than K rows has an infinite radius, so the result is exact.
+Nothing is pruned where no bound helps (evenly spread vectors of many
+dimensions); then every pair is compared once.
+
+A block is at most ``rows_per_tile`` training rows (large tiles, such as one of
+copies, are dealt out by hash) against one chunk of test rows routed to the
+tile.  Distances are computed with numpy inside ``cogroup().applyInPandas``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexikon.operators.index import bucketize
+from lexikon.session import cut_lineage, keep
 
 ROWS_PER_TILE = 4096
 CHUNK_ROWS = 1024
-MAX_TILES = 20_000  # tile boundaries become literals: keep their number bounded
+#: Bounds of what the driver holds and every task receives: centres, rings of a cell, tiles.
+MAX_CENTRES = 256
+MAX_RINGS = 64
+MAX_TILES = MAX_CENTRES * MAX_RINGS
+SAMPLE_PER_CENTRE = 8
+REFERENCES = 8
+NEXT_TILES = 4
 _EPS = 1e-9
+_SLICE = 256  # rows that are measured against all centres or tiles at once
 
 
 def l2_distance(a: Column, b: Column) -> Column:
@@ -40,140 +54,234 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, v: acc + v))
 
 
-def _as_double(c: str) -> Column:
-    return F.col(c).cast("array<double>")
-
-
-def _centroid(train: DataFrame, feat: str) -> list[float]:
-    # one row per dimension: bounded by the vector width, not by the data
-    rows = (train.select(F.posexplode(feat).alias("pos", "v"))
-            .groupBy("pos").agg(F.avg("v").alias("m")).collect())
-    rows.sort(key=lambda r: r["pos"])
-    return [float(r["m"]) for r in rows]
-
-
-def _tile_splits(train: DataFrame, n: int, rows_per_tile: int) -> list[float]:
-    n_tiles = min(MAX_TILES, max(1, math.ceil(n / rows_per_tile)))
-    if n_tiles == 1:
-        return [-math.inf, math.inf]
-    probs = [i / n_tiles for i in range(1, n_tiles)]
-    qs = train.approxQuantile("s", probs, 1.0 / (4 * n_tiles))
-    return [-math.inf] + sorted(set(qs)) + [math.inf]
-
-
-_bucket = bucketize
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All distances of two blocks, summed over the dimensions in order (the
+    same rounding as a sequential SQL sum)."""
+    acc = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        diff = q[:, j, None] - x[None, :, j]
+        diff *= diff
+        acc += diff
+    return np.sqrt(acc, out=acc)
+
+
+class Search(NamedTuple):
+    """Neighbours, and how many of all (test, train) pairs were compared for them."""
+    neighbors: DataFrame
+    compared: int
+    pairs: int
+
+
+# --- cells and tiles ----------------------------------------------------------------------
+
+def _centres(train: DataFrame, n: int) -> np.ndarray:
+    """At most ``n`` centres: Lloyd's steps over a sample of ``SAMPLE_PER_CENTRE``
+    rows for each, drawn by the hash of the id."""
+    rows = (train.select("train_id", "xv").orderBy(F.xxhash64("train_id"), "train_id")
+            .limit(SAMPLE_PER_CENTRE * n).collect())
+    sample = np.unique(np.array([r["xv"] for r in rows], dtype=np.float64), axis=0)
+    centres = sample[np.random.default_rng(0).permutation(len(sample))[:n]]
+    for _ in range(5):
+        near = _distances(sample, centres).argmin(axis=1)
+        centres = np.stack([sample[near == i].mean(axis=0) for i in np.unique(near)])
+    return centres
+
+
+def _cells(centres: np.ndarray):
+    """mapInPandas kernel: cell, distance to its centre, distances to the reference centres."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for i in range(0, len(pdf), _SLICE):
+                part = pdf.iloc[i:i + _SLICE].copy()
+                d = _distances(np.stack(part["xv"].to_numpy()), centres)
+                part["cell"] = d.argmin(axis=1).astype("int32")
+                part["s"] = d.min(axis=1)
+                part["refs"] = list(d[:, :REFERENCES])
+                yield part
+    return run
+
+
+def _tiled(train: DataFrame, centres: np.ndarray, rows_per_tile: int) -> DataFrame:
+    """Training rows with their ``tile``.  Rings are cut at quantiles, from one small row a cell."""
+    schema = T.StructType(train.schema.fields + [T.StructField("cell", T.IntegerType()), T.StructField("s", T.DoubleType()),
+                                                 T.StructField("refs", T.ArrayType(T.DoubleType()))])
+    placed = cut_lineage(train.mapInPandas(_cells(centres), schema))
+    most = max(1, min(MAX_RINGS, MAX_TILES // len(centres)))
+    grid = [F.lit(i / MAX_RINGS) for i in range(1, MAX_RINGS)]
+    cuts = []
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
+                                        F.percentile_approx("s", F.array(*grid), F.lit(1000)).alias("q")).collect():
+        rings = min(most, math.ceil(r["n"] / rows_per_tile))
+        cuts.append((r["cell"], sorted({r["q"][i * MAX_RINGS // rings - 1] for i in range(1, rings)})))
+    small = train.sparkSession.createDataFrame(cuts, "cell int, cuts array<double>")  # at most MAX_CENTRES rows
+    ring = F.size(F.filter("cuts", lambda c: c < F.col("s")))
+    return placed.join(F.broadcast(small), "cell").withColumn("tile", F.col("cell") * MAX_RINGS + ring).drop("cuts")
+
+
+class _Tiles:
+    """What routing has to know of every tile: at most ``MAX_TILES`` rows."""
+
+    def __init__(self, tiled: DataFrame, centres: np.ndarray):
+        self.centres = centres
+        self.n_refs = min(REFERENCES, len(centres))
+        ranges = [f(F.col("refs")[j]).alias(f"{n}{j}") for j in range(self.n_refs) for n, f in (("lo", F.min), ("hi", F.max))]
+        rows = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"),
+                                         *ranges).orderBy("tile").collect()
+        self.ids = np.array([r["tile"] for r in rows], dtype=np.int32)
+        self.sizes = np.array([r["n"] for r in rows], dtype=np.int64)
+        self.own = self.ids // MAX_RINGS
+        self.lo, self.hi = np.array([r["lo"] for r in rows]), np.array([r["hi"] for r in rows])
+        self.ref_lo = np.array([[r[f"lo{j}"] for r in rows] for j in range(self.n_refs)])
+        self.ref_hi = np.array([[r[f"hi{j}"] for r in rows] for j in range(self.n_refs)])
+
+    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of the distances to the tiles' rows, and the distances to their centres."""
+        d = _distances(q, self.centres)
+        near = d[:, self.own]
+        low = np.maximum(np.maximum(near - self.hi, self.lo - near), 0.0)
+        for j in range(self.n_refs):
+            ref = d[:, j, None]
+            np.maximum(low, ref - self.ref_hi[j], out=low)
+            np.maximum(low, self.ref_lo[j] - ref, out=low)
+        return low, near
+
+
+def _visits(tiles: _Tiles, step: int, enough: int):
+    """mapInPandas kernel: the tiles that a test row visits in round ``step``."""
+    def one(row_low, row_near, upto: int, r: float) -> tuple[int, np.ndarray]:
+        order = np.lexsort((row_near, row_low))
+        if step == 0:
+            end = min(len(order), int(np.searchsorted(np.cumsum(tiles.sizes[order]), enough)) + 1)
+        else:
+            end = min(len(order), upto + NEXT_TILES) if step == 1 else len(order)
+        seen = order[upto:end]
+        return end, seen[row_low[seen] <= r * (1 + _EPS) + _EPS]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for i in range(0, len(pdf), _SLICE):
+                part = pdf.iloc[i:i + _SLICE].copy()
+                low, near = tiles.bounds(np.stack(part["qv"].to_numpy()))
+                found = [one(*v) for v in zip(low, near, part["upto"], part["r"])]
+                part["upto"] = np.array([e for e, _ in found], dtype="int32")
+                part["tiles"] = [tiles.ids[t] for _, t in found]
+                part["compared"] = np.array([tiles.sizes[t].sum() for _, t in found], dtype="int64")
+                yield part
+    return run
+
+
+# --- blocks -------------------------------------------------------------------------------
+
+def _block_topk(k: int, plans: int):
+    """Per block: exact distances, and the local top-k of every test row by
+    (dist, train_id) for each fold plan (``plans`` = 0: no folds)."""
+    def fn(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(te) and len(tr):
+            d = _distances(np.stack(te["qv"].to_numpy()), np.stack(tr["xv"].to_numpy()))
+            ids, test_ids = tr["train_id"].to_numpy(), te["test_id"].to_numpy()
+            labels = tr["train_label"].to_numpy()
+            kk = min(k, len(ids))
+            for p in range(max(1, plans)):
+                dist = d
+                if plans:
+                    own, other = np.stack(te["test_folds"].to_numpy())[:, p], np.stack(tr["train_folds"].to_numpy())[:, p]
+                    dist = np.where(own[:, None] == other[None, :], np.inf, d)
+                cut = np.partition(dist, kk - 1, axis=1)[:, kk - 1]  # ties at the cut are all kept here
+                row, col = np.nonzero((dist <= cut[:, None]) & np.isfinite(dist))
+                order = np.lexsort((ids[col], dist[row, col], row))
+                row, col = row[order], col[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[rank < kk], col[rank < kk]
+                out.append(pd.DataFrame({"test_id": test_ids[row], "plan": np.full(len(row), p, dtype="int32"),
+                                         "train_id": ids[col], "train_label": labels[col], "dist": dist[row, col]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["test_id", "plan", "train_id", "train_label", "dist"])
+    return fn
 
 
-def _block_topk(k: int, with_fold: bool):
-    """Per (tile, test chunk) block: exact distances with numpy, summed over
-    the dimensions in order (the same rounding as a sequential SQL sum), and
-    the local top-k of every test row by (dist, train_id)."""
-    out_cols = ["test_id", "train_id", "train_label", "dist"]
+def _candidates(routed: DataFrame, tiled: DataFrame, k: int, plans: int, rows_per_tile: int, chunk_rows: int) -> DataFrame:
+    """Local top-k of every routed test row in each of its tiles.  A tile is copied once
+    for each chunk of test rows routed to it, its parts (``subs``) apart."""
+    visits = routed.select("test_id", "qv", "test_folds", F.explode("tiles").alias("tile"))
+    plan = (visits.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
+            .join(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / rows_per_tile).cast("int").alias("subs")), "tile"))
+    plan = F.broadcast(plan)  # at most MAX_TILES rows
 
-    def fn(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        if te.empty or tr.empty:
-            return pd.DataFrame({c: [] for c in out_cols}).astype(
-                {"test_id": "int64", "train_id": "int64", "train_label": "int32", "dist": "float64"})
-        q = np.stack(te["qv"].to_numpy()).astype(np.float64)
-        x = np.stack(tr["xv"].to_numpy()).astype(np.float64)
-        acc = np.zeros((q.shape[0], x.shape[0]))
-        for j in range(q.shape[1]):
-            diff = q[:, j:j + 1] - x[None, :, j]
-            acc += diff * diff
-        d = np.sqrt(acc)
-        if with_fold:
-            d[te["test_fold"].to_numpy()[:, None] == tr["train_fold"].to_numpy()[None, :]] = np.inf
-        tid = tr["train_id"].to_numpy()
-        kk = min(k, x.shape[0])
-        rows_t, rows_x = [], []
-        for i in range(q.shape[0]):
-            di = d[i]
-            cand = np.argpartition(di, kk - 1)[:kk] if kk < x.shape[0] else np.arange(x.shape[0])
-            # ties at the cut: keep every row as close as the k-th, then order
-            cut = di[cand].max()
-            cand = np.nonzero(di <= cut)[0]
-            order = np.lexsort((tid[cand], di[cand]))[:kk]
-            sel = cand[order]
-            sel = sel[np.isfinite(di[sel])]
-            rows_t.append(np.full(sel.shape[0], i))
-            rows_x.append(sel)
-        it = np.concatenate(rows_t) if rows_t else np.array([], dtype=int)
-        ix = np.concatenate(rows_x) if rows_x else np.array([], dtype=int)
-        return pd.DataFrame({"test_id": te["test_id"].to_numpy()[it].astype("int64"),
-                             "train_id": tid[ix].astype("int64"),
-                             "train_label": tr["train_label"].to_numpy()[ix].astype("int32"),
-                             "dist": d[it, ix]})
-
-    return fn
+    def upto(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
+    def dealt(id_col: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
 
-def _block_pairs(te_routed: DataFrame, tr: DataFrame, k: int, with_fold: bool, subs: int = 1) -> DataFrame:
-    """Local top-k candidates of every routed test row against the training
-    tile it is routed to.  Groups are (tile, chunk): at most ``rows_per_tile``
-    training rows and ``CHUNK_ROWS`` test rows.  Training rows are copied only
-    to the (tile, chunk) blocks that some test row needs."""
-    blocks = te_routed.select(F.col("tile").alias("_bt"), F.col("chunk").alias("_bc")).distinct()
-    tr_routed = (tr.join(blocks, tr["tile"] == blocks["_bt"])
-                 .select(*[c for c in tr.columns if c != "tile"], F.col("_bt").alias("tile"),
-                         F.col("_bc").alias("chunk")))
-    if subs > 1:  # large tiles: hashed sub-blocks of training rows, test rows copied to each
-        te_routed = te_routed.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
-    else:
-        te_routed = te_routed.withColumn("sub", F.lit(0))
     keys = ["tile", "sub", "chunk"]
-    te_cols = keys + ["test_id", "qv"] + (["test_fold"] if with_fold else [])
-    tr_cols = keys + ["train_id", "xv", "train_label"] + (["train_fold"] if with_fold else [])
-    schema = "test_id long, train_id long, train_label int, dist double"
-    return (te_routed.select(*te_cols).groupBy(*keys)
-            .cogroup(tr_routed.select(*tr_cols).groupBy(*keys))
-            .applyInPandas(_block_topk(k, with_fold), schema))
-
-
-def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "id",
-                  feat: str = "features", label: str = "label", fold: str | None = None,
-                  rows_per_tile: int = ROWS_PER_TILE, chunk_rows: int | None = None) -> DataFrame:
-    """The ``k`` nearest training rows of every test row.
-
-    Returns ``(test_id, train_id, train_label, dist, rank)``; ``rank`` 1..k by
-    ``(dist, train_id)``.  With ``fold`` set, a training row is only a
-    candidate for test rows of another fold (cross-validation in one job).
-    """
-    chunk_rows = chunk_rows or CHUNK_ROWS
-    tr = train.select(F.col(id_col).cast("long").alias("train_id"), _as_double(feat).alias("xv"),
-                      F.col(label).cast("int").alias("train_label"),
-                      *([F.col(fold).alias("train_fold")] if fold else []))
-    te = test.select(F.col(id_col).cast("long").alias("test_id"), _as_double(feat).alias("qv"),
-                     *([F.col(fold).alias("test_fold")] if fold else []))
-    c = F.array(*[F.lit(v) for v in _centroid(tr.withColumnRenamed("xv", "f"), "f")])
-    tr = tr.withColumn("s", l2_distance(F.col("xv"), c))
-    n_train = tr.count()
-    n_test = te.count()
-    splits = _tile_splits(tr, n_train, rows_per_tile)
-    n_tiles = len(splits) - 1
-    n_chunks = max(1, math.ceil(n_test / chunk_rows))
-    subs = max(1, math.ceil(n_train / n_tiles / rows_per_tile))
-    tr = _bucket(tr, splits, F.col("s"), "tile").withColumn(
-        "sub", F.pmod(F.xxhash64("train_id"), F.lit(subs)).cast("int"))
-    te = (te.withColumn("sq", l2_distance(F.col("qv"), c))
-          .withColumn("chunk", F.pmod(F.xxhash64("test_id"), F.lit(n_chunks)).cast("int")))
-    te = _bucket(te, splits, F.col("sq"), "qtile")
-    w = Window.partitionBy("test_id").orderBy("dist", "train_id")
-
-    # phase 1: upper bound r from the own tile and its two neighbours
-    near = te.withColumn("tile", F.explode(F.sequence(F.greatest(F.col("qtile") - 1, F.lit(0)),
-                                                      F.least(F.col("qtile") + 1, F.lit(n_tiles - 1)))))
-    p1 = _block_pairs(near, tr, k, fold is not None, subs)
-    bound = (p1.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-             .groupBy("test_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("m")))
-    te2 = (te.join(bound, "test_id", "left")
-           .withColumn("r", F.when(F.col("m") >= k, F.col("r") * (1 + _EPS) + _EPS)
-                       .otherwise(F.lit(math.inf))))
-    lo_hi = _bucket(_bucket(te2, splits, F.col("sq") - F.col("r"), "lo"), splits, F.col("sq") + F.col("r"), "hi")
-    # phase 2: exactly the tiles the band touches (|s(x) - s(q)| <= r can hold only there)
-    band = lo_hi.withColumn("tile", F.explode(F.sequence(F.coalesce("lo", F.lit(0)),
-                                                         F.coalesce("hi", F.lit(n_tiles - 1)))))
-    pairs = _block_pairs(band, tr, k, fold is not None, subs)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    te = (visits.join(plan, "tile").withColumn("chunk", dealt("test_id", "chunks")).withColumn("sub", upto("subs"))
+          .select(*keys, "test_id", "qv", "test_folds"))
+    tr = (tiled.join(plan, "tile").withColumn("sub", dealt("train_id", "subs")).withColumn("chunk", upto("chunks"))
+          .select(*keys, "train_id", "xv", "train_label", "train_folds"))
+    return te.groupBy(*keys).cogroup(tr.groupBy(*keys)).applyInPandas(
+        _block_topk(k, plans), "test_id long, plan int, train_id long, train_label int, dist double")
+
+
+def _sides(test: DataFrame, train: DataFrame, id_col: str, feat: str, label: str, folds: list[str]):
+    vec = F.col(feat).cast("array<double>")
+    whole = vec.isNotNull() & ~F.exists(vec, lambda v: v.isNull() | F.isnan(v))
+    own = F.array(*[F.col(f).cast("int") for f in folds]) if folds else F.array().cast("array<int>")
+    tr = train.where(whole).select(F.col(id_col).cast("long").alias("train_id"), vec.alias("xv"),
+                                   F.col(label).cast("int").alias("train_label"), own.alias("train_folds"))
+    te = test.where(whole).select(F.col(id_col).cast("long").alias("test_id"), vec.alias("qv"), own.alias("test_folds"))
+    return te, tr
+
+
+def knn_search(test: DataFrame, train: DataFrame, k: int, *, id_col: str = "id", feat: str = "features",
+               label: str = "label", folds: list[str] | None = None, rows_per_tile: int = ROWS_PER_TILE,
+               chunk_rows: int | None = None) -> Search:
+    """The ``k`` nearest training rows of every test row (all, if fewer), and the pairs compared.
+
+    Neighbours are ``(test_id, plan, train_id, train_label, dist, rank)``, ``rank`` 1..k
+    by ``(dist, train_id)``.  Each column of ``folds`` is a fold plan of its own, numbered
+    from 0: under it a training row is only a candidate for test rows of another fold.
+    All plans share one search, whose radius is that of the plan with the farthest
+    k-th row.  Ids are unique; rows without a vector, or with a null or NaN in it, take no part."""
+    folds = folds or []
+    te, tr = _sides(test, train, id_col, feat, label, folds)
+    spark = te.sparkSession
+    n_train, n_test = tr.count(), te.count()
+    if not n_train or not n_test:
+        none = "test_id long, plan int, train_id long, train_label int, dist double, rank int"
+        return Search(spark.createDataFrame([], none), 0, n_train * n_test)
+    # few test rows are cut finer, so that all cores have blocks
+    chunk_rows = chunk_rows or max(64, min(CHUNK_ROWS, math.ceil(n_test / (2 * spark.sparkContext.defaultParallelism))))
+    centres = _centres(tr, min(MAX_CENTRES, MAX_TILES, math.ceil(n_train / rows_per_tile)))
+    tiled = _tiled(tr, centres, rows_per_tile)
+    tiles = _Tiles(tiled, centres)
+    w = Window.partitionBy("test_id", "plan").orderBy("dist", "train_id")
+    state = te.withColumn("upto", F.lit(0)).withColumn("r", F.lit(math.inf))
+    schema = T.StructType(state.schema.fields + [T.StructField("tiles", T.ArrayType(T.IntegerType())),
+                                                 T.StructField("compared", T.LongType())])
+    best, compared = None, 0
+    for step in range(3):
+        routed = keep(state.mapInPandas(_visits(tiles, step, 4 * k), schema))
+        more = routed.agg(F.sum("compared")).first()[0]
+        if more:
+            compared += more
+            found = _candidates(routed, tiled, k, len(folds), rows_per_tile, chunk_rows)
+            found = found if best is None else best.drop("rank").unionByName(found)
+            best = cut_lineage(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        if step < 2 and len(tiles.ids) > 1:
+            full = best.groupBy("test_id", "plan").agg(F.count(F.lit(1)).alias("m"), F.max("dist").alias("d"))
+            radius = full.where(F.col("m") >= k).groupBy("test_id").agg(F.count(F.lit(1)).alias("ready"), F.max("d").alias("d"))
+            r = F.when(F.col("ready") == max(1, len(folds)), F.col("d")).otherwise(F.lit(math.inf))
+            state = cut_lineage(routed.drop("r", "tiles", "compared").join(radius, "test_id", "left")
+                                .select("test_id", "qv", "test_folds", "upto", r.alias("r")))
+        routed.unpersist()
+        if len(tiles.ids) == 1:
+            break
+    return Search(best, compared, n_train * n_test)
+
+
+def knn_neighbors(test: DataFrame, train: DataFrame, k: int, *, fold: str | None = None, **kw) -> DataFrame:
+    """M1: ``knn_search`` with at most one fold plan, ``(test_id, train_id, train_label, dist, rank)``."""
+    return knn_search(test, train, k, folds=[fold] if fold else None, **kw).neighbors.drop("plan")
 
 
 def majority_vote(neigh: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,23 +303,25 @@ def error_rate(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
     return pred.groupBy(*(keys or [])).agg(e)
 
 
-def knn_cross_validation(data: DataFrame, folds_col: str, ks: list[int], *, id_col: str = "id",
+def knn_cross_validation(data: DataFrame, folds_col: str | list[str], ks: list[int], *, id_col: str = "id",
                          feat: str = "features", label: str = "label",
                          rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """M4/M5 for one fold assignment: neighbours up to ``max(ks)`` once, every K
-    derived by rank.  Returns ``(k, mean_err, std_err)``; std is the population
-    standard deviation of the per-fold error rates."""
-    kmax = max(ks)
-    neigh = knn_neighbors(data, data, kmax, id_col=id_col, feat=feat, label=label,
-                          fold=folds_col, rows_per_tile=rows_per_tile)
+    """M4/M5: neighbours up to ``max(ks)`` once for all fold plans, every K derived by
+    rank.  Returns ``(k, mean_err, std_err)``, and with a list of fold columns ``plan``,
+    the place in that list, before them; std is the population standard deviation of the
+    per-fold error rates."""
+    plans = [folds_col] if isinstance(folds_col, str) else folds_col
+    neigh = knn_search(data, data, max(ks), id_col=id_col, feat=feat, label=label, folds=plans,
+                       rows_per_tile=rows_per_tile).neighbors
     ks_arr = F.array(*[F.lit(x) for x in sorted(ks)])
     per_k = neigh.withColumn("k", F.explode(F.filter(ks_arr, lambda x: x >= F.col("rank"))))
-    pred = majority_vote(per_k, ["k", "test_id"])
+    pred = majority_vote(per_k, ["plan", "k", "test_id"])
     truth = data.select(F.col(id_col).alias("test_id"), F.col(label).alias("y_true"),
-                        F.col(folds_col).alias("fold"))
-    per_fold = error_rate(pred.join(truth, "test_id"), keys=["k", "fold"])
-    return per_fold.groupBy("k").agg(F.avg("error_rate").alias("mean_err"),
-                                     F.stddev_pop("error_rate").alias("std_err"))
+                        F.posexplode(F.array(*plans)).alias("plan", "fold"))
+    per_fold = error_rate(pred.join(truth, ["test_id", "plan"]), keys=["plan", "k", "fold"])
+    out = per_fold.groupBy("plan", "k").agg(F.avg("error_rate").alias("mean_err"),
+                                            F.stddev_pop("error_rate").alias("std_err"))
+    return out.drop("plan") if isinstance(folds_col, str) else out
 
 
 def grid_table(grid: DataFrame, folds: list[int]) -> DataFrame:

@@ -19,22 +19,21 @@ def _emb(spark, sf_dir):
 
 
 def _cv(spark, sf_dir, folds, ks):
-    data = keep(assign_folds(_emb(spark, sf_dir), ["id"], folds))
-    res = knn_cross_validation(data, "fold", ks)
-    return res.select(F.lit(folds).alias("folds"), "k", r6("mean_err").alias("mean_err"),
-                      r6("std_err").alias("std_err"))
+    """All fold numbers in one search."""
+    data = _emb(spark, sf_dir)
+    for L in folds:
+        data = assign_folds(data, ["id"], L, f"fold{L}")
+    res = knn_cross_validation(keep(data), [f"fold{L}" for L in folds], ks)
+    number = F.element_at(F.array(*[F.lit(L) for L in folds]), F.col("plan") + 1)
+    return res.select(number.alias("folds"), "k", r6("mean_err").alias("mean_err"), r6("std_err").alias("std_err"))
 
 
 def knn_error(spark, sf_dir):
-    return _cv(spark, sf_dir, 5, [5])
+    return _cv(spark, sf_dir, [5], [5])
 
 
 def knn_grid(spark, sf_dir):
-    out = None
-    for L in GRID_FOLDS:
-        part = _cv(spark, sf_dir, L, GRID_K)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _cv(spark, sf_dir, GRID_FOLDS, GRID_K)
 
 
 def knn_best(spark, sf_dir):
