@@ -90,6 +90,12 @@ def pre_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(f"{WORD}+|{NOT_WORD_NOT_SPACE}+"), 0)
 
 
+def lossless_tokens(c: Column | str) -> Column:
+    """Pre-tokens that joined give the text back: word and punctuation runs with the
+    space before them, and other white space."""
+    return F.regexp_extract_all(_c(c), F.lit(f" ?{WORD}+| ?{NOT_WORD_NOT_SPACE}+|\\s+"), 0)
+
+
 def space_tokens(c: Column | str) -> Column:
     """Tokens by a single space, empty strings kept (``str.split(' ')``)."""
     return F.split(_c(c), " ", -1)

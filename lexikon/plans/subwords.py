@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from lexikon.operators import subword as W
@@ -58,31 +60,57 @@ def vocab_sweep(spark, sf_dir):
     return W.cut_by_size(vocab, merges, SWEEP)
 
 
-def tokenizer_compare(spark, sf_dir):
+def _byte_bpe(spark, sf_dir):
+    vocab, merges = W.train_bpe(W.word_counts(_docs(spark, sf_dir), "text", lossless=True), BPE_SIZE, byte_level=True)
+    return W.Tokenizer("byte", vocab, merges)
+
+
+def _side_by_side(spark, sf_dir):
+    """Token lists of every document under all four tokenizers."""
     docs = _docs(spark, sf_dir)
     words = keep(W.word_counts(docs, "text"))
-    bv, bm = _bpe(spark, sf_dir)
-    n_alpha = len(W.alphabet(W.initial_symbols(words, W.CONT)))
-    wv, _ = W.train_wordpiece(words, 1 + n_alpha + WORDPIECE_EXTRA)
-    out = None
-    for name, enc in [("bpe", W.encode_words(words, "bpe", bv, bm)),
-                      ("wordpiece", W.encode_words(words, "wordpiece", wv, continuation=W.CONT))]:
-        t = W.tokenize(docs, ["doc_id"], "text", enc).select(F.lit(name).alias("tokenizer"),
-                                                            F.size("pieces").alias("n"))
-        out = t if out is None else out.unionByName(t)
-    return out.groupBy("tokenizer").agg(r6(F.avg("n")).alias("avg_tokens"), F.max("n").alias("max_tokens"),
-                                        F.count(F.lit(1)).alias("texts"))
+    words.count()
+
+    def wordpiece():
+        n_alpha = len(W.alphabet(W.initial_symbols(words, W.CONT)))
+        return W.Tokenizer("wordpiece", *W.train_wordpiece(words, 1 + n_alpha + WORDPIECE_EXTRA), W.CONT)
+
+    trainings = {"bpe": lambda: W.Tokenizer("bpe", *W.train_bpe(words, BPE_SIZE)),
+                 "byte": lambda: _byte_bpe(spark, sf_dir),
+                 "unigram": lambda: W.Tokenizer("unigram", W.train_unigram(words, BPE_SIZE), unk="<unk>"),
+                 "wordpiece": wordpiece}
+    with ThreadPoolExecutor(max_workers=len(trainings)) as pool:  # their jobs are small and wait for each other
+        tokenizers = dict(zip(trainings, pool.map(lambda train: train(), trainings.values())))
+    words.unpersist()
+    return W.compare_tokenizers(docs, ["doc_id"], "text", tokenizers)
+
+
+def tokenizer_compare(spark, sf_dir):
+    t = _side_by_side(spark, sf_dir)
+    return t.groupBy("tokenizer").agg(r6(F.avg("n_tokens")).alias("avg_tokens"), F.max("n_tokens").alias("max_tokens"),
+                                      F.count(F.lit(1)).alias("texts"))
+
+
+def tokenizer_texts(spark, sf_dir):
+    """Four rows a document: what its tokens give back, and whether it has any."""
+    t = _side_by_side(spark, sf_dir)
+    return t.select("doc_id", "tokenizer", F.sha2("rebuilt", 256).alias("rebuilt_sha256"),
+                    (F.col("n_tokens") > 0).alias("has_tokens"))
+
+
+def byte_roundtrip(spark, sf_dir):
+    """W2, byte form: every whole text through a byte-level vocabulary and back."""
+    t = W.compare_tokenizers(_docs(spark, sf_dir), ["doc_id"], "text", {"byte": _byte_bpe(spark, sf_dir)})
+    return t.select("doc_id", F.col("rebuilt").alias("text"))
 
 
 def tokenizer_roundtrip(spark, sf_dir):
-    """Save both tables, load them, and encode the corpus words again."""
+    """Save both tables, load them, encode the corpus words and decode them again."""
     vocab, merges = _bpe(spark, sf_dir)
     path = scratch_dir(spark, "tokenizer")
     W.save_tokenizer(vocab, merges, path)
-    v2, m2 = W.load_tokenizer(spark, path)
-    words = W.word_counts(_docs(spark, sf_dir), "text")
-    enc = W.encode_words(words, "bpe", v2, m2)
-    return enc.select("word", F.array_join("pieces", " ").alias("pieces"))
+    enc = W.encode_words(W.word_counts(_docs(spark, sf_dir), "text"), "bpe", *W.load_tokenizer(spark, path))
+    return enc.select("word", W.decode_pieces(F.col("pieces"), "bpe").alias("decoded"))
 
 
 WORDS = r"""w AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text,
@@ -107,5 +135,13 @@ QUERIES = {
     "unigram_vocab": (unigram_vocab, None),
     "vocab_sweep": (vocab_sweep, None),
     "tokenizer_compare": (tokenizer_compare, None),
-    "tokenizer_roundtrip": (tokenizer_roundtrip, None),
+    "tokenizer_texts": (tokenizer_texts, r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+            coalesce(regexp_extract_all(text, '[\p{L}\p{Nd}_]+|[^\p{L}\p{Nd}_\s]+'), []) AS w FROM documents),
+        t AS (SELECT doc_id, 'byte' AS tokenizer, text AS rebuilt FROM d
+              UNION ALL SELECT doc_id, k, array_to_string(w, '') FROM d, (VALUES ('bpe'), ('unigram')) v(k)
+              UNION ALL SELECT doc_id, 'wordpiece', array_to_string(list_transform(w,
+                  lambda x: CASE WHEN length(x) > 100 THEN '[UNK]' ELSE x END), '') FROM d)
+        SELECT doc_id, tokenizer, sha256(rebuilt) AS rebuilt_sha256, rebuilt <> '' AS has_tokens FROM t"""),
+    "byte_roundtrip": (byte_roundtrip, "SELECT doc_id, coalesce(text, '') AS text FROM documents"),
+    "tokenizer_roundtrip": (tokenizer_roundtrip, "WITH " + WORDS + " SELECT word, word AS decoded FROM w"),
 }
