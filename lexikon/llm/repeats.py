@@ -11,7 +11,9 @@ The rolling windows of a corpus are as many as its words, so they travel
 packed: documents are gathered in chunks of a few MB, and a chunk sends each
 bucket one array of 31-bit prints, every print once however many of its
 documents hold it.  A hot passage thus costs one entry a chunk, and nothing is
-ever paired.  Two different windows with one print only cost a needless check:
+ever paired.  Documents of one chunk meet there in the same way: its reference
+blocks are indexed, its rolling blocks probe them, and only windows around the
+anchors are compared.  Two different windows with one print only cost a needless check:
 the extension compares 64-bit hashes of whole windows.
 """
 
@@ -180,11 +182,8 @@ def _extend(n_buckets: int):
                 wanted = np.sort(np.concatenate([(np.uint64(x["bucket"]) << np.uint64(32))
                                                  | np.frombuffer(x["prints"], np.uint32).astype(np.uint64)
                                                  for x in row["anchors"]]))
-                anchored = np.zeros(len(words) + 1, np.int64)
-                anchored[at[_member(key, wanted)] + 1] = 1
-                anchored = np.cumsum(anchored)
                 doc, start = _starts(words, WINDOW)
-                near = anchored[start + WINDOW - BLOCK + 1] > anchored[start]
+                near = _around(words, at[_member(key, wanted)], start)
                 doc, start = doc[near], start[near]
                 key, smallest = _smallest(windows(h, WINDOW)[start], _doc_order(row["ids"])[doc])
                 out = {"bucket": [], "chunk": [], "keys": [], "docs": []}
@@ -215,6 +214,33 @@ def _holders(table: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
 
+def inner_anchors(words: Words, h: np.ndarray) -> np.ndarray:
+    """Word numbers of the rolling blocks that several documents of the chunk hold, one of them
+    as a reference block: the blocks are indexed, and every rolling block probes them."""
+    doc, at = _starts(words, BLOCK)
+    fits = np.diff(words.first)[doc] >= WINDOW
+    doc, at = doc[fits], at[fits]
+    key = windows(h, BLOCK)[at]
+    index = np.sort(key[(at - words.first[doc]) % BLOCK == 0])
+    hit = _member(key, index)
+    key, doc, at = key[hit], doc[hit], at[hit]
+    if not len(key):
+        return at
+    order = np.argsort(key, kind="stable")  # documents ascend within a key
+    head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    last = np.append(head[1:], len(key)) - 1
+    several = np.repeat(doc[order][head] != doc[order][last], last - head + 1)
+    return at[order[several]]
+
+
+def _around(words: Words, anchors: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the whole windows at ``start`` hold one of the anchors."""
+    before = np.zeros(len(words) + 1, np.int64)
+    before[anchors + 1] = 1
+    before = np.cumsum(before)
+    return before[start + WINDOW - BLOCK + 1] > before[start]
+
+
 def _remove():
     def fn(batch):
         for row in _rows(batch):
@@ -222,9 +248,12 @@ def _remove():
             words = Words(raw)
             ids = _doc_order(row["ids"])
             doc, start = _starts(words, WINDOW)
-            key = windows(words.hashes(), WINDOW)[start]
-            own, smallest = _smallest(key, ids[doc])
-            best = smallest[np.searchsorted(own, key)]
+            h = words.hashes()
+            key = windows(h, WINDOW)[start]
+            best = ids[doc]
+            near = np.flatnonzero(_around(words, inner_anchors(words, h), start))
+            own, smallest = _smallest(key[near], best[near])
+            best[near] = smallest[np.searchsorted(own, key[near])]
             if row["holders"] and len(key):  # from other chunks; buckets do not share a key
                 k = np.concatenate([np.frombuffer(x["keys"], np.uint64) for x in row["holders"]])
                 d = np.concatenate([np.frombuffer(x["docs"], np.int64) for x in row["holders"]])

@@ -166,6 +166,32 @@ def test_repeats_against_plain(docs_of):
     assert remove_repeats(docs_of([])).count() == 0
 
 
+def test_anchors_inside_a_chunk():
+    """Only windows around anchors are compared, and no repeat at any offset to the blocks is missed."""
+    from lexikon.llm.common import Words, windows
+    from lexikon.llm.repeats import BLOCK, WINDOW, _around, _starts, inner_anchors
+    rng = random.Random(12)
+    fresh = (f"w{i}" for i in range(10**6))
+
+    def text(*parts):
+        return " ".join(w for p in parts for w in (p if isinstance(p, list) else [next(fresh) for _ in range(p)])).encode()
+
+    alone = Words([text(300), None, text(49), text(700)])
+    assert not len(inner_anchors(alone, alone.hashes()))
+    within = [next(fresh) for _ in range(60)]  # a passage twice in one document is no anchor
+    one = Words([text(10, within, 7, within), text(200)])
+    assert not len(inner_anchors(one, one.hashes()))
+    for shift in range(2 * BLOCK):
+        shared = [next(fresh) for _ in range(WINDOW)]
+        words = Words([text(shift, shared, 90), text(rng.randrange(80), shared, 30), text(400)])
+        h = words.hashes()
+        doc, start = _starts(words, WINDOW)
+        near = _around(words, inner_anchors(words, h), start)
+        key = windows(h, WINDOW)[start]
+        twice = [i for i in range(len(key)) if (key == key[i]).sum() > 1]
+        assert len(twice) == 2 and near[twice].all() and near.sum() < 4 * WINDOW and not near[doc == 2].any()
+
+
 # ---- mixing ---------------------------------------------------------------------
 
 def plain_targets(sizes, weights=(1, 2, 3)):
