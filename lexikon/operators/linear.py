@@ -1,4 +1,4 @@
-"""Many linear classifiers in one scan.
+"""Many linear classifiers in one scan.
 
 Cross-validating a one-vs-rest classifier over several label sets asks for a fit
 per label set, fold and class.  All of them read the same rows, so they are
@@ -15,12 +15,14 @@ number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexikon.session import cut_lineage
@@ -151,6 +153,34 @@ def _epoch(batches: Iterator[pa.RecordBatch], task: Task, weights: np.ndarray, i
     return met, np.concatenate([w.reshape(len(met), -1) for w in sets], axis=1) * np.float32(scale)
 
 
+@dataclass
+class JointFit:
+    """Fits of all label sets, folds and classes: ``idf`` (term x set, fold) and
+    ``weights`` (term, the constant last, x set, fold, class)."""
+    task: Task
+    idf: np.ndarray
+    weights: np.ndarray
+
+
+def fit_jointly(rows: DataFrame, task: Task, epochs: int = EPOCHS, alpha: float = ALPHA,
+                num_features: int = NUM_FEATURES) -> JointFit:
+    """All fits over ``rows`` (of ``term_rows``), one scan for the idf and one an epoch.  A fold
+    that holds no row is trained on all of them."""
+    sc = rows.sparkSession.sparkContext
+    found = fold_idf(rows, task, num_features)
+    idf = sc.broadcast(found)
+    weights = np.zeros((num_features + 1, task.columns), np.float32)
+    for epoch in range(epochs):
+        sent = sc.broadcast(weights)
+        terms, sums, n = _summed(
+            rows, lambda b, w=sent, e=epoch: _epoch(b, task, w.value, idf.value, e, alpha), task.columns)
+        weights = weights * np.float32(0)
+        weights[terms] = sums / n[:, None]
+        sent.destroy()
+    idf.destroy()
+    return JointFit(task, found, weights)
+
+
 def joint_cross_validation(df: DataFrame, classes: list[list[int]], folds: int, id_col: str = "id", tokens: str = "tokens",
                            labels: str = "labels", fold_col: str = "folds", epochs: int = EPOCHS, alpha: float = ALPHA,
                            num_features: int = NUM_FEATURES) -> DataFrame:
@@ -161,33 +191,130 @@ def joint_cross_validation(df: DataFrame, classes: list[list[int]], folds: int,
     weights of its own fold, which never saw it; the first of equal scores wins.  Rows
     without a token get the constant's verdict.
     """
-    task = Task(classes, folds)
-    sc = df.sparkSession.sparkContext
     rows = term_rows(df, id_col, tokens, labels, fold_col, num_features)
-    idf = sc.broadcast(fold_idf(rows, task, num_features))
-    weights = np.zeros((num_features + 1, task.columns), np.float32)
-    for epoch in range(epochs):
-        sent = sc.broadcast(weights)
-        terms, sums, n = _summed(
-            rows, lambda b, w=sent, e=epoch: _epoch(b, task, w.value, idf.value, e, alpha), task.columns)
-        weights = weights * np.float32(0)
-        weights[terms] = sums / n[:, None]
-        sent.destroy()
-    sent = sc.broadcast(weights)
+    fit = fit_jointly(rows, Task(classes, folds), epochs, alpha, num_features)
+    names = F.array(*[F.array(*[F.lit(c) for c in own]) for own in classes])
+    margins = held_out_margins(rows, fit)
+    best = F.array_position("margins", F.array_max("margins")).cast("int")
+    return cut_lineage(margins.select("label_set", "fold", "id", "y_true", names[F.col("label_set")][best - 1].alias("y_pred")))
+
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, out = task.cut(sent.value), [[] for _ in range(5)]
+def held_out_margins(rows: DataFrame, fit: JointFit) -> DataFrame:
+    """(label_set, fold, id, y_true, margins): of each class, by the weights of the row's own fold."""
+    sent = rows.sparkSession.sparkContext.broadcast(fit)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, schema = sent.value, pa.schema([("label_set", pa.int32()), ("fold", pa.int32()), ("id", pa.int64()),
+                                             ("y_true", pa.int32()), ("margins", pa.list_(pa.float64()))])
+        cut = fit.task.cut(fit.weights)
         for b in batches:
+            out = [[] for _ in schema]
             for row, term, count, own, held in _rows([b]):
-                at = np.append(term, len(sent.value) - 1)
-                for s, x in enumerate(_vectors(term, count, idf.value, task)):
+                at = np.append(term, len(fit.weights) - 1)
+                for s, x in enumerate(_vectors(term, count, fit.idf, fit.task)):
                     if own[s] is not None:
                         margin = x[:, held[s]] @ cut[s][at, held[s]]
-                        for column, v in zip(out, (s, held[s], row, own[s], classes[s][int(margin.argmax())]), strict=True):
+                        for column, v in zip(out, (s, held[s], row, own[s], margin.tolist()), strict=True):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (
-                pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                ["label_set", "fold", "id", "y_true", "y_pred"])
-            out = [[] for _ in range(5)]
-
-    return cut_lineage(rows.mapInArrow(predict, "label_set int, fold int, id bigint, y_true int, y_pred int"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(margins, "label_set int, fold int, id bigint, y_true int, margins array<double>")
+
+
+# --- M10: linear classifier with probabilities --------------------------------------------------------------
+
+#: Folds whose held-out margins calibrate the classifier.
+CALIBRATION_FOLDS = 5
+
+
+class SvmProba:
+    """M10 (labels 0 and 1): a linear SVM of all rows whose margins a logistic curve turns
+    into probabilities.  The curve is fitted on margins of folds that their SVM has not
+    seen: margins of training rows are too far apart and give probabilities too sure.
+    The SVMs of the folds and the one of all rows are trained in common scans.
+
+    Rows with a null label are not trained on; null tokens are none; where all labels are
+    equal, the probability is their smoothed share."""
+
+    def __init__(self, idf: np.ndarray, weights: np.ndarray, slope: float, offset: float):
+        self.idf, self.weights, self.slope, self.offset = idf, weights, slope, offset
+
+    @classmethod
+    def fit(cls, df: DataFrame, id_col: str, tokens: str = "tokens", label: str = "label", epochs: int = EPOCHS,
+            num_features: int = NUM_FEATURES) -> SvmProba:
+        fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(CALIBRATION_FOLDS)).cast("int")
+        data = df.where(F.col(label).isNotNull()).select(
+            F.col(id_col).alias("id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"),
+            F.array(F.col(label).cast("int")).alias("labels"), F.array(fold).alias("folds"))
+        rows = term_rows(data, "id", "tokens", "labels", "folds", num_features)
+        fit = fit_jointly(rows, Task([[1]], CALIBRATION_FOLDS + 1), epochs, num_features=num_features)  # the last holds no row
+        held = held_out_margins(rows, fit).select("y_true", F.col("margins")[0].alias("margin"))
+        slope, offset = platt_scaling(cut_lineage(held))
+        return cls(fit.idf[:, -1].copy(), fit.weights[:, -1].copy(), slope, offset)
+
+    def transform(self, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+        """``df`` with margin, probability (of label 1) and prediction; a column of one of these names is replaced."""
+        sent = df.sparkSession.sparkContext.broadcast((self.idf[:, None], self.weights))
+        size, one = len(self.idf), Task([[1]], 1)
+
+        @F.pandas_udf("double")
+        def margin(terms: pd.Series) -> pd.Series:
+            idf, weights = sent.value
+            out = []
+            for own in terms:
+                term, count = np.unique(np.asarray(own, np.int64), return_counts=True)
+                x = _vectors(term, count.astype(np.float32), idf, one)[0][:, 0]
+                out.append(float(x @ weights[np.append(term, size)]))
+            return pd.Series(out, dtype=float)
+
+        words = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+        terms = F.transform(words, lambda t: F.pmod(F.hash(t), F.lit(size)))
+        p = 1 / (1 + F.exp(-(F.col("margin") * self.slope + self.offset)))
+        return (df.withColumn("margin", margin(terms)).withColumn("probability", p)
+                .withColumn("prediction", (F.col("probability") >= 0.5).cast("int")))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Terms with idf and weight (the constant has a null idf), and the curve, as Parquet."""
+        terms = pa.table({"term": pa.array(np.arange(len(self.weights)), pa.int32()),
+                          "idf": pa.array([*self.idf.tolist(), None], pa.float32()), "weight": pa.array(self.weights)})
+        spark.createDataFrame(terms).write.mode("overwrite").parquet(f"{path}/terms")
+        spark.createDataFrame([(self.slope, self.offset)], "slope double, offset double").write.mode("overwrite").parquet(
+            f"{path}/curve")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SvmProba:
+        terms = spark.read.parquet(f"{path}/terms").orderBy("term").toArrow()
+        curve = spark.read.parquet(f"{path}/curve").first()
+        return cls(terms.column("idf").to_numpy()[:-1].astype(np.float32), terms.column("weight").to_numpy().copy(),
+                   curve["slope"], curve["offset"])
+
+
+def platt_scaling(margins: DataFrame, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through (y_true, margin), by Newton's method.  Targets are
+    drawn in from 0 and 1 by the rule of one more row of either label, so separable margins have a finite curve."""
+    n = margins.agg(F.coalesce(F.sum("y_true"), F.lit(0)).alias("ones"), F.count(F.lit(1)).alias("all")).first()
+    high, low = (n["ones"] + 1) / (n["ones"] + 2), 1 / (n["all"] - n["ones"] + 2)
+    t = F.when(F.col("y_true") == 1, F.lit(high)).otherwise(F.lit(low))
+    m = F.col("margin")
+
+    def at(slope: float, offset: float):
+        z = m * slope + offset
+        loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - t * z
+        p = 1 / (1 + F.exp(-z))
+        w = p * (1 - p)
+        return margins.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (loss, (p - t) * m, p - t, w * m * m, w * m, w)]).first()
+
+    slope, offset = 0.0, math.log((n["ones"] + 1) / (n["all"] - n["ones"] + 1))
+    now, damping = at(slope, offset), 1e-9
+    for _ in range(steps):
+        loss, ga, gb, aa, ab, bb = now
+        if max(abs(ga), abs(gb)) <= 1e-7 * max(1, n["all"]):
+            break
+        det = (aa + damping) * (bb + damping) - ab * ab
+        step = (((bb + damping) * ga - ab * gb) / det, ((aa + damping) * gb - ab * ga) / det)
+        tried = at(slope - step[0], offset - step[1])
+        if tried[0] <= loss:
+            slope, offset, now, damping = slope - step[0], offset - step[1], tried, damping / 10
+        else:
+            damping = max(damping * 100, 1e-3 * max(aa, bb))
+    return slope, offset

@@ -3,14 +3,14 @@
 TF-IDF is written with DataFrame operations on the long ``(doc, term, tf)``
 form so it can be checked against SQL; the classifiers use Spark ML
 estimators (distributed fitting) on hashed features, so no vocabulary has to
-be gathered anywhere.  Cross-validation over label sets (M9, M11, M12) is in ``linear``.
+be gathered anywhere.  Cross-validation over label sets and calibrated margins (M9-M12) are in ``linear``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, FeatureHasher, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IDF, FeatureHasher
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,46 +63,6 @@ def truncated_svd(df: DataFrame, key: str, features: str, k: int) -> DataFrame:
     return spark.createDataFrame(us, f"{key} long, components array<double>")
 
 
-# --- M10: linear classifier with probabilities --------------------------------------------------------------
-
-class SvmProba:
-    """M10 (binary labels): a linear SVM and its Platt scaling -- a
-    one-feature logistic regression fitted on the SVM margin -- that turns
-    margins into probabilities."""
-
-    def __init__(self, svm: PipelineModel, platt: PipelineModel):
-        self.svm, self.platt = svm, platt
-
-    @staticmethod
-    def _margin(df: DataFrame) -> DataFrame:
-        return df.withColumn("margin", vector_to_array("svm_raw")[1])
-
-    @classmethod
-    def fit(cls, df: DataFrame, tokens: str = "tokens", label: str = "label", max_iter: int = 30,
-            num_features: int = NUM_FEATURES) -> "SvmProba":
-        svm = LinearSVC(maxIter=max_iter, regParam=1e-4, labelCol=label, featuresCol="features",
-                        rawPredictionCol="svm_raw", predictionCol="svm_pred")
-        base = Pipeline(stages=text_features(tokens, num_features) + [svm]).fit(df)
-        margin = cls._margin(base.transform(df))
-        platt = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="mf"),
-                                 LogisticRegression(featuresCol="mf", labelCol=label, probabilityCol="probability",
-                                                    rawPredictionCol="platt_raw", predictionCol="prediction")]
-                         ).fit(margin)
-        return cls(base, platt)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.platt.transform(self._margin(self.svm.transform(df)))
-
-    def save(self, path: str) -> None:
-        """Spark ML writers (folders of Parquet/JSON), overwriting."""
-        self.svm.write().overwrite().save(f"{path}/svm")
-        self.platt.write().overwrite().save(f"{path}/platt")
-
-    @classmethod
-    def load(cls, path: str) -> "SvmProba":
-        return cls(PipelineModel.load(f"{path}/svm"), PipelineModel.load(f"{path}/platt"))
-
-
 # --- M13: best fold ------------------------------------------------------------------------------
 
 def select_best_fold(hist: DataFrame, fold: str = "fold", keys: tuple[str, ...] = (),

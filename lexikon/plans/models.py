@@ -63,15 +63,15 @@ def text_cv(spark, sf_dir):
 
 
 def svm_proba(spark, sf_dir):
+    """Quality by a linear SVM of all labelled documents, saved and loaded again, with
+    probabilities calibrated on margins of folds the SVM has not seen."""
+    from lexikon.operators.linear import SvmProba
     d = table(spark, sf_dir, "documents").select("doc_id", word_tokens("text").alias("tokens"))
-    data = d.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
-    model = M.SvmProba.fit(data, max_iter=20)
+    data = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     path = scratch_dir(spark, "svm_model")
-    model.save(path)
-    out = M.SvmProba.load(path).transform(data)
-    from pyspark.ml.functions import vector_to_array
-    return out.select("doc_id", r6(vector_to_array("probability")[1]).alias("prob"),
-                      F.col("prediction").cast("int").alias("y_pred"))
+    SvmProba.fit(data, "doc_id", label="quality").save(spark, path)
+    out = SvmProba.load(spark, path).transform(data)
+    return out.select("doc_id", r6("probability").alias("prob"), F.col("prediction").alias("y_pred"))
 
 
 def label_set_scores(spark, sf_dir):

@@ -1,4 +1,5 @@
 """Classifiers fitted together: each as if alone, blind to its held-out rows; stored metric tables."""
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -44,8 +45,6 @@ def test_held_out_labels_do_not_matter(spark):
 
 def test_idf_of_training_rows(spark):
     """Against counts row by row."""
-    import math
-
     from lexikon.operators.linear import Task, fold_idf, term_rows
     rows = rows_of(40)
     task, size = Task([[0, 1, 2], [0, 1]], 4), 1 << 12
@@ -100,3 +99,63 @@ def test_running_sums_and_many_matches(spark):
     assert tuple(r) == (100_000, 399_996, 99_999, 200_000)
     starts = text.select(keyword_starts(F.col("t"), F.lit("é:"), ["é:"])).first()[0]
     assert starts == list(range(1, 400_000, 4))
+
+
+def noisy_rows(n=1200, seed=3):
+    """A label whose odds two words show by degrees, beside words of the row's own that a fit can learn by heart."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        k = rnd.randrange(11)
+        y = int(rnd.random() < 1 / (1 + math.exp(5 - k)))
+        out.append((i, ["s1"] * k + ["s0"] * (10 - k) + [f"own{i}_{j}" for j in range(2)] + [f"w{rnd.randrange(50)}"], y))
+    return out
+
+
+def calibration_error(pairs, bins=8):
+    """Mean distance of a bin's mean probability from its share of ones, weighted by rows."""
+    held = [[] for _ in range(bins)]
+    for p, y in pairs:
+        held[min(int(p * bins), bins - 1)].append((p, y))
+    return sum(abs(sum(p for p, _ in b) - sum(y for _, y in b)) for b in held) / len(pairs)
+
+
+def test_probabilities_are_calibrated_on_unseen_margins(spark, tmp_path):
+    from lexikon.operators.linear import SvmProba, platt_scaling
+    schema = "id bigint, tokens array<string>, label int"
+    seen = spark.createDataFrame(noisy_rows(), schema)
+    fresh = spark.createDataFrame([(i + 10**6, t, y) for i, t, y in noisy_rows(seed=4)], schema)
+    model = SvmProba.fit(seen, "id")
+    model.save(spark, str(tmp_path))
+    model = SvmProba.load(spark, str(tmp_path))
+    got = [(r.probability, r.label) for r in model.transform(fresh).select("probability", "label").collect()]
+    # the same SVM, its curve through the margins of its own training rows
+    model.slope, model.offset = platt_scaling(model.transform(seen).select(F.col("label").alias("y_true"), "margin"))
+    own = [(r.probability, r.label) for r in model.transform(fresh).select("probability", "label").collect()]
+    right = sum((p >= 0.5) == (y == 1) for p, y in got) / len(got)
+    assert right > 0.75
+    assert calibration_error(got) < 0.08 < calibration_error(own)
+
+
+def test_platt_scaling_minimises_the_loss(spark):
+    from lexikon.operators.linear import platt_scaling
+    rnd = random.Random(1)
+    for rows in ([(int(rnd.random() < 1 / (1 + math.exp(-1.5 * m - 0.5))), m) for m in [rnd.gauss(0, 2) for _ in range(400)]],
+                 [(int(m > 0), float(m)) for m in range(-20, 20)], [(1, 0.5)] * 8, [(0, 0.0)]):
+        a, b = platt_scaling(spark.createDataFrame(rows, "y_true int, margin double"))
+        ones = sum(y for y, _ in rows)
+        target = {1: (ones + 1) / (ones + 2), 0: 1 / (len(rows) - ones + 2)}
+        slope = [sum((1 / (1 + math.exp(-a * m - b)) - target[y]) * x for y, m in rows for x in [m if k else 1]) for k in (0, 1)]
+        assert max(map(abs, slope)) < 1e-5 * len(rows)
+    assert platt_scaling(spark.createDataFrame([], "y_true int, margin double")) == (0.0, 0.0)
+
+
+def test_svm_proba_edges(spark):
+    from lexikon.operators.linear import SvmProba
+    schema = "id bigint, tokens array<string>, label int, margin string"
+    rows = [(i, ["a"] if i % 2 else ["b"], i % 2, "x") for i in range(40)] + [(50, None, None, "x"), (51, [], 1, "x"), (None, ["a"], 1, "x")]
+    model = SvmProba.fit(spark.createDataFrame(rows, schema), "id", num_features=64)
+    p = {r.id: r.probability for r in model.transform(spark.createDataFrame(rows, schema)).collect()}
+    assert len(p) == 43 and p[1] > 0.8 > 0.2 > p[0] and p[50] == p[51]
+    empty = SvmProba.fit(spark.createDataFrame([], schema), "id", num_features=64)
+    assert [r.probability for r in empty.transform(spark.createDataFrame(rows[:1], schema)).collect()] == [0.5]
