@@ -412,9 +412,6 @@ def _fit(rows: DataFrame) -> LogisticRegressionModel | float:
     sums = {r["label"]: r["w"] for r in rows.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     if len(sums) < 2:
         return float(max(sums, default=1.0))
-    # each step of the fit leaves dozens of vectors of FEATURES numbers behind on the driver: what the
-    # counts before left there goes first, and with it broadcasts that nothing refers to any more
-    rows.sparkSession._jvm.java.lang.System.gc()
     fit = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=30, regParam=0.002,
                              standardization=False, rawPredictionCol="_raw", probabilityCol="_probability",
                              predictionCol="_prediction")
