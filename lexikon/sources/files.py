@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,11 @@ def read_text_dir(spark: SparkSession, path: str, glob: str = "*.txt", encoding:
     return r.load(path).select("path", F.decode(F.col("content"), encoding).alias("text"))
 
 
+def file_path() -> Column:
+    """Path of the file a row was read from, as it is named: the metadata column holds an encoded URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", encoding: str = "UTF-8",
                     recursive: bool = True) -> DataFrame:
     """S3, line mode (tokenizer corpora): one row per line, splittable files.
@@ -41,7 +46,7 @@ def read_text_lines(spark: SparkSession, path: str, glob: str = "*.txt", encodin
     line = F.col("value")
     if encoding.upper().replace("-", "") != "UTF8":
         line = F.decode(line.cast("binary"), encoding)
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), line.alias("line"))
+    return r.text(path).select(file_path().alias("path"), line.alias("line"))
 
 
 def write_text_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

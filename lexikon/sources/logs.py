@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from lexikon.sources.files import file_path
+
 
 def _read_or_none(spark: SparkSession, path: str, fmt: str = "json", schema: str | None = None):
     try:
@@ -131,7 +133,7 @@ def read_training_runs(spark: SparkSession, root: str, layout: str = "folders")
         if layout == "folders":
             df = (spark.read.option("multiLine", True).schema(schema)
                   .json(f"{root}/*/{kind}.json")
-                  .withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+                  .withColumn("run", F.element_at(F.split(file_path(), "/"), -2)))
         else:
             df = spark.read.schema(schema + ", run string").json(f"{root}/{kind}")
         return df
@@ -141,7 +143,7 @@ def read_training_runs(spark: SparkSession, root: str, layout: str = "folders")
     config = load("config", "_name_or_path string, vocab_size bigint")
     results = load("all_results", "train_loss double, eval_loss double, epoch double")
     entries = state.select("run", F.posexplode("log_history").alias("_pos", "e"))
-    log = entries.select("run", F.col("e.*"), F.col("_pos"), F.col("_metadata.file_path").alias("_file")) \
+    log = entries.select("run", F.col("e.*"), F.col("_pos"), file_path().alias("_file")) \
         if layout == "folders" else entries.select("run", "e.*", "_pos")
     runs = config.select("run", "_name_or_path", "vocab_size").join(
         results.select("run", F.col("train_loss").alias("final_train_loss"),
