@@ -9,20 +9,22 @@ every shard of rows runs stochastic gradient descent on the hinge loss from the
 common weights, and weights are averaged over the shards that met a term.  TF-IDF
 weights are those of each fold's own training rows, with rows of length one.
 
-What goes through the driver is the model: ``num_features`` x columns, whatever the
-number of rows.
+A task runs many shards one after the other and sends the sum of their weights, so what is
+shuffled grows with the tasks that run at once, not with the shards.  What goes through the
+driver is the model: ``num_features`` x columns, whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexikon.session import cut_lineage
@@ -55,16 +57,24 @@ class Task:
         return self.folds * sum(map(len, self.classes))
 
 
-def term_rows(df: DataFrame, id_col: str, tokens: str, labels: str, folds: str, num_features: int) -> DataFrame:
-    """(id, terms: hashed, labels, folds), dealt to shards by the hash of the id and in a fixed order there, written."""
-    n = df.count()
+def hashed_terms(tokens: Column | str, num_features: int = NUM_FEATURES) -> Column:
+    """The column number of each token."""
+    return F.transform(tokens, lambda t: F.pmod(F.hash(t), F.lit(num_features)))
+
+
+def term_rows(df: DataFrame, id_col: str, terms: Column, labels: str, folds: str) -> DataFrame:
+    """(shard, id, terms, labels, folds), dealt to shards by the hash of the id and in a fixed order there, written.
+    The rows of a shard follow each other; a partition holds about as many shards as any other."""
+    df = df.select(F.col(id_col).alias("id"), terms.alias("terms"), F.col(labels).alias("labels"), F.col(folds).alias("folds"))
+    n = df.select("id").count()
     shards = max(1, min(SHARDS, -(-n // SHARD_ROWS)))
-    terms = F.transform(tokens, lambda t: F.pmod(F.hash(t), F.lit(num_features)))
-    rows = df.select(F.col(id_col).alias("id"), terms.alias("terms"), F.col(labels).alias("labels"), F.col(folds).alias("folds"))
-    return cut_lineage(rows.repartition(shards, F.hash("id")).sortWithinPartitions(F.hash("id"), "id"))
+    rows = cut_lineage(df.repartition(shards, F.hash("id")).withColumn("shard", F.spark_partition_id())
+                       .sortWithinPartitions(F.hash("id"), "id"))
+    # whole partitions, one after the other
+    return rows.coalesce(min(shards, rows.sparkSession.sparkContext.defaultParallelism))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     """(id, terms, counts, labels, folds) of each row."""
     for b in batches:
         terms, labels, folds = b.column("terms"), b.column("labels").to_pylist(), b.column("folds").to_pylist()
@@ -74,16 +84,38 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield row, term, count.astype(np.float32), labels[i], folds[i]
 
 
-def _summed(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]], width: int) -> tuple:
-    """(terms, sums, shards) of what ``make`` gives for each shard: terms and as many rows of ``width`` numbers."""
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, values = make(batches)
-        for lo in range(0, len(terms), 4096):
-            part = np.ascontiguousarray(values[lo:lo + 4096], np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(terms[lo:lo + 4096] % BUCKETS, pa.int32()),
-                                              pa.array(terms[lo:lo + 4096], pa.int32()),
-                                              pa.array([x.tobytes() for x in part], pa.binary()),
-                                              pa.array(np.ones(len(part), np.int32))], ["bucket", "term", "values", "n"])
+def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of each shard, cut where the next one begins."""
+    def cut() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for b in batches:
+            shard = b.column("shard").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for lo, hi in zip([0, *ends], ends):
+                if hi > lo:
+                    yield shard[lo], b.slice(lo, hi - lo)
+
+    for _, own in groupby(cut(), key=lambda x: x[0]):
+        yield (b for _, b in own)
+
+
+def _summed(rows: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]], width: int,
+            num_rows: int) -> tuple:
+    """(terms, sums, shards) of what ``make`` gives for each shard: terms below ``num_rows`` and as many rows of
+    ``width`` numbers.  The sums of a task's shards are sent, not each of them."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = None, np.zeros(num_rows, np.int32)
+        for shard in _shards(batches):
+            terms, values = make(shard)
+            if sums is None:
+                sums = np.zeros((num_rows, width))
+            sums[terms] += values
+            n[terms] += 1
+        met = np.flatnonzero(n)
+        for lo in range(0, len(met), 4096):
+            at = met[lo:lo + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(at % BUCKETS, pa.int32()), pa.array(at, pa.int32()),
+                                              pa.array([x.tobytes() for x in sums[at].astype(np.float32)], pa.binary()),
+                                              pa.array(n[at])], ["bucket", "term", "values", "n"])
 
     def total(table: pa.Table) -> pa.Table:
         term, at = np.unique(table.column("term").to_numpy(), return_inverse=True)
@@ -91,19 +123,20 @@ def _summed(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], tuple[np
         order = np.argsort(at, kind="stable")
         begin = np.searchsorted(at[order], np.arange(len(term)))
         sums = np.add.reduceat(values[order].astype(float), begin, axis=0).astype(np.float32)
+        n = np.bincount(at, table.column("n").to_numpy()).astype(np.int32)
         return pa.table([pa.array([0] * len(term), pa.int32()), pa.array(term, pa.int32()),
-                         pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(np.bincount(at), pa.int32())],
+                         pa.array([x.tobytes() for x in sums], pa.binary()), pa.array(n)],
                         names=["bucket", "term", "values", "n"])
 
     schema = "bucket int, term int, values binary, n int"
-    found = rows.mapInArrow(shard, schema).groupBy("bucket").applyInArrow(total, schema).toArrow()
+    found = rows.mapInArrow(task, schema).groupBy("bucket").applyInArrow(total, schema).toArrow()
     values = np.frombuffer(b"".join(found.column("values").to_pylist()), np.float32).reshape(-1, width)
     return found.column("term").to_numpy(), values, found.column("n").to_numpy()
 
 
 def fold_idf(rows: DataFrame, task: Task, num_features: int) -> np.ndarray:
     """ln((1 + n) / (1 + df)) + 1 of each term (row) over the training rows of each label set and fold."""
-    def counts(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    def counts(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((num_features + 1, task.groups), np.float32)  # the last row counts documents
         for _, term, _, labels, folds in _rows(batches):
             own = [s * task.folds + f for s, (x, f) in enumerate(zip(labels, folds, strict=True)) if x is not None]
@@ -111,7 +144,7 @@ def fold_idf(rows: DataFrame, task: Task, num_features: int) -> np.ndarray:
         some = np.flatnonzero(out.any(axis=1))
         return some, out[some]
 
-    terms, sums, _ = _summed(rows, counts, task.groups)
+    terms, sums, _ = _summed(rows, counts, task.groups, num_features + 1)
     df = np.zeros((num_features + 1, task.groups))
     df[terms] = sums
     whole = df.reshape(-1, len(task.classes), task.folds)
@@ -126,7 +159,7 @@ def _vectors(term: np.ndarray, count: np.ndarray, idf: np.ndarray, task: Task) -
     return np.split(np.vstack([x, np.full((1, task.groups), 0.1, np.float32)]), len(task.classes), axis=1)
 
 
-def _epoch(batches: Iterator[pa.RecordBatch], task: Task, weights: np.ndarray, idf: np.ndarray, begun: int,
+def _epoch(batches: Iterable[pa.RecordBatch], task: Task, weights: np.ndarray, idf: np.ndarray, begun: int,
            alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Terms met by a shard and their weights after one pass; ``begun``: passes before."""
     rows = list(_rows(batches))
@@ -173,7 +206,8 @@ def fit_jointly(rows: DataFrame, task: Task, epochs: int = EPOCHS, alpha: float
     for epoch in range(epochs):
         sent = sc.broadcast(weights)
         terms, sums, n = _summed(
-            rows, lambda b, w=sent, e=epoch: _epoch(b, task, w.value, idf.value, e, alpha), task.columns)
+            rows, lambda b, w=sent, e=epoch: _epoch(b, task, w.value, idf.value, e, alpha), task.columns,
+            num_features + 1)
         weights = weights * np.float32(0)
         weights[terms] = sums / n[:, None]
         sent.destroy()
@@ -183,15 +217,15 @@ def fit_jointly(rows: DataFrame, task: Task, epochs: int = EPOCHS, alpha: float
 
 def joint_cross_validation(df: DataFrame, classes: list[list[int]], folds: int, id_col: str = "id", tokens: str = "tokens",
                            labels: str = "labels", fold_col: str = "folds", epochs: int = EPOCHS, alpha: float = ALPHA,
-                           num_features: int = NUM_FEATURES) -> DataFrame:
+                           num_features: int = NUM_FEATURES, terms: str | None = None) -> DataFrame:
     """(label_set, fold, id, y_true, y_pred): held-out predictions of every fold of every label set.
 
     ``labels`` and ``fold_col`` are arrays with an entry for each label set (null: the row
     is not in it); ``classes`` lists the classes of each.  A row is predicted by the
     weights of its own fold, which never saw it; the first of equal scores wins.  Rows
-    without a token get the constant's verdict.
+    without a token get the constant's verdict.  ``terms``: a column of ``hashed_terms``, in place of ``tokens``.
     """
-    rows = term_rows(df, id_col, tokens, labels, fold_col, num_features)
+    rows = term_rows(df, id_col, F.col(terms) if terms else hashed_terms(tokens, num_features), labels, fold_col)
     fit = fit_jointly(rows, Task(classes, folds), epochs, alpha, num_features)
     names = F.array(*[F.array(*[F.lit(c) for c in own]) for own in classes])
     margins = held_out_margins(rows, fit)
@@ -246,7 +280,7 @@ class SvmProba:
         data = df.where(F.col(label).isNotNull()).select(
             F.col(id_col).alias("id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"),
             F.array(F.col(label).cast("int")).alias("labels"), F.array(fold).alias("folds"))
-        rows = term_rows(data, "id", "tokens", "labels", "folds", num_features)
+        rows = term_rows(data, "id", hashed_terms("tokens", num_features), "labels", "folds")
         fit = fit_jointly(rows, Task([[1]], CALIBRATION_FOLDS + 1), epochs, num_features=num_features)  # the last holds no row
         held = held_out_margins(rows, fit).select("y_true", F.col("margins")[0].alias("margin"))
         slope, offset = platt_scaling(cut_lineage(held))
@@ -268,7 +302,7 @@ class SvmProba:
             return pd.Series(out, dtype=float)
 
         words = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-        terms = F.transform(words, lambda t: F.pmod(F.hash(t), F.lit(size)))
+        terms = hashed_terms(words, size)
         p = 1 / (1 + F.exp(-(F.col("margin") * self.slope + self.offset)))
         return (df.withColumn("margin", margin(terms)).withColumn("probability", p)
                 .withColumn("prediction", (F.col("probability") >= 0.5).cast("int")))

@@ -16,3 +16,26 @@ def test_svd_computes_its_features_once(spark):
     assert sorted(r["k"] for r in out) == list(range(200))
     assert all(len(r["components"]) == 3 for r in out)
     assert calls.value == 200
+
+
+def test_tasks_send_the_sum_of_their_shards(spark, monkeypatch):
+    import numpy as np
+
+    from lexikon.operators import linear as L
+    monkeypatch.setattr(L, "SHARD_ROWS", 8)
+    df = spark.createDataFrame([(i, [f"t{i % 5}", f"t{i % 3}", "the"], [i % 2], [i % 4]) for i in range(160)],
+                               "id bigint, tokens array<string>, labels array<int>, folds array<int>")
+    rows = L.term_rows(df, "id", L.hashed_terms("tokens", 64), "labels", "folds")
+    assert rows.select("shard").distinct().count() == 20
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < 20
+
+    def sizes(batches):  # every shard is seen whole and once
+        found = [t for _, terms, *_ in L._rows(batches) for t in terms]
+        term, n = np.unique(found, return_counts=True)
+        return term, n[:, None].astype(np.float32)
+
+    terms, sums, n = L._summed(rows, sizes, 1, 64)
+    each = rows.select("shard", F.explode(F.array_distinct("terms")).alias("t"))
+    want = {r["t"]: (r["n"], r["s"]) for r in each.groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("shard").alias("s")).collect()}
+    assert {int(t): (int(v), int(k)) for t, v, k in zip(terms, sums[:, 0], n)} == want
