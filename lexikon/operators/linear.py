@@ -62,10 +62,13 @@ def hashed_terms(tokens: Column | str, num_features: int = NUM_FEATURES) -> Colu
     return F.transform(tokens, lambda t: F.pmod(F.hash(t), F.lit(num_features)))
 
 
-def term_rows(df: DataFrame, id_col: str, terms: Column, labels: str, folds: str) -> DataFrame:
-    """(shard, id, terms, labels, folds), dealt to shards by the hash of the id and in a fixed order there, written.
-    The rows of a shard follow each other; a partition holds about as many shards as any other."""
-    df = df.select(F.col(id_col).alias("id"), terms.alias("terms"), F.col(labels).alias("labels"), F.col(folds).alias("folds"))
+def term_rows(df: DataFrame, id_col: str, tokens: str, labels: str, folds: str, num_features: int,
+              terms: str | None = None) -> DataFrame:
+    """(shard, id, terms: hashed, labels, folds), dealt to shards by the hash of the id and in a fixed order there,
+    written.  The rows of a shard follow each other; a partition holds about as many shards as any other.
+    ``terms``: a column of ``hashed_terms``, in place of ``tokens``."""
+    numbers = F.col(terms) if terms else hashed_terms(tokens, num_features)
+    df = df.select(F.col(id_col).alias("id"), numbers.alias("terms"), F.col(labels).alias("labels"), F.col(folds).alias("folds"))
     n = df.select("id").count()
     shards = max(1, min(SHARDS, -(-n // SHARD_ROWS)))
     rows = cut_lineage(df.repartition(shards, F.hash("id")).withColumn("shard", F.spark_partition_id())
@@ -225,7 +228,7 @@ def joint_cross_validation(df: DataFrame, classes: list[list[int]], folds: int,
     weights of its own fold, which never saw it; the first of equal scores wins.  Rows
     without a token get the constant's verdict.  ``terms``: a column of ``hashed_terms``, in place of ``tokens``.
     """
-    rows = term_rows(df, id_col, F.col(terms) if terms else hashed_terms(tokens, num_features), labels, fold_col)
+    rows = term_rows(df, id_col, tokens, labels, fold_col, num_features, terms)
     fit = fit_jointly(rows, Task(classes, folds), epochs, alpha, num_features)
     names = F.array(*[F.array(*[F.lit(c) for c in own]) for own in classes])
     margins = held_out_margins(rows, fit)
@@ -280,7 +283,7 @@ class SvmProba:
         data = df.where(F.col(label).isNotNull()).select(
             F.col(id_col).alias("id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"),
             F.array(F.col(label).cast("int")).alias("labels"), F.array(fold).alias("folds"))
-        rows = term_rows(data, "id", hashed_terms("tokens", num_features), "labels", "folds")
+        rows = term_rows(data, "id", "tokens", "labels", "folds", num_features)
         fit = fit_jointly(rows, Task([[1]], CALIBRATION_FOLDS + 1), epochs, num_features=num_features)  # the last holds no row
         held = held_out_margins(rows, fit).select("y_true", F.col("margins")[0].alias("margin"))
         slope, offset = platt_scaling(cut_lineage(held))
