@@ -65,3 +65,29 @@ def test_empty_null_and_few_rows(spark):
     holes = F.when(F.col("id") == 1, F.array(F.lit(None).cast("double"), F.lit(1.0))).when(F.col("id") == 0, F.col("features"))
     with_holes = df.withColumn("features", holes)
     assert {(r.test_id, r.train_id) for r in knn_neighbors(df, with_holes, 5).collect()} == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_work_of_spread_vectors_grows_with_blocks_not_tiles(spark, monkeypatch):
+    """No bound helps here, so all tiles are visited: a test row goes once to a group of tiles, not once to each."""
+    from lexikon.operators import neighbors
+    groups = []
+    real = neighbors._candidates
+    monkeypatch.setattr(neighbors, "_candidates", lambda routed, tiled, tiles, visits, *a: (
+        groups.append((len(tiles.ids), sum(visits.values()))), real(routed, tiled, tiles, visits, *a))[1])
+    x = np.random.default_rng(5).normal(size=(400, 16))
+    df = _frame(spark, x)
+    got = {(r.test_id, r["rank"]): r.train_id for r in knn_neighbors(df, df, 3, fold="f5", rows_per_tile=20).collect()}
+    assert got == _brute(x, 3, 5)
+    assert all(tiles >= 20 and sent <= 400 for tiles, sent in groups) and len(groups) == 3
+
+
+def test_far_off_huge_and_infinite_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = 1e9 + rng.normal(size=(200, 5))  # single precision cannot tell these apart
+    x[150:] = 1e100 * rng.normal(size=(50, 5))
+    x[199, 2] = np.inf
+    near = x[:150]
+    df = _frame(spark, x)
+    got = {(r.test_id, r["rank"]): r.train_id for r in knn_neighbors(df, df, 4, rows_per_tile=30).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 150} == _brute(near, 4)
+    assert not any(t == 199 for t in got.values()) and (199, 1) not in got
