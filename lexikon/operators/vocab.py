@@ -62,6 +62,9 @@ def decode(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, out: str
     vocabulary becomes ``'0'`` (the reference's lookup default)."""
     ex = df.select(*keys, F.posexplode(ids).alias("pos", "idx"))
     v = vocab.select("idx", "token")
+    # padding is most of all positions and goes before any shuffle, so that its id is no hot key
+    padding = v.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.bool_and(F.col("token").eqNullSafe(F.lit(drop_token))).alias("_drop"))
+    ex = ex.join(F.broadcast(padding.where("_drop").select("idx")), "idx", "left_anti")  # one row a special token
     j = (ex.join(v, "idx", "left").withColumn("token", F.coalesce("token", F.lit("0")))
          .where(F.col("token") != drop_token))
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_p"))
