@@ -83,16 +83,14 @@ def training_runs(spark, sf_dir):
     entry = F.struct("epoch", "loss", "eval_loss", F.lit(None).cast("double").alias("learning_rate"),
                      F.col("step").cast("bigint").alias("step"))
     # one trainer-state line per (run, epoch): a group bounded by the entries of one epoch
-    (log.groupBy("run", "ep").agg(F.array_sort(F.collect_list(F.struct("entry_no", entry.alias("e"))))
-                                  .alias("_l"))
-     .select("run", F.transform("_l", lambda x: x["e"]).alias("log_history"))
-     .repartition("run").write.partitionBy("run").json(f"{root}/trainer_state"))
+    state = log.groupBy("run", "ep").agg(F.array_sort(F.collect_list(F.struct("entry_no", entry.alias("e")))).alias("_l"))
+    L.write_run_folders(state.select("run", F.transform("_l", lambda x: x["e"]).alias("log_history")), f"{root}/trainer_state")
     runs = log.groupBy("run").agg(F.first("vocab_size").alias("vocab_size"), F.avg("loss").alias("train_loss"),
                                   F.avg("eval_loss").alias("eval_loss"), F.max("epoch").alias("epoch"))
-    runs = runs.repartition("run").persist()  # one file per run folder
-    runs.select("run", F.concat(F.lit("tokenizers/"), "run").alias("_name_or_path"), "vocab_size") \
-        .write.partitionBy("run").json(f"{root}/config")
-    runs.select("run", "train_loss", "eval_loss", "epoch").write.partitionBy("run").json(f"{root}/all_results")
+    runs = runs.repartition("run").persist()
+    L.write_run_folders(runs.select("run", F.concat(F.lit("tokenizers/"), "run").alias("_name_or_path"), "vocab_size"),
+                        f"{root}/config")
+    L.write_run_folders(runs.select("run", "train_loss", "eval_loss", "epoch"), f"{root}/all_results")
     r = L.read_training_runs(spark, root, layout="partitioned")
     return r.groupBy("run").agg(F.count(F.lit(1)).alias("entries"), F.first("vocab_size").alias("vocab_size"),
                                 F.first("_name_or_path").alias("name_or_path"),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -122,6 +127,60 @@ class MetricTables:
         return out
 
 
+def _folder(run: str | None) -> str:
+    """``run=<name>`` as Spark names partition folders."""
+    if not run:
+        return "run=__HIVE_DEFAULT_PARTITION__"
+    return "run=" + re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", run)
+
+
+def write_run_folders(df: DataFrame, path: str) -> None:
+    """S11, the partitioned layout: all columns but ``run`` as JSON lines in ``path/run=<run>/part-*.json``.
+
+    Hadoop's local file system starts a process for the permissions of every file it makes, so in a mounted
+    folder (``file:``) the tasks make the files themselves, each under a name of the attempt that becomes the
+    file's own when it is whole; any other file system gets Spark's writer."""
+    placed = df.repartition("run")  # one file per run folder
+    if not path.startswith("file:"):
+        placed.write.partitionBy("run").json(path)
+        return
+    root = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(root, exist_ok=True)
+    line = F.to_json(F.struct(*[c for c in df.columns if c != "run"]))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt, out, at = f"_{uuid.uuid4().hex}", None, None
+        for b in batches:
+            for run, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None or _folder(run) != at:
+                    if out is not None:
+                        out.close()
+                        os.replace(f"{root}/{at}/{attempt}", f"{root}/{at}/part-00000.json")
+                    at = _folder(run)
+                    os.makedirs(f"{root}/{at}", exist_ok=True)
+                    out = open(f"{root}/{at}/{attempt}", "w", encoding="utf-8", newline="\n")
+                out.write(text + "\n")
+        if out is not None:
+            out.close()
+            os.replace(f"{root}/{at}/{attempt}", f"{root}/{at}/part-00000.json")
+        yield from ()
+
+    placed.select("run", line.alias("line")).sortWithinPartitions("run").mapInArrow(write, "none int").count()
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed in four tasks a core: with the default of up to 10,000, each of a few folders,
+    starting a task takes many times longer than listing them."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_training_runs(spark: SparkSession, root: str, layout: str = "folders") -> DataFrame:
     """``trainer_state.json``, ``config.json`` and ``all_results.json`` per
     run folder, joined on the run folder; runs missing a file are skipped.
@@ -135,7 +194,8 @@ def read_training_runs(spark: SparkSession, root: str, layout: str = "folders")
                   .json(f"{root}/*/{kind}.json")
                   .withColumn("run", F.element_at(F.split(file_path(), "/"), -2)))
         else:
-            df = spark.read.schema(schema + ", run string").json(f"{root}/{kind}")
+            with _few_listing_tasks(spark):
+                df = spark.read.schema(schema + ", run string").json(f"{root}/{kind}")
         return df
 
     state = load("trainer_state", "log_history array<struct<epoch:double,loss:double,eval_loss:double,"
