@@ -143,3 +143,21 @@ def test_unigram_sorts_suffixes_and_leaves_no_table(spark, monkeypatch):
     assert _tables(spark) == before
     assert {(r.token, r.score) for r in W.train_unigram(words, 90, driver_pieces=0).collect()} == whole
     assert {x.split("-")[0] for x in _tables(spark) - before} <= {"ranges"}  # of the row index
+
+
+def test_the_tagger_hashes_its_features_once(spark, tmp_path, monkeypatch):
+    from lexikon.plans import models as P
+    rows = [(c, t, f"Word {c} of turn {t} .") for c in range(10) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = []
+
+    class Tagger:
+        def fit(self, df):
+            seen.append(df)
+            raise RuntimeError("seen")
+
+    monkeypatch.setattr(P.M, "token_tagger", lambda *a, **k: Tagger())
+    with pytest.raises(RuntimeError, match="seen"):
+        P._tagger_folds(spark, str(tmp_path))
+    assert "features" in seen[0].columns and "prev" not in seen[0].columns
+    assert "InMemoryRelation" in seen[0]._jdf.queryExecution().withCachedData().toString()
